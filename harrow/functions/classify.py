@@ -52,9 +52,33 @@ def experience_level(hay) -> Column:
             .otherwise("Unknown"))
 
 
+def _from_flags(f) -> dict[str, Column]:
+    n = (f["entry"].cast("int") + f["associate"].cast("int")
+         + f["senior"].cast("int") + f["mid"].cast("int"))
+    et = (F.when(f["internship"], "Internship").when(f["full_time"], "Full-Time")
+          .otherwise("Unknown"))
+    el = (F.when(f["internship"], "Internship").when(f["staff"], "Staff+")
+          .when(n > 1, "Unknown").when(f["entry"], "Entry Level")
+          .when(f["associate"], "Associate").when(f["senior"], "Senior")
+          .when(f["mid"], "Mid Level").otherwise("Unknown"))
+    return {"employment_type": et, "experience_level": el, "matched_levels": n}
+
+
+def classify_hay(df, hay, with_count: bool = False):
+    """Add the two classes for a haystack Column.  The seven pattern flags
+    are computed once per row in their own projection (each is a regex scan
+    of the whole text) and both classes read them from there."""
+    flags = level_flags(hay)
+    tmp = df.withColumn("_class_flags", F.struct(*[v.alias(k) for k, v in flags.items()]))
+    f = {k: F.col(f"_class_flags.{k}") for k in flags}
+    out = _from_flags(f)
+    if not with_count:
+        out.pop("matched_levels")
+    return tmp.withColumns(out).drop("_class_flags")
+
+
 def classify(df, title="title", description="description", card_text="card_text"):
     """Add ``employment_type`` and ``experience_level`` to a listing frame."""
     hay = class_haystack(*(c if c in df.columns else F.lit(None).cast("string")
                            for c in (title, description, card_text)))
-    return df.withColumns({"employment_type": employment_type(hay),
-                           "experience_level": experience_level(hay)})
+    return classify_hay(df, hay)

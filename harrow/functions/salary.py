@@ -31,7 +31,7 @@ def clean_salary(c) -> Column:
 
 def _en_us(x: Column) -> Column:
     """``Number(x).toLocaleString('en-US')``: grouping, at most 3 decimals."""
-    return F.format_number(x, "#,##0.###")
+    return F.call_function("format_number", x, F.lit("#,##0.###"))
 
 
 def currency_symbol(cur, default_usd: bool = True) -> Column:

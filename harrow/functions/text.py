@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harrow.functions.regex import any_of, js_space_run, js_trim_pattern
+from harrow.functions.regex import any_of, js_space_run, js_trim_pattern, required_literals
 
 # Above this many phrases an OR-chain is replaced by one ``exists`` over an
 # array literal (same result, smaller generated code).
@@ -70,8 +70,25 @@ def contains_any(c, phrases: Sequence[str], lowered: bool = False) -> Column:
 
 
 def matches_any(c, patterns: Sequence[str], ignore_case: bool = True) -> Column:
-    """``patterns.some(p => p.test(s))`` for JavaScript-syntax patterns."""
-    return col_(c).rlike(any_of(patterns, ignore_case))
+    """``patterns.some(p => p.test(s))`` for JavaScript-syntax patterns.
+
+    When every pattern has a literal that each of its matches must contain,
+    a ``contains`` test on the lower-cased text gates the regex: rows that
+    cannot match skip the regex scan, and the result is unchanged.
+    """
+    c = col_(c)
+    rx = c.rlike(any_of(patterns, ignore_case))
+    lits: list[str] | None = []
+    for p in patterns:
+        req = required_literals(p) if ignore_case else None
+        if req is None:
+            lits = None
+            break
+        lits.extend(req)
+    if not lits:
+        return rx
+    gate = contains_any(F.lower(c), lits, lowered=True)
+    return F.when(c.isNull(), F.lit(None).cast("boolean")).when(gate, rx).otherwise(F.lit(False))
 
 
 def matches(c, pattern: str, ignore_case: bool = True) -> Column:
