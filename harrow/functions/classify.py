@@ -65,16 +65,25 @@ def _from_flags(f) -> dict[str, Column]:
 
 
 def classify_hay(df, hay, with_count: bool = False):
-    """Add the two classes for a haystack Column.  The seven pattern flags
-    are computed once per row in their own projection (each is a regex scan
-    of the whole text) and both classes read them from there."""
+    """Add the two classes for a haystack Column.
+
+    The seven pattern flags (each a scan of the whole text) are packed into
+    one integer in their own projection and both classes decode it with bit
+    tests.  An integer, unlike a struct, is not re-inlined into every
+    consumer by the optimizer, so each regex runs once per row.
+    """
     flags = level_flags(hay)
-    tmp = df.withColumn("_class_flags", F.struct(*[v.alias(k) for k, v in flags.items()]))
-    f = {k: F.col(f"_class_flags.{k}") for k in flags}
+    names = list(flags)
+    mask = None
+    for i, k in enumerate(names):
+        bit = F.when(flags[k], F.lit(1 << i)).otherwise(F.lit(0))
+        mask = bit if mask is None else mask + bit
+    tmp = df.withColumn("_class_mask", mask)
+    f = {k: (F.col("_class_mask").bitwiseAND(1 << i) != 0) for i, k in enumerate(names)}
     out = _from_flags(f)
     if not with_count:
         out.pop("matched_levels")
-    return tmp.withColumns(out).drop("_class_flags")
+    return tmp.withColumns(out).drop("_class_mask")
 
 
 def classify(df, title="title", description="description", card_text="card_text"):

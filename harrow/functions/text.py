@@ -72,23 +72,30 @@ def contains_any(c, phrases: Sequence[str], lowered: bool = False) -> Column:
 def matches_any(c, patterns: Sequence[str], ignore_case: bool = True) -> Column:
     """``patterns.some(p => p.test(s))`` for JavaScript-syntax patterns.
 
-    When every pattern has a literal that each of its matches must contain,
-    a ``contains`` test on the lower-cased text gates the regex: rows that
-    cannot match skip the regex scan, and the result is unchanged.
+    Each pattern that has literals every match must contain is gated by a
+    ``contains`` test of those literals on the lower-cased text (computed
+    once per row), so only patterns that can match scan the text; the
+    short-circuit OR of gated patterns has the same result as one
+    alternation and avoids trying every alternative at every position.
     """
     c = col_(c)
-    rx = c.rlike(any_of(patterns, ignore_case))
-    lits: list[str] | None = []
+    low = F.lower(c)
+    gated: list[Column] = []
+    plain: list[str] = []
     for p in patterns:
         req = required_literals(p) if ignore_case else None
-        if req is None:
-            lits = None
-            break
-        lits.extend(req)
-    if not lits:
-        return rx
-    gate = contains_any(F.lower(c), lits, lowered=True)
-    return F.when(c.isNull(), F.lit(None).cast("boolean")).when(gate, rx).otherwise(F.lit(False))
+        if req:
+            gate = contains_any(low, req, lowered=True)
+            gated.append(gate & c.rlike(any_of([p], ignore_case)))
+        else:
+            plain.append(p)
+    parts = ([c.rlike(any_of(plain, ignore_case))] if plain else []) + gated
+    if not parts:
+        return c.rlike(any_of([], ignore_case))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out | x
+    return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(out)
 
 
 def matches(c, pattern: str, ignore_case: bool = True) -> Column:
