@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from harrow.config import (BOARD_TITLE_PHRASES_A, BOARD_TITLE_PHRASES_B, CITY_AI_PATTERNS,
                            CITY_IRRELEVANT_PATTERNS, INTERN_ALLOW_PATTERN, INTERN_PATTERN,
                            STARTUP_AI_PATTERNS, STARTUP_IRRELEVANT_PATTERNS, CurationConfig)
+from harrow.functions.regex import JS_SPACE_JAVA
 from harrow.functions.text import (col_, contains_any, filter_haystack, jstrim, matches,
                                    matches_any)
 
 # Above this many phrases a phrase table is matched by an equi-join on
-# substrings instead of one expression per phrase.
-PHRASE_EXPR_LIMIT = 2000
+# anchors instead of one expression per phrase.
+PHRASE_EXPR_LIMIT = 64
+ANCHOR_CHARS = 24
 
 
 def board_title_ok(title, shape: str) -> Column:
@@ -106,34 +108,60 @@ def route_by_host(url, rules: Sequence[tuple[str, Column]], default: Column | No
 
 
 def phrase_semi(df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str = "phrase",
-                key: str | None = None, limit: int = PHRASE_EXPR_LIMIT) -> DataFrame:
+                key: str | None = None, limit: int = PHRASE_EXPR_LIMIT,
+                anchor: int = ANCHOR_CHARS) -> DataFrame:
     """Rows whose lower-cased text contains at least one phrase of a table.
 
     The phrase count is checked first.  Up to ``limit`` phrases (a proven
-    bound) the phrases become one array literal and the test is an
-    ``exists`` expression, evaluated where the rows are: no join, no shuffle.
-    Beyond it, each row's text is cut into every substring whose length is a
-    phrase length and equi-joined to the phrase table, then the row keys are
-    de-duplicated: exact, distributed, and no pairwise comparison.
+    bound) the test is one expression over a literal list, evaluated where
+    the rows are.  Beyond it the match is an equi-join:
+
+    * a phrase with whitespace is anchored at the ``anchor`` characters that
+      follow its first whitespace; wherever the phrase occurs in a text,
+      that anchor starts right after a whitespace character of the text, so
+      indexing each text only at positions after whitespace finds every
+      occurrence.  Candidate (row, phrase) pairs from the join are verified
+      with a substring test.
+    * phrases without whitespace are matched on every substring of their
+      length (their lengths are bounded by the longest such phrase).
+
+    Exact, distributed, no pairwise comparison of rows with phrases.
     """
-    low = phrases.select(F.lower(F.col(phrase_col)).alias("_p")).where(F.col("_p").isNotNull())
+    low = (phrases.select(F.lower(F.col(phrase_col)).alias("_p")).where(F.col("_p").isNotNull())
+           .distinct())
     n = low.limit(limit + 1).count()
     if n <= limit:
-        values = [r["_p"] for r in low.distinct().collect()]
+        values = [r["_p"] for r in low.collect()]
         return df.where(contains_any(F.lower(F.coalesce(F.col(text_col), F.lit(""))),
                                      values, lowered=True))
     if key is None:
         raise ValueError("a unique key column is needed beyond the expression limit")
-    # '' matches every row, as ''.includes('') is true.
-    if low.where(F.col("_p") == "").limit(1).count():
+    if low.where(F.col("_p") == "").limit(1).count():  # '' is in every text
         return df
-    # The distinct phrase lengths are bounded by the longest phrase.
-    lengths = [r[0] for r in low.select(F.length("_p")).distinct().collect()]
+    space = f"[{JS_SPACE_JAVA}]"
+    sp = F.regexp_instr(F.col("_p"), F.lit(space))  # 1-based, 0 when none
+    ph = low.withColumn("_a", F.when(sp > 0, F.substring("_p", sp + 1, anchor)))
+    anchored = ph.where(F.length("_a") > 0).withColumn("_len", F.length("_a"))
+    loose = ph.where(F.coalesce(F.length("_a"), F.lit(0)) == 0).select("_p")
     hay = df.select(key, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
-    grams = (hay.select(key, "_t", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("_len"))
-             .where(F.length("_t") >= F.col("_len"))
-             .select(key, F.explode(F.transform(
-                 F.sequence(F.lit(1), F.length("_t") - F.col("_len") + 1),
-                 lambda i: F.substring("_t", i, F.col("_len")))).alias("_p")))
-    hits = grams.join(low.distinct(), "_p", "left_semi").select(key).distinct()
-    return df.join(hits, key, "left_semi")
+
+    # Anchor lengths below ``anchor`` occur only for phrases ending soon after
+    # their first space; the set of lengths is bounded by ``anchor``.
+    lengths = [r[0] for r in anchored.select("_len").distinct().collect()]
+    grams = hay.select(key, F.explode(F.regexp_extract_all(
+        "_t", F.lit(f"(?s)(?<={space})(?=(.{{1,{anchor}}}))"), 1)).alias("_g"))
+    grams = (grams.select(key, "_g", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("_len"))
+             .where(F.length("_g") >= F.col("_len"))
+             .select(key, "_len", F.substring("_g", 1, F.col("_len")).alias("_a")))
+    cand = grams.join(anchored.select("_a", "_len", "_p"), ["_a", "_len"]).select(key, "_p").distinct()
+    hits = (cand.join(hay, key).where(F.instr("_t", F.col("_p")) > 0).select(key))
+
+    loose_lengths = [r[0] for r in loose.select(F.length("_p")).distinct().collect()]
+    if loose_lengths:
+        subs = (hay.select(key, "_t", F.explode(F.array(*[F.lit(x) for x in loose_lengths])).alias("_len"))
+                .where(F.length("_t") >= F.col("_len"))
+                .select(key, F.explode(F.transform(
+                    F.sequence(F.lit(1), F.length("_t") - F.col("_len") + 1),
+                    lambda i: F.substring("_t", i, F.col("_len")))).alias("_p")))
+        hits = hits.unionByName(subs.join(loose, "_p", "left_semi").select(key))
+    return df.join(hits.distinct(), key, "left_semi")
