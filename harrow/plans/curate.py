@@ -50,13 +50,21 @@ class RunResult:
 
 def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | None = None,
            order: str = "ord") -> RunResult:
-    """Tier verdicts, two-key dedupe and store rows for a settled listing set."""
-    verdicts = apply_tiers(enrich(listings), cfg)
-    passed = verdicts.where("passed")
+    """Tier verdicts, two-key dedupe and store rows for a settled listing set.
+
+    The verdict needs only the text columns; the classes are computed for
+    rows that pass (the result is the same as classifying everything first)
+    and the long text columns are dropped before any join, so no shuffle
+    carries whole descriptions.
+    """
+    text_cols = [c for c in ("description", "card_text", "company_context") if c in listings.columns]
+    fp = listings.withColumn("fingerprint", fingerprint("company", "title", "location"))
+    verdicts = apply_tiers(fp, cfg)
+    passed = classify(verdicts.where("passed")).drop(*text_cols)
     kept, rounds = two_key_dedupe(passed, "source_url", "fingerprint", order, store,
                                   return_rounds=True)
     flag = kept.select(order).withColumn("_written", F.lit(True))
-    labelled = (verdicts.join(flag, order, "left")
+    labelled = (verdicts.drop(*text_cols).join(flag, order, "left")
                 .withColumn("status", F.when(~F.col("passed"), F.lit("filtered"))
                             .when(F.col("_written"), F.lit("written"))
                             .otherwise(F.lit("duplicate")))

@@ -150,32 +150,47 @@ def link_text(html: Column, href_marker: str) -> Column:
     return jstrim(F.regexp_extract(html, pat, 1))
 
 
+def page_companies(pages: DataFrame) -> DataFrame:
+    """Per landed page URL, the company each recovery rule reads from it:
+    ``line_rule`` (company link, else the last line before the heading) and
+    ``at_rule`` (company link, else the text after `` at `` in the heading).
+
+    A narrow projection over the pages, then one row per URL (the first by
+    page content), so the page HTML itself is never shuffled.
+    """
+    html = F.coalesce(F.col("html"), F.lit(""))
+    line_rule = F.coalesce(F.when(link_text(html, "/company/") != "", link_text(html, "/company/")),
+                           company_before_heading(page_text(html), heading(html)))
+    at_rule = F.coalesce(F.when(link_text(html, "/companies/") != "", link_text(html, "/companies/")),
+                         company_from_heading(heading(html)))
+    per_page = pages.select("url", F.struct(line_rule.alias("line_rule"), at_rule.alias("at_rule")).alias("c"))
+    return (per_page.groupBy("url").agg(F.min("c").alias("c"))
+            .select(F.col("url").alias("_url"), "c.line_rule", "c.at_rule"))
+
+
 def recover_company(store: DataFrame, pages: DataFrame,
                     heading_line_host: str = HOST_RULE_HEADING_LINE,
                     heading_at_host: str = HOST_RULE_HEADING_AT,
                     url_col: str = "source_url") -> DataFrame:
     """Fill blank companies from the row's landed detail page.
 
-    Rows with a blank company are routed by host: one rule takes the company
-    link, else the last line before the heading; the other takes the company
-    link, else the text after `` at `` in the heading.  Unresolved rows keep
-    their blank company.  One left join to ``pages(url, html)`` on URL (each
-    page is one row, so the join cannot fan out).  Adds ``company_recovered``.
+    Only rows with a blank company are joined (left, on URL) to the per-page
+    candidates of :func:`page_companies`; the host picks the rule.
+    Unresolved rows keep their blank company; rows with a company pass
+    through untouched.  Adds ``company_recovered``.
     """
     blank = F.coalesce(F.col("company"), F.lit("")) == ""
-    p = pages.select(F.col("url").alias("_url"), F.col("html").alias("_html"))
-    routed = store.withColumn("_blank", blank)
-    joined = routed.join(p, routed[url_col] == p["_url"], "left")
-    html = F.coalesce(F.col("_html"), F.lit(""))
-    rule_line = F.coalesce(F.when(link_text(html, "/company/") != "", link_text(html, "/company/")),
-                           company_before_heading(page_text(html), heading(html)))
-    rule_at = F.coalesce(F.when(link_text(html, "/companies/") != "", link_text(html, "/companies/")),
-                         company_from_heading(heading(html)))
-    found = route_by_host(F.col(url_col), [(heading_line_host, rule_line), (heading_at_host, rule_at)])
-    found = F.when(F.col("_blank") & F.col("_html").isNotNull(), found).otherwise(F.lit(""))
-    return (joined.withColumn("company_recovered", F.col("_blank") & (found != ""))
-            .withColumn("company", F.when(F.col("company_recovered"), found).otherwise(F.col("company")))
-            .drop("_url", "_html", "_blank"))
+    todo = store.where(blank)
+    done = store.where(~blank).withColumn("company_recovered", F.lit(False))
+    cand = page_companies(pages)
+    joined = todo.join(cand, todo[url_col] == cand["_url"], "left")
+    found = route_by_host(F.col(url_col), [(heading_line_host, F.col("line_rule")),
+                                           (heading_at_host, F.col("at_rule"))])
+    found = F.coalesce(F.when(F.col("_url").isNotNull(), found), F.lit(""))
+    fixed = (joined.withColumn("company_recovered", found != "")
+             .withColumn("company", F.when(found != "", found).otherwise(F.col("company")))
+             .drop("_url", "line_rule", "at_rule"))
+    return done.unionByName(fixed)
 
 
 def recover_company_summary(repaired: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def test_word_boundary_is_ascii(spark):
 
 
 def test_space_class_includes_nbsp(spark):
-    assert one_col(spark, ["full time", "fulltime", "full-time"],
+    assert one_col(spark, ["full\u00a0time", "fulltime", "full-time"],
                    lambda c: matches(c, r"\bfull[\s-]?time\b")) == [True, True, True]
 
 
