@@ -11,17 +11,13 @@ from harrow.config import (ASSOCIATE_PATTERNS, ENTRY_LEVEL_PATTERNS, FULL_TIME_P
 from harrow.functions.text import class_haystack, col_, matches_any
 
 
-def level_flags(hay) -> dict[str, Column]:
+def level_flags(hay, low=None) -> dict[str, Column]:
     h = col_(hay)
-    return {
-        "internship": matches_any(h, INTERNSHIP_PATTERNS),
-        "full_time": matches_any(h, FULL_TIME_PATTERNS),
-        "entry": matches_any(h, ENTRY_LEVEL_PATTERNS),
-        "associate": matches_any(h, ASSOCIATE_PATTERNS),
-        "mid": matches_any(h, MID_LEVEL_PATTERNS),
-        "senior": matches_any(h, SENIOR_LEVEL_PATTERNS),
-        "staff": matches_any(h, STAFF_PLUS_PATTERNS),
-    }
+    lists = {"internship": INTERNSHIP_PATTERNS, "full_time": FULL_TIME_PATTERNS,
+             "entry": ENTRY_LEVEL_PATTERNS, "associate": ASSOCIATE_PATTERNS,
+             "mid": MID_LEVEL_PATTERNS, "senior": SENIOR_LEVEL_PATTERNS,
+             "staff": STAFF_PLUS_PATTERNS}
+    return {k: matches_any(h, v, low=low) for k, v in lists.items()}
 
 
 def employment_type(hay) -> Column:
@@ -72,7 +68,10 @@ def classify_hay(df, hay, with_count: bool = False):
     tests.  An integer, unlike a struct, is not re-inlined into every
     consumer by the optimizer, so each regex runs once per row.
     """
-    flags = level_flags(hay)
+    # The haystack and its lower-cased form are columns of their own, so
+    # every pattern gate reads them instead of rebuilding them.
+    df = df.withColumn("_hay", hay).withColumn("_hay_low", F.lower("_hay"))
+    flags = level_flags(F.col("_hay"), F.col("_hay_low"))
     names = list(flags)
     mask = None
     for i, k in enumerate(names):
@@ -83,7 +82,7 @@ def classify_hay(df, hay, with_count: bool = False):
     out = _from_flags(f)
     if not with_count:
         out.pop("matched_levels")
-    return tmp.withColumns(out).drop("_class_mask")
+    return tmp.withColumns(out).drop("_class_mask", "_hay", "_hay_low")
 
 
 def classify(df, title="title", description="description", card_text="card_text"):

@@ -69,7 +69,8 @@ def contains_any(c, phrases: Sequence[str], lowered: bool = False) -> Column:
     return out
 
 
-def matches_any(c, patterns: Sequence[str], ignore_case: bool = True) -> Column:
+def matches_any(c, patterns: Sequence[str], ignore_case: bool = True,
+                low: Column | None = None) -> Column:
     """``patterns.some(p => p.test(s))`` for JavaScript-syntax patterns.
 
     Each pattern that has literals every match must contain is gated by a
@@ -79,7 +80,7 @@ def matches_any(c, patterns: Sequence[str], ignore_case: bool = True) -> Column:
     alternation and avoids trying every alternative at every position.
     """
     c = col_(c)
-    low = F.lower(c)
+    low = F.lower(c) if low is None else low
     gated: list[Column] = []
     plain: list[str] = []
     for p in patterns:

@@ -24,8 +24,22 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table that was landed as fewer files than task slots.
+
+    A single-file, single-row-group table scans as one task, and the text
+    rules downstream are CPU-bound, so one core would do all the work.  With
+    as many files as slots (the normal case on a cluster) the scan is already
+    parallel and nothing is added.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < slots:
+        return df.repartition(slots)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def doc_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
