@@ -95,13 +95,13 @@ def card_fields(fragment: Column, rules: CardRules) -> Column:
 
 
 def card_scan(pages: DataFrame, rules: CardRules = CardRules(), page_col: str = "page_id",
-              html_col: str = "html", url_col: str | None = None) -> DataFrame:
+              html_col: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
     """Cards of every page, or its detail links when the page has no card.
 
     The body is cut at ``end_marker`` so the last card stops at the page's
     landmark, then split at ``card_marker``; element 0 (before the first
     card) is dropped.  Output columns: page_id, pos, title, href, company,
-    salary, location, card_text, from_cards.
+    salary, location, card_text, from_cards (plus the ``carry`` columns).
     """
     html = F.col(html_col)
     body = F.regexp_replace(html, f"(?s)(?:{rules.end_marker}).*$", "")
@@ -118,7 +118,7 @@ def card_scan(pages: DataFrame, rules: CardRules = CardRules(), page_col: str =
                  jstrim(l["text"]).alias("card_text")).alias("f"),
         F.lit(False).alias("from_cards")))
     chosen = F.when(has_cards, card_rows).otherwise(link_rows)
-    keep = [page_col] + ([url_col] if url_col else [])
+    keep = [page_col, *carry]
     return (pages.select(*keep, F.posexplode(chosen).alias("pos", "c"))
             .select(*keep, "pos", "c.f.*", "c.from_cards"))
 

@@ -76,3 +76,29 @@ def test_recover_company(spark):
     assert ("https://other.com/3", "", False) in got
     s = maintain.recover_company_summary(out).first()
     assert (s.updated, s.unresolved) == (2, 1)
+
+
+def test_typed_cells_and_posted_text(spark):
+    from harrow.functions.dates import posted_text
+    from harrow.sources.store import CELL, cell_text, title_property, to_application_rows
+    from pyspark.sql import types as T
+    rows = [
+        (("title", [(" Eng",), ("ineer ",)], None, None, None, None),
+         ("date", None, None, None, ("2026-03-01",), None)),
+        (("rich_text", None, [("x",)], None, None, None),
+         ("rich_text", None, [(" 2026-04-02 ",)], None, None, None)),
+        (None, ("select", None, None, ("New",), None, None)),
+    ]
+    schema = T.StructType([T.StructField("a", CELL), T.StructField("b", CELL)])
+    df = spark.createDataFrame(rows, schema)
+    got = [(r[0], r[1]) for r in df.select(cell_text("a", "title"), posted_text("b")).collect()]
+    assert got == [("Engineer", "2026-03-01"), ("", "2026-04-02"), ("", "Not Posted")]
+    props = spark.createDataFrame([({"Name": ("title", None, None, None, None, None),
+                                     "Company": ("rich_text", None, None, None, None, None)},)],
+                                  T.StructType([T.StructField("p", T.MapType(T.StringType(), CELL))]))
+    assert props.select(title_property("p")).first()[0] == "Name"
+    apps = spark.createDataFrame([("Acme", "Eng", "Austin", "v2", "Applied", "u", "2026-04-01", None)],
+                                 "company string, role string, location string, resume_version string, "
+                                 "status string, notion_url string, date_applied string, cover_letter string")
+    r = to_application_rows(apps).first()
+    assert str(r.date_applied) == "2026-04-01" and r.cover_letter is False
