@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.config import CurationConfig
-from harrow.functions.classify import classify
-from harrow.functions.text import fingerprint
+from harrow.functions.classify import classify, classify_hay
+from harrow.functions.text import class_haystack, fingerprint
+from harrow.session import work_dir
 from harrow.operators.dedupe import cap_per_group, first_wins, two_key_dedupe
 from harrow.operators.filters import apply_tiers, present
 from harrow.operators.metrics import run_summary
@@ -52,19 +53,29 @@ def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | None = N
            order: str = "ord") -> RunResult:
     """Tier verdicts, two-key dedupe and store rows for a settled listing set.
 
-    The verdict needs only the text columns; the classes are computed for
-    rows that pass (the result is the same as classifying everything first)
-    and the long text columns are dropped before any join, so no shuffle
-    carries whole descriptions.
+    One pass over the text computes the fingerprint, the verdict and (for
+    rows that pass) the classes; the text columns are then dropped and the
+    slim verdict table is checkpointed, so the dedupe and the status labels
+    both read it instead of scanning whole descriptions again, and no
+    shuffle carries the text.
     """
     text_cols = [c for c in ("description", "card_text", "company_context") if c in listings.columns]
+
+    def c(name):
+        return F.col(name) if name in listings.columns else F.lit(None).cast("string")
     fp = listings.withColumn("fingerprint", fingerprint("company", "title", "location"))
     verdicts = apply_tiers(fp, cfg)
-    passed = classify(verdicts.where("passed")).drop(*text_cols)
-    kept, rounds = two_key_dedupe(passed, "source_url", "fingerprint", order, store,
+    hay = F.when(F.col("passed"), class_haystack(c("title"), c("description"), c("card_text")))
+    classed = classify_hay(verdicts, hay)
+    for k in ("employment_type", "experience_level"):
+        classed = classed.withColumn(k, F.when(F.col("passed"), F.col(k)))
+    slim = classed.drop(*text_cols)
+    work_dir(slim.sparkSession)
+    slim = slim.checkpoint(eager=True)
+    kept, rounds = two_key_dedupe(slim.where("passed"), "source_url", "fingerprint", order, store,
                                   return_rounds=True)
     flag = kept.select(order).withColumn("_written", F.lit(True))
-    labelled = (verdicts.drop(*text_cols).join(flag, order, "left")
+    labelled = (slim.join(flag, order, "left")
                 .withColumn("status", F.when(~F.col("passed"), F.lit("filtered"))
                             .when(F.col("_written"), F.lit("written"))
                             .otherwise(F.lit("duplicate")))
