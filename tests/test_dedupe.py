@@ -52,3 +52,17 @@ def test_relevance_dedupe_cap_order(spark):
           .withColumn("source", F.lit("s")).withColumn("title", F.lit("t")))
     out = settle_source(df.where("relevant"), CurationConfig(max_jobs_per_source=2))
     assert sorted(r.ord for r in out.collect()) == [1, 2]
+
+
+def test_hot_key_third_of_rows(spark):
+    # One fingerprint holds a third of all rows; URLs repeat in small groups.
+    rows = [(i, f"u{i // 3}", "hot" if i % 3 == 0 else f"f{i}") for i in range(3000)]
+    assert run(spark, rows) == sequential_two_key(rows)
+
+
+def test_first_wins_hot_key(spark):
+    from harrow.operators.dedupe import first_wins
+    rows = [(i, "s", "hot" if i % 3 else f"u{i}", f"t{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "ord long, source string, source_url string, title string")
+    out = {r.source_url: r.ord for r in first_wins(df, ["source", "source_url"]).collect()}
+    assert out["hot"] == 1 and out["u0"] == 0 and len(out) == 1001
