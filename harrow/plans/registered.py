@@ -332,7 +332,7 @@ def q_salary_format(spark, sf):
 @register("strip_html", f"""
 SELECT page_id, sha256({S.collapse(S.strip_tags('html'))}) AS text_a,
        sha256({S.jstrim(S.strip_tags('html'))}) AS text_b,
-       length({S.collapse(S.strip_tags('html'))}) AS n_chars
+       CAST(length({S.collapse(S.strip_tags('html'))}) AS INTEGER) AS n_chars
 FROM pages""")
 def q_strip_html(spark, sf):
     p = table(spark, sf, "pages")
@@ -520,7 +520,7 @@ def q_preview_top3(spark, sf):
 
 # --- union and counts -----------------------------------------------------
 @register("union_sources", f"""
-SELECT ord, source, source_url, length(description) AS description_len FROM {LDOC}
+SELECT ord, source, source_url, CAST(length(description) AS INTEGER) AS description_len FROM {LDOC}
 UNION ALL SELECT ord, source, source_url, NULL FROM {LPART}""")
 def q_union_sources(spark, sf):
     u = doc_listings(spark, sf).unionByName(part_listings(spark, sf), allowMissingColumns=True)
@@ -590,9 +590,9 @@ _RUN_CAND = f"""
 
 @register("run_summary", f"""
 WITH rows AS {_RUN_ROWS}, written AS ({_greedy_sql(_RUN_CAND)})
-SELECT count(*) AS found, count_if(failed_tier IS NULL) AS passed_filters,
-       count_if(failed_tier IS NOT NULL) AS filtered,
-       count_if(failed_tier IS NULL) - (SELECT count(*) FROM written) AS duplicates,
+SELECT count(*) AS found, CAST(count_if(failed_tier IS NULL) AS BIGINT) AS passed_filters,
+       CAST(count_if(failed_tier IS NOT NULL) AS BIGINT) AS filtered,
+       CAST(count_if(failed_tier IS NULL) AS BIGINT) - (SELECT count(*) FROM written) AS duplicates,
        (SELECT count(*) FROM written) AS written, CAST(0 AS BIGINT) AS errors
 FROM rows""")
 def q_run_summary(spark, sf):
@@ -652,10 +652,10 @@ def q_backfill_classes(spark, sf):
 
 
 @register("backfill_summary", f"""
-SELECT count(*) AS scanned, count_if(employment_type_updated OR experience_level_updated) AS updated,
-       count_if(employment_type_updated) AS employment_type_updated,
-       count_if(experience_level_updated) AS experience_level_updated,
-       count_if(NOT (employment_type_updated OR experience_level_updated)) AS unchanged
+SELECT count(*) AS scanned, CAST(count_if(employment_type_updated OR experience_level_updated) AS BIGINT) AS updated,
+       CAST(count_if(employment_type_updated) AS BIGINT) AS employment_type_updated,
+       CAST(count_if(experience_level_updated) AS BIGINT) AS experience_level_updated,
+       CAST(count_if(NOT (employment_type_updated OR experience_level_updated)) AS BIGINT) AS unchanged
 FROM {_BF_SQL}""")
 def q_backfill_summary(spark, sf):
     return maintain.backfill_summary(maintain.backfill_classes(_class_store(spark, sf)))
@@ -689,7 +689,7 @@ def q_schema_migrate(spark, sf):
 
 
 @register("fill_blank", f"""
-SELECT count_if(coalesce({_MIG_SAL}, '') = '') AS filled FROM part""")
+SELECT CAST(count_if(coalesce({_MIG_SAL}, '') = '') AS BIGINT) AS filled FROM part""")
 def q_fill_blank(spark, sf):
     out = maintain.fill_blank_salary(maintain.migrate_schema(_legacy_store(spark, sf)))
     return out.agg(F.count_if("salary_filled").alias("filled"))
@@ -732,7 +732,7 @@ def q_repair_dates(spark, sf):
 
 @register("repair_dates_summary", f"""
 SELECT count(*) AS rewritten,
-       count_if(date_posted = 'Not Posted' AND created_day = '{BAD_DAY}') AS repaired_fallbacks
+       CAST(count_if(date_posted = 'Not Posted' AND created_day = '{BAD_DAY}') AS BIGINT) AS repaired_fallbacks
 FROM {_RD_SQL}""")
 def q_repair_dates_summary(spark, sf):
     out = maintain.repair_dates(_dated_store(spark, sf), bad_day=BAD_DAY)
@@ -815,7 +815,7 @@ def q_recover_company(spark, sf):
 
 
 @register("recover_company_summary", f"""
-SELECT count_if(company_recovered) AS updated, count_if(coalesce(company, '') = '') AS unresolved
+SELECT CAST(count_if(company_recovered) AS BIGINT) AS updated, CAST(count_if(coalesce(company, '') = '') AS BIGINT) AS unresolved
 FROM {_RC_SQL}""")
 def q_recover_company_summary(spark, sf):
     return maintain.recover_company_summary(_recovered(spark, sf))
