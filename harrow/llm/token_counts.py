@@ -101,7 +101,7 @@ _WORKER: dict[str, tuple[str, object]] = {}
 
 def worker_value(kind: str, tag: str, make: Callable[[], object]) -> object:
     """A value that the Python worker keeps across tasks, one of each kind."""
-    if _WORKER.get(kind, ("",))[0] != tag:
+    if kind not in _WORKER or _WORKER[kind][0] != tag:
         _WORKER[kind] = (tag, make())
     return _WORKER[kind][1]
 
