@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harrow.llm.common import read_table
 from harrow.llm.exact_copies import exact_copies
 from harrow.llm.piece_codec import round_trips
+from harrow.llm.soft_mixing import mixing_rates
 from harrow.llm.token_counts import token_counts
 from harrow.llm.topk_search import topk_search
 from harrow.llm.toxicity import toxicity
@@ -35,12 +36,23 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(read_table(spark, sf_dir, "documents"))
 
 
+#: Wanted token shares of the query and of the pipeline, by quality label.
+TARGETS = {"1": 0.95, "0": 0.05}
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing_rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), TARGETS)
+    return rates.select("doc_id", "n_tokens", F.col("posteriors")["0"].alias("p_low"),
+                        F.col("posteriors")["1"].alias("p_high"), "rate", "copies")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_topk_search": op9_topk_search,
+    "op10_soft_mixing": op10_soft_mixing,
 }
 
 LLM_ORACLES: dict[str, str] = {
