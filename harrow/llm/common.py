@@ -53,7 +53,7 @@ def to_scratch(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared work folder and read back: short lineage, safe to lose executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(*frames: DataFrame) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harrow.llm.common import read_table
 from harrow.llm.exact_copies import exact_copies
+from harrow.llm.katz import katz_scores
 from harrow.llm.piece_codec import round_trips
 from harrow.llm.soft_mixing import mixing_rates
 from harrow.llm.token_counts import token_counts
@@ -32,6 +33,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op4_katz_backoff": op4_katz_backoff,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_topk_search": op9_topk_search,
