@@ -17,7 +17,8 @@ stand for texts of equal length and equal second hash.
 
 Defined results: null text counts as empty; a null id never stays when another
 row of its group has an id, and then that id is the group's; in a group of null
-ids alone keep_id is null and nothing is marked as kept; a repeated row (same
+ids alone keep_id is null and all stay (``drop_exact_copies`` leaves rows
+without id alone, for no id names them); a repeated row (same
 id, same text) is kept together with its twin, for both are that document; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -40,40 +41,46 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, " ")
 
 
-def _run(level: int, fan_in: int) -> Column:
-    return F.floor(F.col("run") / fan_in**level).cast("int")
+def _run(fan_in: int) -> Column:
+    return F.floor(F.col("run") / fan_in).cast("int")
 
 
-def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for every row."""
-    norm = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    rows = to_scratch(norm.select(
-        "doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.length("norm").alias("n_chars"),
-        F.xxhash64("norm").alias("check"),
-        F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(runs)).cast("int").alias("run")), "digests")
+def deal_runs(runs: int = RUNS) -> Column:
+    """The run of a row, from its id."""
+    return F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(runs)).cast("int")
 
-    levels = [rows.groupBy(*KEY, "run").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))]
-    width, rounds = runs, 0
+
+def tree_merge(rows: DataFrame, key: list[str], runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+    """``rows`` (doc_id, run, key columns, others) with the least id and size of each key's group."""
+    levels = [rows.groupBy(*key, "run").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))]
+    width = runs
     while width > 1:
-        rounds += 1
         width = -(-width // fan_in)
-        below = levels[-1] if rounds == 1 else levels[-1].select(*KEY, "run", "least", "n")
-        levels.append(below.withColumn("run", _run(1, fan_in)).groupBy(*KEY, "run")
+        levels.append(levels[-1].withColumn("run", _run(fan_in)).groupBy(*key, "run")
                       .agg(F.min("least").alias("least"), F.sum("n").alias("n")))
-
     answer = levels[-1]
     for below in reversed(levels[:-1]):
-        above = answer.select(*KEY, F.col("run").alias("up"), "least", "n")
-        answer = (below.select(*KEY, "run", _run(1, fan_in).alias("up"))
-                  .join(above, [*KEY, "up"]).select(*KEY, "run", "least", "n"))
-    return (rows.join(answer, [*KEY, "run"])
+        above = answer.select(*key, F.col("run").alias("up"), "least", "n")
+        answer = (below.select(*key, "run", _run(fan_in).alias("up"))
+                  .join(above, [*key, "up"]).select(*key, "run", "least", "n"))
+    return rows.join(answer, [*key, "run"])
+
+
+def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for every row."""
+    norm = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    rows = to_scratch(norm.select(
+        "doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.length("norm").alias("n_chars"),
+        F.xxhash64("norm").alias("check"), deal_runs(runs).alias("run")), "digests")
+    return (tree_merge(rows, KEY, runs, fan_in)
             .select("doc_id", F.col("least").alias("keep_id"), F.col("n").alias("group_size"),
-                    F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False)).alias("kept"),
+                    F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were."""
-    gone = exact_copies(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    gone = (exact_copies(docs, id_col, text_col).filter(~F.col("kept") & F.col("doc_id").isNotNull())
+            .select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harrow.llm.common import read_table
 from harrow.llm.exact_copies import exact_copies
 from harrow.llm.katz import katz_scores
+from harrow.llm.near_copies import near_copies
 from harrow.llm.piece_codec import round_trips
 from harrow.llm.soft_mixing import mixing_rates
 from harrow.llm.token_counts import token_counts
@@ -21,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(read_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(read_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_katz_backoff": op4_katz_backoff,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_setsketch_near_dedup": op6_setsketch_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_topk_search": op9_topk_search,
     "op10_soft_mixing": op10_soft_mixing,
