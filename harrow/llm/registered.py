@@ -12,6 +12,7 @@ from harrow.llm.exact_copies import exact_copies
 from harrow.llm.katz import katz_scores
 from harrow.llm.near_copies import near_copies
 from harrow.llm.piece_codec import round_trips
+from harrow.llm.repeated_spans import repeated_spans, span_digests
 from harrow.llm.soft_mixing import mixing_rates
 from harrow.llm.token_counts import token_counts
 from harrow.llm.topk_search import topk_search
@@ -26,6 +27,10 @@ def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(repeated_spans(read_table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(read_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_katz_backoff": op4_katz_backoff,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_setsketch_near_dedup": op6_setsketch_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_topk_search": op9_topk_search,
     "op10_soft_mixing": op10_soft_mixing,
