@@ -11,6 +11,7 @@ from harrow.llm.common import read_table
 from harrow.llm.exact_copies import exact_copies
 from harrow.llm.katz import katz_scores
 from harrow.llm.near_copies import near_copies
+from harrow.llm.personal_data import personal_data, span_report
 from harrow.llm.piece_codec import round_trips
 from harrow.llm.repeated_spans import repeated_spans, span_digests
 from harrow.llm.soft_mixing import mixing_rates
@@ -43,6 +44,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(read_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_personal_data": op3_personal_data,
     "op4_katz_backoff": op4_katz_backoff,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_setsketch_near_dedup": op6_setsketch_near_dedup,
