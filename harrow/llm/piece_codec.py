@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from harrow.llm.common import id_text, ship_code
 from harrow.llm.token_counts import DEFAULT_MODEL, SPACE, model_path, pretokens, worker_value
@@ -165,8 +166,9 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model: str = DEFAU
                 names=[*names, "piece_ids", "n_pieces"])
 
     kept = docs.select(*names)
-    ddl = kept.schema.add("piece_ids", "array<int>").add("n_pieces", "long")
-    return kept.mapInArrow(encode, ddl)
+    schema = StructType([*kept.schema.fields, StructField("piece_ids", ArrayType(IntegerType())),
+                         StructField("n_pieces", LongType())])
+    return kept.mapInArrow(encode, schema)
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "piece_ids",

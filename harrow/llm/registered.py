@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from harrow.llm.common import read_table
 from harrow.llm.exact_copies import exact_copies
 from harrow.llm.katz import katz_scores
@@ -77,6 +78,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_topk_search": op9_topk_search,
     "op10_soft_mixing": op10_soft_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 LLM_ORACLES: dict[str, str] = {
