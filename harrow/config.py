@@ -245,7 +245,7 @@ class CurationConfig:
     keywords: tuple[str, ...] = EXAMPLE_KEYWORDS
     exclude_keywords: tuple[str, ...] = EXAMPLE_EXCLUDE_KEYWORDS
     preferred_locations: tuple[str, ...] = EXAMPLE_PREFERRED_LOCATIONS
-    max_jobs_per_source: int = EXAMPLE_MAX_JOBS_PER_SOURCE
+    max_jobs_per_source: int | None = EXAMPLE_MAX_JOBS_PER_SOURCE
     extra: dict = field(default_factory=dict)
 
     def with_(self, **changes) -> "CurationConfig":

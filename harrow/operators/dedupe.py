@@ -2,7 +2,7 @@
 checks against a store, and the ordered two-key rule.
 
 Arrival order is an explicit column (``ord``: a number or a struct such as
-``(source_rank, board_rank, item_rank)``), never task order, so results do
+``(source_rank, board_rank, page_id, section, pos)``), never task order, so results do
 not depend on partitioning.
 """
 
@@ -19,29 +19,46 @@ from harrow.session import scratch_path
 def first_wins(df: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFrame:
     """Keep the earliest row of every key group (``seen``-set dedupe).
 
-    Expressed as ``min(struct(order, *rest))`` per group rather than a
-    ``row_number`` window: the aggregate is combined map-side, so a key that
-    holds a third of all rows is reduced inside each task before the shuffle
-    and no task ever receives the whole group.
+    Only ``min(order)`` per key is aggregated (combined map-side, so a key that
+    holds a third of all rows is reduced inside each task), and the rows that
+    hold it are taken by a join on the keys and the order.  Null keys are a
+    group of their own.
     """
-    rest = [c for c in df.columns if c not in keys and c != order]
-    packed = F.min(F.struct(F.col(order).alias(order), *[F.col(c) for c in rest])).alias("_first")
-    return (df.groupBy(*keys).agg(packed)
-            .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [order] + rest])
-            .select(*df.columns))
+    marks = [f"_k{i}" for i in range(len(keys))]
+    firsts = df.groupBy(*[F.col(k).alias(m) for k, m in zip(keys, marks, strict=True)]).agg(
+        F.min(order).alias("_first"))
+    same = df[order] == firsts["_first"]
+    for k, m in zip(keys, marks, strict=True):
+        same = same & df[k].eqNullSafe(firsts[m])
+    return df.join(firsts, same, "left_semi")
 
 
-def cap_per_group(df: DataFrame, group: str | Sequence[str], n: int,
+#: Largest cap for which Spark plans a partial WindowGroupLimit before the exchange.
+GROUP_LIMIT = 1000
+CAP_PIECES = 64
+
+
+def cap_per_group(df: DataFrame, group: str | Sequence[str], n: int | None,
                   order: str = "ord", rank_col: str | None = None) -> DataFrame:
-    """Keep the first ``n`` rows of every group in ``order``.
+    """Keep the first ``n`` rows of every group in ``order``; None keeps all.
 
-    Spark plans a partial ``WindowGroupLimit`` before the shuffle, so each
-    task sends at most ``n`` rows per group whatever the group size.
+    Up to GROUP_LIMIT, Spark plans a partial ``WindowGroupLimit`` before the
+    shuffle, so each task sends at most ``n`` rows per group.  A larger cap
+    first takes the first ``n`` of CAP_PIECES pieces of each group (by a
+    hash of the order), so that a hot group is ranked by many tasks and the
+    final ranking gets at most CAP_PIECES * n rows of it.
     """
+    if n is None and rank_col is None:
+        return df
     groups = [group] if isinstance(group, str) else list(group)
-    w = Window.partitionBy(*groups).orderBy(F.col(order))
+    if n is not None and n > GROUP_LIMIT:
+        pieces = Window.partitionBy(*groups, "_piece").orderBy(F.col(order))
+        df = (df.withColumn("_piece", F.pmod(F.xxhash64(order), F.lit(CAP_PIECES)))
+              .withColumn("_rank", F.row_number().over(pieces)).where(F.col("_rank") <= n).drop("_rank", "_piece"))
     name = rank_col or "_rank"
-    out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(order))))
+    if n is not None:
+        out = out.where(F.col(name) <= n)
     return out if rank_col else out.drop(name)
 
 

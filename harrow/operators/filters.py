@@ -12,12 +12,10 @@ from harrow.config import (BOARD_TITLE_PHRASES_A, BOARD_TITLE_PHRASES_B, CITY_AI
                            CITY_IRRELEVANT_PATTERNS, INTERN_ALLOW_PATTERN, INTERN_PATTERN,
                            STARTUP_AI_PATTERNS, STARTUP_IRRELEVANT_PATTERNS, CurationConfig)
 from harrow.functions.regex import JS_SPACE_JAVA
-from harrow.functions.text import (col_, contains_any, filter_haystack, jstrim, matches,
-                                   matches_any)
+from harrow.functions.text import col_, contains_any, filter_haystack, jstrim, matches_any
+from harrow.session import scratch_path
 
-# Above this many phrases a phrase table is matched by an equi-join on
-# anchors instead of one expression per phrase.
-PHRASE_EXPR_LIMIT = 64
+# Characters of a phrase by which phrase_semi looks it up.
 ANCHOR_CHARS = 24
 
 
@@ -27,12 +25,35 @@ def board_title_ok(title, shape: str) -> Column:
     return contains_any(F.coalesce(col_(title), F.lit("")), phrases)
 
 
-def _relevance(title_text: Column, hay: Column, ai, irrelevant) -> Column:
-    intern = matches(hay, INTERN_PATTERN)
+def _relevance(title_text: Column, hay: Column, ai, irrelevant, title_low: Column | None = None,
+               hay_low: Column | None = None) -> Column:
+    intern = matches_any(hay, [INTERN_PATTERN], low=hay_low)
     return ((title_text != "")
-            & ~matches_any(title_text, irrelevant)
-            & matches_any(hay, ai)
-            & (~intern | matches(hay, INTERN_ALLOW_PATTERN)))
+            & ~matches_any(title_text, irrelevant, low=title_low)
+            & matches_any(hay, ai, low=hay_low)
+            & (~intern | matches_any(hay, [INTERN_ALLOW_PATTERN], low=hay_low)))
+
+
+def with_relevance(df: DataFrame, title="title", card_text="card_text", city: str | None = None,
+                   startup: str | None = None) -> DataFrame:
+    """Adds the city gate and the startup gate under the names given.
+
+    Title, text and their lower-cased forms are columns of their own first,
+    so that the many patterns read them instead of building them again.
+    """
+    t = jstrim(F.coalesce(col_(title), F.lit("")))
+    df = df.withColumn("_title", t).withColumn("_title_low", F.lower("_title"))
+    names = ["_title", "_title_low"]
+    if city:
+        df = (df.withColumn("_text", F.concat(F.col("_title"), F.lit("\n"), F.coalesce(col_(card_text), F.lit(""))))
+              .withColumn("_text_low", F.lower("_text"))
+              .withColumn(city, _relevance(F.col("_title"), F.col("_text"), CITY_AI_PATTERNS,
+                                           CITY_IRRELEVANT_PATTERNS, F.col("_title_low"), F.col("_text_low"))))
+        names += ["_text", "_text_low"]
+    if startup:
+        df = df.withColumn(startup, _relevance(F.col("_title"), F.col("_title"), STARTUP_AI_PATTERNS,
+                                               STARTUP_IRRELEVANT_PATTERNS, F.col("_title_low"), F.col("_title_low")))
+    return df.drop(*names)
 
 
 def city_relevant(title="title", card_text="card_text") -> Column:
@@ -65,9 +86,11 @@ def failed_tier(cfg: CurationConfig, title="title", description="description",
     4: the location is not blank, not remote and matches no preferred place
     (skipped when no places are configured).
     """
-    t = F.lower(F.coalesce(col_(title), F.lit("")))
-    loc = F.lower(F.coalesce(col_(location), F.lit("")))
-    text = filter_haystack(title, description, card_text, company_context)
+    return _tier(cfg, F.lower(F.coalesce(col_(title), F.lit(""))), F.lower(F.coalesce(col_(location), F.lit(""))),
+                 filter_haystack(title, description, card_text, company_context))
+
+
+def _tier(cfg: CurationConfig, t: Column, loc: Column, text: Column) -> Column:
     has_text = text != ""
     t1 = contains_any(t, cfg.blocked_job_titles, lowered=True) | ~contains_any(
         t, cfg.job_titles, lowered=True)
@@ -86,9 +109,14 @@ def apply_tiers(df: DataFrame, cfg: CurationConfig) -> DataFrame:
     """Add ``failed_tier`` and ``passed``; missing optional text columns count as empty."""
     def c(name):
         return F.col(name) if name in df.columns else F.lit(None).cast("string")
-    tier = failed_tier(cfg, c("title"), c("description"), c("card_text"),
-                       c("company_context"), c("location"))
-    return df.withColumn("failed_tier", tier).withColumn("passed", F.col("failed_tier").isNull())
+    # The lower-cased texts are columns of their own, so each phrase test reads them as they are.
+    df = df.withColumns({
+        "_tier_title": F.lower(F.coalesce(c("title"), F.lit(""))),
+        "_tier_place": F.lower(F.coalesce(c("location"), F.lit(""))),
+        "_tier_text": filter_haystack(c("title"), c("description"), c("card_text"), c("company_context"))})
+    tier = _tier(cfg, F.col("_tier_title"), F.col("_tier_place"), F.col("_tier_text"))
+    return (df.withColumn("failed_tier", tier).drop("_tier_title", "_tier_place", "_tier_text")
+            .withColumn("passed", F.col("failed_tier").isNull()))
 
 
 def blank_or_invalid(value, domain: Sequence[str]) -> Column:
@@ -107,61 +135,57 @@ def route_by_host(url, rules: Sequence[tuple[str, Column]], default: Column | No
     return dflt if out is None else out.otherwise(dflt)
 
 
-def phrase_semi(df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str = "phrase",
-                key: str | None = None, limit: int = PHRASE_EXPR_LIMIT,
-                anchor: int = ANCHOR_CHARS) -> DataFrame:
+def phrase_semi(df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str = "phrase") -> DataFrame:
     """Rows whose lower-cased text contains at least one phrase of a table.
 
-    The phrase count is checked first.  Up to ``limit`` phrases (a proven
-    bound) the test is one expression over a literal list, evaluated where
-    the rows are.  Beyond it the match is an equi-join:
+    One path, whatever the number of phrases:
 
-    * a phrase with whitespace is anchored at the ``anchor`` characters that
-      follow its first whitespace; wherever the phrase occurs in a text,
-      that anchor starts right after a whitespace character of the text, so
-      indexing each text only at positions after whitespace finds every
-      occurrence.  Candidate (row, phrase) pairs from the join are verified
-      with a substring test.
-    * phrases without whitespace are matched on every substring of their
-      length (their lengths are bounded by the longest such phrase).
+    * a phrase with whitespace is anchored at the (up to) ANCHOR_CHARS characters
+      that follow its first whitespace; wherever the phrase occurs in a text,
+      that anchor starts right after a whitespace character of the text;
+    * a phrase without whitespace, or with nothing behind its first one, is
+      anchored at its first characters, as many as the shortest such phrase has
+      (ANCHOR_CHARS at most), and texts are indexed at every position for these,
+      if there are any.
 
-    Exact, distributed, no pairwise comparison of rows with phrases.
+    Texts are written once with a row number of their own, so no key is asked
+    for and rows with null keys stay.  Distinct anchors of a text meet the
+    phrases in an equi-join on a 64-bit hash, and candidate pairs are verified
+    with a substring test.  An empty phrase is in every text.
     """
-    low = (phrases.select(F.lower(F.col(phrase_col)).alias("_p")).where(F.col("_p").isNotNull())
-           .distinct())
-    n = low.limit(limit + 1).count()
-    if n <= limit:
-        values = [r["_p"] for r in low.collect()]
-        return df.where(contains_any(F.lower(F.coalesce(F.col(text_col), F.lit(""))),
-                                     values, lowered=True))
-    if key is None:
-        raise ValueError("a unique key column is needed beyond the expression limit")
-    if low.where(F.col("_p") == "").limit(1).count():  # '' is in every text
-        return df
     space = f"[{JS_SPACE_JAVA}]"
+    low = (phrases.select(F.lower(F.col(phrase_col)).alias("_p")).where(F.col("_p").isNotNull()).distinct())
     sp = F.regexp_instr(F.col("_p"), F.lit(space))  # 1-based, 0 when none
-    ph = low.withColumn("_a", F.when(sp > 0, F.substring("_p", sp + 1, anchor)))
-    anchored = ph.where(F.length("_a") > 0).withColumn("_len", F.length("_a"))
-    loose = ph.where(F.coalesce(F.length("_a"), F.lit(0)) == 0).select("_p")
-    hay = df.select(key, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
-
-    # Anchor lengths below ``anchor`` occur only for phrases ending soon after
-    # their first space; the set of lengths is bounded by ``anchor``.
-    lengths = [r[0] for r in anchored.select("_len").distinct().collect()]
-    grams = hay.select(key, F.explode(F.regexp_extract_all(
-        "_t", F.lit(f"(?s)(?<={space})(?=(.{{1,{anchor}}}))"), 1)).alias("_g"))
-    grams = (grams.select(key, "_g", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("_len"))
-             .where(F.length("_g") >= F.col("_len"))
-             .select(key, "_len", F.substring("_g", 1, F.col("_len")).alias("_a")))
-    cand = grams.join(anchored.select("_a", "_len", "_p"), ["_a", "_len"]).select(key, "_p").distinct()
-    hits = (cand.join(hay, key).where(F.instr("_t", F.col("_p")) > 0).select(key))
-
-    loose_lengths = [r[0] for r in loose.select(F.length("_p")).distinct().collect()]
-    if loose_lengths:
-        subs = (hay.select(key, "_t", F.explode(F.array(*[F.lit(x) for x in loose_lengths])).alias("_len"))
-                .where(F.length("_t") >= F.col("_len"))
-                .select(key, F.explode(F.transform(
-                    F.sequence(F.lit(1), F.length("_t") - F.col("_len") + 1),
-                    lambda i: F.substring("_t", i, F.col("_len")))).alias("_p")))
-        hits = hits.unionByName(subs.join(loose, "_p", "left_semi").select(key))
-    return df.join(hits.distinct(), key, "left_semi")
+    low = low.withColumn("_a", F.when(sp > 0, F.substring("_p", sp + 1, ANCHOR_CHARS)).otherwise(F.lit("")))
+    spaced = low.where(F.col("_a") != "")
+    loose = low.where(F.col("_a") == "")
+    shortest = loose.agg(F.min(F.length("_p"))).first()[0]
+    if shortest == 0:
+        return df
+    texts = df.withColumn("_row", F.monotonically_increasing_id()).withColumn(
+        "_t", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    path = scratch_path(df.sparkSession, "phrase-texts")
+    texts.write.parquet(path)
+    texts = df.sparkSession.read.schema(texts.schema).parquet(path)
+
+    # Anchors shorter than ANCHOR_CHARS come from phrases that end soon after their first
+    # whitespace: at most ANCHOR_CHARS different lengths.
+    lengths = [r[0] for r in spaced.select(F.length("_a")).distinct().collect()]
+    index = spaced.select("_p", F.xxhash64("_a").alias("_h"))
+    behind = F.regexp_extract_all("_t", F.lit(f"(?s)(?<={space})(?=(.{{1,{ANCHOR_CHARS}}}))"), 1)
+
+    def heads(n: int) -> Column:
+        return F.transform(F.filter(behind, lambda g: F.length(g) >= n), lambda g: F.xxhash64(F.substring(g, 1, n)))
+
+    grams = [heads(n) for n in lengths]
+    if shortest is not None:
+        n = min(shortest, ANCHOR_CHARS)
+        index = index.unionByName(loose.select("_p", F.xxhash64(F.substring("_p", 1, n)).alias("_h")))
+        every = F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+        grams.append(F.transform(every, lambda g: F.xxhash64(g)))
+    if not grams:
+        return df.where(F.lit(False))
+    found = texts.select("_row", F.explode(F.array_distinct(F.concat(*grams))).alias("_h"))
+    pairs = found.join(index, "_h").select("_row", "_p").distinct()
+    hits = texts.select("_row", "_t").join(pairs, "_row").where(F.instr("_t", F.col("_p")) > 0).select("_row")
+    return texts.join(hits.distinct(), "_row", "left_semi").select(*df.columns)

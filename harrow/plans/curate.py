@@ -25,11 +25,12 @@ from harrow.sources.store import append, to_store_rows
 def settle_source(listings: DataFrame, cfg: CurationConfig, source: str = "source",
                   url: str = "source_url", order: str = "ord") -> DataFrame:
     """Per source: drop rows without title or URL, keep the first row of each
-    URL, then the first ``max_jobs_per_source`` rows in arrival order.
+    URL, then the first ``max_jobs_per_source`` rows in arrival order (None: all).
 
     Relevance and pre-filters must already be applied (an irrelevant row
     never reserves its URL), and the tier filter must come after (the cap
-    counts rows that tiers later reject).
+    counts rows that tiers later reject); a verdict that rides along as a
+    column removes nothing and may be computed before.
     """
     valid = listings.where(present("title") & present(url))
     firsts = first_wins(valid, [source, url], order)
@@ -49,15 +50,10 @@ class RunResult:
     rounds: int
 
 
-def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | None = None,
-           order: str = "ord") -> RunResult:
-    """Tier verdicts, two-key dedupe and store rows for a settled listing set.
-
-    One pass over the text computes the fingerprint, the verdict and (for
-    rows that pass) the classes; the text columns are then dropped and the
-    slim verdict table is checkpointed, so the dedupe and the status labels
-    both read it instead of scanning whole descriptions again, and no
-    shuffle carries the text.
+def judge(listings: DataFrame, cfg: CurationConfig) -> DataFrame:
+    """Slim rows: fingerprint, verdict and (for rows that pass) classes, without the text.
+
+    One narrow pass over the text; everything after it moves slim rows only.
     """
     text_cols = [c for c in ("description", "card_text", "company_context") if c in listings.columns]
 
@@ -69,7 +65,20 @@ def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | None = N
     classed = classify_hay(verdicts, hay)
     for k in ("employment_type", "experience_level"):
         classed = classed.withColumn(k, F.when(F.col("passed"), F.col(k)))
-    slim = classed.drop(*text_cols)
+    return classed.drop(*text_cols)
+
+
+def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | None = None,
+           order: str = "ord", settle: bool = False) -> RunResult:
+    """Tier verdicts, two-key dedupe and store rows for a listing set.
+
+    The slim rows of :func:`judge` are settled per source if ``settle`` asks
+    for it (else the listings are settled already) and checkpointed; dedupe
+    and status labels both read that table, and no shuffle carries text.
+    """
+    slim = judge(listings, cfg)
+    if settle:
+        slim = settle_source(slim, cfg, order=order)
     work_dir(slim.sparkSession)
     slim = slim.checkpoint(eager=True)
     kept, rounds = two_key_dedupe(slim.where("passed"), "source_url", "fingerprint", order, store,
@@ -84,8 +93,8 @@ def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | None = N
 
 
 def run_into_store(listings: DataFrame, cfg: CurationConfig, store_path: str,
-                   store: DataFrame | None = None) -> RunResult:
+                   store: DataFrame | None = None, settle: bool = False) -> RunResult:
     """Curate and append the survivors to the store at ``store_path``."""
-    res = curate(listings, cfg, store)
+    res = curate(listings, cfg, store, settle=settle)
     append(res.written, store_path)
     return res

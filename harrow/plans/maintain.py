@@ -145,21 +145,28 @@ def heading(html: Column) -> Column:
 
 
 def link_text(html: Column, href_marker: str) -> Column:
-    """Trimmed text of the first link whose href contains the marker."""
-    pat = r'<a[^>]*href="[^"]*' + href_marker.replace(".", r"\.") + r'[^"]*"[^>]*>([^<]*)</a>'
-    return jstrim(F.regexp_extract(html, pat, 1))
+    """Trimmed text (inner tags stripped) of the first link whose href contains the marker."""
+    pat = r'(?is)<a\b[^>]*href="[^"]*' + href_marker.replace(".", r"\.") + r'[^"]*"[^>]*>(.*?)</a>'
+    return jstrim(F.regexp_replace(F.regexp_extract(html, pat, 1), "<[^>]+>", ""))
+
+
+def company_element(html: Column) -> Column:
+    """Text of the first ``data-id="company-title"`` element, else of the first company link."""
+    marked = jstrim(F.regexp_replace(F.regexp_extract(
+        html, r'(?is)<[a-z0-9]+\b[^>]*data-id="company-title"[^>]*>(.*?)</', 1), "<[^>]+>", ""))
+    return F.coalesce(F.when(marked != "", marked), link_text(html, "/company/"))
 
 
 def page_companies(pages: DataFrame) -> DataFrame:
     """Per landed page URL, the company each recovery rule reads from it:
-    ``line_rule`` (company link, else the last line before the heading) and
+    ``line_rule`` (company element or link, else the last line before the heading) and
     ``at_rule`` (company link, else the text after `` at `` in the heading).
 
     A narrow projection over the pages, then one row per URL (the first by
     page content), so the page HTML itself is never shuffled.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    line_rule = F.coalesce(F.when(link_text(html, "/company/") != "", link_text(html, "/company/")),
+    line_rule = F.coalesce(F.when(company_element(html) != "", company_element(html)),
                            company_before_heading(page_text(html), heading(html)))
     at_rule = F.coalesce(F.when(link_text(html, "/companies/") != "", link_text(html, "/companies/")),
                          company_from_heading(heading(html)))

@@ -20,15 +20,18 @@ from harrow.functions.company import split_company
 from harrow.functions.salary import clean_salary, salary_from_compensation, salary_from_range
 from harrow.functions.text import collapse_ws, fingerprint, jstrim, lines, or_default, strip_tags
 from harrow.operators.dedupe import anti_store, cap_per_group, first_wins, two_key_dedupe
-from harrow.operators.filters import apply_tiers, board_title_ok, city_relevant, phrase_semi, present, startup_relevant
+from harrow.operators.filters import apply_tiers, board_title_ok, phrase_semi, present, with_relevance
 from harrow.operators.metrics import source_counts, sources_dim, tier_counts
 from harrow.plans import maintain
 from harrow.plans import sqltext as S
 from harrow.plans.curate import curate, enrich, settle_source
 from harrow.plans.views import doc_listings, key_listings, part_listings, table
-from harrow.sources.pages import CardRules, SectionRules, card_scan, link_scan, section_scan
+from harrow.sources.boards import BOARDS, TEMPLATES, board_listings
+from harrow.sources.pages import (COMPANY_PATTERNS, CONTAINER_PATTERN, LEAF_PATTERN, LINK_PATTERN, CardRules, SectionRules, card_scan,
+                                  link_scan, section_scan)
+from harrow.sources.registry import html_rows
 from harrow.sources.store import to_store_rows, update_status, with_status
-from harrow.streaming.incremental import ingest_available
+from harrow.streaming.incremental import ingest_available, land_batch, run_rows
 from harrow.session import scratch_path
 
 # Phrase lists for the driver tables (words present in documents and part).
@@ -42,7 +45,9 @@ DRIVER_CONFIG = CurationConfig(
 )
 # The full-run checks let every row through the per-source cap so the whole
 # table reaches the tiers and the dedupe; the cap is checked on its own.
-UNCAPPED = DRIVER_CONFIG.with_(max_jobs_per_source=2**31 - 1)
+UNCAPPED = DRIVER_CONFIG.with_(max_jobs_per_source=None)
+# All keywords of the example configuration besides those that occur in the driver text.
+TIER_CONFIG = DRIVER_CONFIG.with_(keywords=tuple(CurationConfig().keywords) + DRIVER_CONFIG.keywords)
 
 # Fixed test values: suffixes appended to document text so that every class
 # outcome occurs (chosen by doc_id mod 12).
@@ -151,7 +156,7 @@ WHERE EXISTS (SELECT 1 FROM benchmark b WHERE b.text IS NOT NULL
 def q_phrase_semi(spark, sf):
     docs = table(spark, sf, "documents")
     phrases = table(spark, sf, "benchmark").select(F.col("text").alias("phrase"))
-    return phrase_semi(docs, "text", phrases, key="doc_id").select("doc_id")
+    return phrase_semi(docs, "text", phrases).select("doc_id")
 
 
 def _city_sql(title: str, card: str) -> str:
@@ -178,16 +183,16 @@ SELECT ord, {_city_sql('title', 'description')} AS city_keep, {_startup_sql('tit
 FROM {LDOC}""")
 def q_relevance_gate(spark, sf):
     d = doc_listings(spark, sf)
-    return d.select("ord", city_relevant("title", "description").alias("city_keep"),
-                    startup_relevant("title").alias("startup_keep"))
+    return with_relevance(d, "title", "description", city="city_keep", startup="startup_keep").select(
+        "ord", "city_keep", "startup_keep")
 
 
 @register("tier_filter", f"""
 SELECT ord, failed_tier, failed_tier IS NULL AS passed FROM (
-  SELECT ord, {S.failed_tier(DRIVER_CONFIG, 'title', 'description', location='location')} AS failed_tier
+  SELECT ord, {S.failed_tier(TIER_CONFIG, 'title', 'description', location='location')} AS failed_tier
   FROM {LDOC})""")
 def q_tier_filter(spark, sf):
-    return apply_tiers(doc_listings(spark, sf), DRIVER_CONFIG).select("ord", "failed_tier", "passed")
+    return apply_tiers(doc_listings(spark, sf), TIER_CONFIG).select("ord", "failed_tier", "passed")
 
 
 @register("tier_counts", f"""
@@ -342,87 +347,127 @@ def q_strip_html(spark, sf):
                     F.length(a).alias("n_chars"))
 
 
-_LINK = S.q(r'<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>')
+def _inner_sql(x: str) -> str:
+    return S.jstrim(f"regexp_replace({x}, '<[^>]+>', '', 'g')")
+
+
+def _absolute_sql(base: str, href: str) -> str:
+    b = f"coalesce({base}, '')"
+    origin = f"regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    page = f"regexp_extract({b}, '^([^?#]*)', 1)"
+    folder = f"regexp_extract(CASE WHEN {page} = {origin} THEN {origin} || '/' ELSE {page} END, '^(.*/)', 1)"
+    return (f"CASE WHEN {href} = '' OR {origin} = '' OR regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {href} "
+            f"WHEN starts_with({href}, '//') THEN regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || {href} "
+            f"WHEN starts_with({href}, '/') THEN {origin} || {href} "
+            f"WHEN starts_with({href}, '?') THEN {page} || {href} "
+            f"WHEN starts_with({href}, '#') THEN regexp_extract({b}, '^([^#]*)', 1) || {href} "
+            f"ELSE {folder} || {href} END")
+
+
+def _markup(kinds: dict[int, str], every: int) -> tuple[Callable[[DataFrame], DataFrame], str]:
+    """Pages whose ``<p>`` become the markup of page_id modulo ``every`` ({n} is the page id), on Spark and in SQL."""
+    def spark_side(p: DataFrame) -> DataFrame:
+        new = F.lit("<p>")
+        for k, text in kinds.items():
+            parts = [x for piece in text.split("{n}") for x in (F.lit(piece), F.col("page_id").cast("string"))][:-1]
+            new = F.when(F.col("page_id") % every == k, F.concat(*parts)).otherwise(new)
+        return p.withColumn("html", F.replace("html", F.lit("<p>"), new))
+
+    cases = " ".join(f"WHEN {k} THEN " + " || CAST(page_id AS VARCHAR) || ".join(S.q(x) for x in text.split("{n}"))
+                     for k, text in kinds.items())
+    return spark_side, f"replace(html, '<p>', CASE page_id % {every} {cases} ELSE '<p>' END)"
+
+
+_LINK = S.q(LINK_PATTERN)
+_HREF = S.q(r'(?i)\bhref="([^"]*)"')
+_LINK_PAGES, _LINK_HTML = _markup({
+    0: '<li class="x"><a class="c" href="/company/{n}"><b>Firm {n}</b></a><a href="/job/{n}"><span>Role {n}</span></a>',
+    1: '<article><a href="job/{n}?a=b">Role <i>{n}</i></a><em data-id="company-title"> Maker {n} </em>',
+    2: '<div data-id="box"><a href="//h.example/job/{n}">Role {n}</a></div>'}, 4)
+
+
+def _company_in_sql(part: str) -> str:
+    found = [_inner_sql(f"regexp_extract({part}, {S.q(p)}, 2)") for p in COMPANY_PATTERNS]
+    return f"coalesce({', '.join(f'nullif({f}, {S.q(str())})' for f in found)}, '')"
+
+
+def _contained_sql(html: str, source: str = "pages") -> str:
+    """(page_id, url, j, k, href, text, company, around) of every link."""
+    return f"""
+(SELECT page_id, url, j, k, regexp_extract(attrs[k], {_HREF}, 1) AS href, {_inner_sql('texts[k]')} AS text,
+        CASE WHEN j > 1 THEN {_company_in_sql('part')} ELSE '' END AS company,
+        CASE WHEN j > 1 THEN {S.collapse(S.strip_tags('part'))} ELSE {_inner_sql('texts[k]')} END AS around
+ FROM (SELECT *, unnest(range(1, len(attrs) + 1)) AS k FROM (
+   SELECT page_id, url, j, part, regexp_extract_all(part, {_LINK}, 1) AS attrs,
+          regexp_extract_all(part, {_LINK}, 2) AS texts
+   FROM (SELECT page_id, url, j, parts[j] AS part FROM (
+     SELECT page_id, url, parts, unnest(range(1, len(parts) + 1)) AS j FROM (
+       SELECT page_id, url, string_split_regex({html}, {S.q(CONTAINER_PATTERN)}) AS parts FROM {source}))))))"""
 
 
 @register("page_links", f"""
-WITH l AS (SELECT page_id, regexp_extract_all(html, {_LINK}, 1) AS hrefs,
-                  regexp_extract_all(html, {_LINK}, 2) AS texts FROM pages),
-x AS (SELECT page_id, hrefs, texts, unnest(range(1, len(hrefs) + 1)) AS i FROM l)
-SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos,
-       {S.jstrim('texts[i]')} AS title, hrefs[i] AS href, 'Unknown' AS company,
-       '' AS location
-FROM x WHERE contains(hrefs[i], '/')""")
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY j, k) - 1 AS INTEGER) AS pos,
+       text AS title, {_absolute_sql('url', 'href')} AS href, coalesce(nullif(company, ''), 'Unknown') AS company,
+       '' AS location, around AS card_text
+FROM {_contained_sql(_LINK_HTML)} WHERE contains(href, '/')""")
 def q_page_links(spark, sf):
-    p = table(spark, sf, "pages")
-    return link_scan(p, href_contains="/").select("page_id", "pos", "title", "href", "company",
-                                                  "location")
+    return link_scan(_LINK_PAGES(table(spark, sf, "pages")), href_contains="/", base_col="url").select(
+        "page_id", "pos", "title", "href", "company", "location", "card_text")
 
 
 DRIVER_CARDS = CardRules(
-    card_marker="<p>", title=r"^(?:<b>)?([^<]*)", href=r'href="([^"]*)"',
-    company=r'<[^>]*data-id="company-title"[^>]*>([^<]*)',
-    salary=r'<[^>]*class="[^"]*(?:salary|Salary|compensation)[^"]*"[^>]*>([^<]*)',
-    location_like=CITY_LOCATION_PATTERNS["BuiltIn Houston"], link_href_contains="/",
+    location_like=CITY_LOCATION_PATTERNS["BuiltIn Houston"], link_href_contains="/job/",
     location_no_cards=HTML_LOCATION_DEFAULTS["BuiltIn Houston"][0],
     location_default=HTML_LOCATION_DEFAULTS["BuiltIn Houston"][1])
-
-
-def _card_pages(spark, sf):
-    # Pages whose id is a multiple of 5 carry no card marker, to reach the fallback.
-    p = table(spark, sf, "pages")
-    return p.withColumn("html", F.when(F.col("page_id") % 5 == 0,
-                                       F.regexp_replace("html", "<p>", "<div>")).otherwise(F.col("html")))
+_CARD_PAGES, _CARD_HTML = _markup({
+    0: '<li><a href="/company/{n}"><i>Firm {n}</i></a><a href="/job/{n}"><span>Role {n}</span></a>',
+    1: '<div data-id="job-card"><a href="/job/{n}" data-id="job-card-title"><b>Role {n}</b></a>'
+       '<em data-id="company-title"><i>Firm {n}</i></em><div class="job-salary"> ${n} </div><footer>end</footer>',
+    2: '<article class="wide job-card"><h2> <a href="job/{n}">Role {n}</a></h2><span>In Office, Remote</span>',
+    3: '<div data-id="job-card"><em>Lead {n}</em><a class="y" href="https://h.example/job/{n}">Role {n}</a>',
+    4: '<div data-id="job-card">'}, 6)
 
 
 def _card_sql() -> str:
     r = DRIVER_CARDS
-    html = "CASE WHEN page_id % 5 = 0 THEN replace(html, '<p>', '<div>') ELSE html END"
-    frag = "frags[i]"
-    runs = f"list_transform(regexp_extract_all('>' || {frag}, '>([^<]+)<', 1), lambda x: {S.jstrim('x')})"
-    title = S.jstrim(f"regexp_extract({frag}, {S.q(r.title)}, 1)")
-    leaf = f"list_filter({runs}, lambda x: x <> '' AND x <> {title})[1]"
-    company = (f"CASE WHEN regexp_matches({frag}, {S.q(r.company)}) THEN "
-               f"{S.jstrim(f'regexp_extract({frag}, {S.q(r.company)}, 1)')} "
-               f"ELSE coalesce({leaf}, 'Unknown') END")
-    spans = f"list_transform(regexp_extract_all({frag}, {S.q(r.location_leaf)}, 1), lambda x: {S.jstrim('x')})"
+    f = "frag"
+    runs = f"list_transform(regexp_extract_all({f}, {S.q(LEAF_PATTERN)}, 1), lambda x: {S.jstrim('x')})"
+    title = ("CASE " + " ".join(f"WHEN regexp_matches({f}, {S.q(t)}) THEN {_inner_sql(f'regexp_extract({f}, {S.q(t)}, 2)')}"
+                                for t in r.titles) + " ELSE '' END")
+    href = ("CASE " + " ".join(f"WHEN regexp_matches({f}, {S.q(t)}) THEN "
+                               f"regexp_extract(regexp_extract({f}, {S.q(t)}, 1), {_HREF}, 1)" for t in r.titles)
+            + " ELSE '' END")
+    spans = f"list_transform(regexp_extract_all({f}, {S.q(r.location_leaf)}, 1), lambda x: {S.jstrim('x')})"
     loc = f"list_filter({spans}, lambda x: regexp_matches(x, {S.q('(?i:' + S.re2(r.location_like) + ')')}))[1]"
-    card_text = S.collapse(S.strip_tags(frag))
     return f"""
-WITH p AS (SELECT page_id, {html} AS html FROM pages),
-b AS (SELECT page_id, html, string_split_regex(regexp_replace(html, '(?s)(?:{r.end_marker}).*$', ''), '{r.card_marker}') AS parts FROM p),
-cards AS (
-  SELECT page_id, parts AS frags, unnest(range(2, len(parts) + 1)) AS i FROM b WHERE len(parts) > 1),
+WITH p AS (SELECT page_id, url, {_CARD_HTML} AS html FROM pages),
+b AS (SELECT page_id, url, html, string_split_regex(html, {S.q(r.card_marker)}) AS parts FROM p),
+x AS (SELECT page_id, url, i, parts[i] AS frag FROM (
+  SELECT page_id, url, parts, unnest(range(2, len(parts) + 1)) AS i FROM b WHERE len(parts) > 1)),
+t AS (SELECT page_id, url, i, frag, {title} AS title, {href} AS href, {runs} AS runs FROM x),
 c AS (
-  SELECT page_id, CAST(i - 2 AS INTEGER) AS pos, {title} AS title,
-         {S.jstrim(f"regexp_extract({frag}, {S.q(r.href)}, 1)")} AS href,
-         {company} AS company,
-         {S.jstrim(f"regexp_extract({frag}, {S.q(r.salary)}, 1)")} AS salary,
+  SELECT page_id, CAST(i - 2 AS INTEGER) AS pos, title, {_absolute_sql('url', 'href')} AS href,
+         CASE WHEN regexp_matches({f}, {S.q(r.company)}) THEN {_inner_sql(f'regexp_extract({f}, {S.q(r.company)}, 1)')}
+              ELSE coalesce(list_filter(runs, lambda x: x <> '' AND x <> title)[1], 'Unknown') END AS company,
+         {S.jstrim(f"regexp_extract({f}, {S.q(r.salary)}, 1)")} AS salary,
          coalesce({loc}, {S.q(r.location_default)}) AS location,
-         {card_text} AS card_text, true AS from_cards
-  FROM cards),
-l AS (SELECT page_id, regexp_extract_all(html, {_LINK}, 1) AS hrefs,
-             regexp_extract_all(html, {_LINK}, 2) AS texts FROM b WHERE len(parts) <= 1),
-lx AS (SELECT page_id, hrefs, texts, unnest(range(1, len(hrefs) + 1)) AS i FROM l),
+         {S.collapse(S.strip_tags(f))} AS card_text, true AS from_cards
+  FROM t),
+n AS (SELECT page_id, url, html FROM b WHERE len(parts) <= 1),
 lk AS (
-  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos,
-         {S.jstrim('texts[i]')} AS title, hrefs[i] AS href, 'Unknown' AS company, '' AS salary,
-         {S.q(r.location_no_cards)} AS location, {S.jstrim('texts[i]')} AS card_text,
-         false AS from_cards
-  FROM lx WHERE contains(hrefs[i], {S.q(r.link_href_contains)}))
+  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY j, k) - 1 AS INTEGER) AS pos, text AS title,
+         {_absolute_sql('url', 'href')} AS href, coalesce(nullif(company, ''), 'Unknown') AS company, '' AS salary,
+         {S.q(r.location_no_cards)} AS location, around AS card_text, false AS from_cards
+  FROM {_contained_sql('html', 'n')} WHERE contains(href, {S.q(r.link_href_contains)}))
 SELECT * FROM c UNION ALL SELECT * FROM lk"""
 
 
 @register("page_cards", _card_sql())
 def q_page_cards(spark, sf):
-    return card_scan(_card_pages(spark, sf), DRIVER_CARDS).select(
+    return card_scan(_CARD_PAGES(table(spark, sf, "pages")), DRIVER_CARDS, base_col="url").select(
         "page_id", "pos", "title", "href", "company", "salary", "location", "card_text", "from_cards")
 
 
-DRIVER_SECTIONS = SectionRules(header_marker="<h1>|<b>", row=r"<p>([^<]+)", row_title_group=1,
-                               row_href_group=1)
-
-
 def _split_company_sql(raw: str) -> tuple[str, str]:
     from harrow.config import BATCH_SUFFIX_PATTERN
     parts = f"string_split({S.collapse(S.nz(raw))}, '•')"
@@ -433,21 +478,128 @@ def _split_company_sql(raw: str) -> tuple[str, str]:
 
 
 _SEC_CO, _SEC_CTX = _split_company_sql("header")
+_SECTIONS = SectionRules()
+_SECTION_PAGES, _SECTION_HTML = _markup({
+    0: '<a class="c" href="/companies/{n}"><b>Firm {n} (S24)</b> • Robots • {n} people</a>'
+       '<li class="job"><a href="/jobs/{n}"><i>Role {n}</i></a><span class="location">Paris</span>'
+       '<div class="salary"> ${n}K </div><li class="job">No link',
+    1: '<li class="a-job"><h3>Lost {n}</h3><a href="https://h.example/companies/x{n}">Next {n}</a>',
+    2: '<a href="/companies/{n}">Bare {n}</a><a href="/jobs/{n}">Role <b>{n}</b></a><a href="/jobs/list">All</a>'}, 4)
+_SECTION_SQL = f"""
+(WITH p AS (SELECT page_id, url, {_SECTION_HTML} AS html FROM pages),
+s AS (SELECT page_id, url, regexp_matches(html, {S.q(_SECTIONS.row)}) AS marked,
+             string_split_regex(html, {S.q(_SECTIONS.header)}) AS secs FROM p),
+x AS (SELECT page_id, url, marked, secs[j] AS sec, j FROM (
+  SELECT page_id, url, marked, secs, unnest(range(1, len(secs) + 1)) AS j FROM s)),
+y AS (SELECT *, CASE WHEN j > 1 THEN {_inner_sql("regexp_extract(sec, '(?is)^(.*?)</a>', 1)")} ELSE '' END AS header FROM x),
+rows AS (
+  SELECT page_id, url, j, header, i - 2 AS pos, {_inner_sql(f'regexp_extract(frag, {S.q(_SECTIONS.title)}, 2)')} AS title,
+         regexp_extract(regexp_extract(frag, {S.q(_SECTIONS.title)}, 1), {_HREF}, 1) AS href,
+         {S.jstrim(f'regexp_extract(frag, {S.q(_SECTIONS.location)}, 1)')} AS location,
+         {S.jstrim(f'regexp_extract(frag, {S.q(_SECTIONS.salary)}, 1)')} AS salary,
+         {S.collapse(S.strip_tags('frag'))} AS card_text
+  FROM (SELECT *, parts[i] AS frag FROM (
+    SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM (
+      SELECT *, string_split_regex(sec, {S.q(_SECTIONS.row)}) AS parts FROM y WHERE marked)))
+  UNION ALL
+  SELECT page_id, url, j, header, row_number() OVER (PARTITION BY page_id, j ORDER BY k) - 1, title, href, '', '', title
+  FROM (SELECT page_id, url, j, header, k, {_inner_sql('texts[k]')} AS title, regexp_extract(attrs[k], {_HREF}, 1) AS href
+        FROM (SELECT *, unnest(range(1, len(attrs) + 1)) AS k FROM (
+          SELECT *, regexp_extract_all(sec, {_LINK}, 1) AS attrs, regexp_extract_all(sec, {_LINK}, 2) AS texts
+          FROM y WHERE NOT marked)))
+  WHERE regexp_matches(href, {S.q(_SECTIONS.detail_link)}))
+SELECT page_id, CAST(j - 1 AS INTEGER) AS section, CAST(pos AS INTEGER) AS pos, title,
+       {_absolute_sql('url', 'href')} AS href, {_SEC_CO} AS company, {_SEC_CTX} AS company_context,
+       location, salary, card_text
+FROM rows)"""
+
+
+@register("page_section_fill", f"SELECT * FROM {_SECTION_SQL}")
+def q_page_section_fill(spark, sf):
+    return section_scan(_SECTION_PAGES(table(spark, sf, "pages")), _SECTIONS, base_col="url").select(
+        "page_id", "section", "pos", "title", "href", "company", "company_context", "location", "salary", "card_text")
+
+
+@register("page_order", f"""
+SELECT CAST(r.seed AS INTEGER) AS board_rank, page_id, section, CAST(pos AS BIGINT) AS pos, title, CAST(1 AS BIGINT) AS n
+FROM {_SECTION_SQL} s, (VALUES (0), (1)) r(seed)""")
+def q_page_order(spark, sf):
+    """Two seeds with the same page ids: every row has an order of its own."""
+    p = _SECTION_PAGES(table(spark, sf, "pages"))
+    seeds = p.withColumn("board_rank", F.lit(0)).unionByName(p.withColumn("board_rank", F.lit(1)))
+    rows = html_rows(section_scan(seeds, _SECTIONS, carry=("board_rank",), base_col="url"), "YC Jobs", 5, "Remote")
+    return rows.groupBy("ord").agg(F.max("title").alias("title"), F.count(F.lit(1)).alias("n")).select(
+        "ord.board_rank", "ord.page_id", "ord.section", "ord.pos", "title", "n")
+
+
+# --- boards ----------------------------------------------------------------
+# One payload for every board token and run of about 200 parts, written as JSON from part rows.
+_BOARD_TITLE = ("CASE p_partkey % 4 WHEN 0 THEN 'Machine Learning ' || p_name WHEN 1 THEN p_name "
+                "WHEN 2 THEN 'AI ' || p_brand ELSE '' END")
+_BOARD_ITEMS = {
+    "A": ("jobs", "named_struct('id', p_partkey, 'title', t, 'content', concat('<p>', p_type, '</p>  <b>', p_name, '</b>'), "
+          "'location', named_struct('name', if(p_size % 3 = 0, '', p_type)), "
+          "'company', if(p_size % 2 = 0, named_struct('name', p_brand), null), "
+          "'absolute_url', if(p_size % 5 = 0, null, concat('https://b.example/', p_partkey)))"),
+    "B": (None, "named_struct('id', cast(p_partkey as string), 'text', t, 'description', if(p_size % 2 = 0, '', concat('<i>', p_type, '</i>')), "
+          "'descriptionPlain', p_name, 'categories', named_struct('location', if(p_size % 3 = 0, '', p_type)), "
+          "'workplaceType', p_brand, 'salaryRange', if(p_size % 4 = 0, named_struct('min', cast(p_size * 1000 as double), "
+          "'max', cast(p_size * 2000 as double), 'currency', 'usd'), null), "
+          "'hostedUrl', if(p_size % 5 = 0, null, concat('https://l.example/', p_partkey)))"),
+    "C": ("jobPostings", "named_struct('id', cast(p_partkey as string), 'title', t, 'descriptionPlain', if(p_size % 2 = 0, '', p_type), "
+          "'description', concat('<i>', p_name, '</i>'), 'location', if(p_size % 3 = 0, '', p_type), "
+          "'locationName', p_brand, 'jobUrl', if(p_size % 5 = 0, null, concat('https://a.example/', p_partkey)))"),
+}
+_BOARD_LABEL = {"A": "Greenhouse", "B": "Lever", "C": "Ashby"}
+
+
+def _payloads(spark, sf, shape: str) -> DataFrame:
+    key, item = _BOARD_ITEMS[shape]
+    tokens = F.array(*[F.lit(t) for _, t in BOARDS[shape]])
+    n = len(BOARDS[shape])
+    p = table(spark, sf, "part").withColumn("t", F.expr(_BOARD_TITLE)).withColumn(
+        "token", F.element_at(tokens, (F.col("p_partkey") % n + 1).cast("int")))
+    runs = p.groupBy("token", F.floor(F.col("p_partkey") / (200 * n)).alias("run")).agg(
+        F.expr(f"transform(array_sort(collect_list(struct(p_partkey, {item} as j))), x -> x.j)").alias("items"))
+    value = F.to_json("items") if key is None else F.to_json(F.struct(F.col("items").alias(key)))
+    return runs.select("token", value.alias("value"))
+
+
+def _board_oracle(shape: str) -> str:
+    n = len(BOARDS[shape])
+    names = "[" + ", ".join(S.q(b) for b, _ in BOARDS[shape]) + "]"
+    tokens = "[" + ", ".join(S.q(t) for _, t in BOARDS[shape]) + "]"
+    board, token = f"{names}[p_partkey % {n} + 1]", f"{tokens}[p_partkey % {n} + 1]"
+    prefix, rest = TEMPLATES[shape].split("{token}")
+    fallback = f"{S.q(prefix)} || {token} || {S.q(rest.split('{id}')[0])} || CAST(p_partkey AS VARCHAR)"
+    host = {"A": "b", "B": "l", "C": "a"}[shape]
+    url = f"CASE WHEN p_size % 5 = 0 THEN {fallback} ELSE 'https://{host}.example/' || CAST(p_partkey AS VARCHAR) END"
+    place = {"A": "''", "B": "p_brand", "C": "p_brand"}[shape]
+    location = f"coalesce(nullif(CASE WHEN p_size % 3 = 0 THEN {place} ELSE p_type END, ''), '')"
+    text = {"A": S.collapse("' ' || p_type || '    ' || p_name || ' '"),
+            "B": "CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END",
+            "C": "CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END"}[shape]
+    company = f"CASE WHEN p_size % 2 = 0 THEN p_brand ELSE {board} END" if shape == "A" else board
+    salary = ("CASE WHEN p_size % 4 = 0 THEN '$' || format('{:,}', p_size * 1000) || ' - $' || format('{:,}', p_size * 2000) "
+              "ELSE 'Not listed' END" if shape == "B" else "'Not listed'")
+    return f"""
+SELECT p_partkey AS ord_key, title, {company} AS company, {location} AS location, {salary} AS salary,
+       {url} AS source_url, {text} AS description, CAST(pos AS BIGINT) AS pos
+FROM (SELECT *, {_BOARD_TITLE} AS title, row_number() OVER (PARTITION BY p_partkey % {n}, p_partkey // {200 * n} ORDER BY p_partkey) - 1 AS pos FROM part)
+WHERE {_board_sql('title', 'A' if shape == 'A' else 'B')}"""
 
 
-@register("page_section_fill", f"""
-WITH s AS (SELECT page_id, string_split_regex(html, '<h1>|<b>') AS secs FROM pages),
-x AS (SELECT page_id, secs, unnest(range(1, len(secs) + 1)) AS j FROM s),
-y AS (SELECT page_id, CAST(j - 1 AS INTEGER) AS section,
-             CASE WHEN j > 1 THEN regexp_extract(secs[j], '^([^<]*)', 1) ELSE '' END AS header,
-             regexp_extract_all(secs[j], '<p>([^<]+)', 1) AS titles FROM x),
-z AS (SELECT page_id, section, header, titles, unnest(range(1, len(titles) + 1)) AS k FROM y)
-SELECT page_id, section, CAST(k - 1 AS INTEGER) AS pos, {S.jstrim('titles[k]')} AS title,
-       {_SEC_CO} AS company, {_SEC_CTX} AS company_context
-FROM z""")
-def q_page_section_fill(spark, sf):
-    return section_scan(table(spark, sf, "pages"), DRIVER_SECTIONS).select(
-        "page_id", "section", "pos", "title", "company", "company_context")
+def _register_board(shape: str) -> None:
+    @register(f"board_{shape.lower()}", _board_oracle(shape))
+    def q_board(spark, sf):
+        rows = board_listings(_payloads(spark, sf, shape), shape, _BOARD_LABEL[shape], 0)
+        key = F.regexp_extract("source_url", r"([0-9]+)$", 1).cast("int")
+        return rows.select(key.alias("ord_key"), "title", "company", "location", "salary", "source_url", "description",
+                           F.col("ord.pos").alias("pos"))
+
+
+for _shape in "ABC":
+    _register_board(_shape)
 
 
 _SPLIT_RAW = ("CASE WHEN p_size % 7 = 0 THEN '' ELSE p_brand || CASE WHEN p_size % 3 = 0 "
@@ -563,18 +715,15 @@ def q_incremental_two_batch(spark, sf):
     landing = scratch_path(spark, "landing")
     store = scratch_path(spark, "store")
     mid = keys.agg(F.percentile_approx("ord", 0.5).alias("m")).first()["m"]
-    # Land the two halves as two files, earlier arrivals first; the stream
-    # takes the oldest file first, one file per micro-batch.
-    keys.where(F.col("ord") <= mid).coalesce(1).write.mode("append").parquet(landing)
-    keys.where(F.col("ord") > mid).coalesce(1).write.mode("append").parquet(landing)
+    land_batch(keys.where(F.col("ord") <= mid), landing, 1)
+    land_batch(keys.where(F.col("ord") > mid), landing, 2)
     ingest_available(spark, landing, keys.schema, store)
     return spark.read.parquet(store).select("ord", "source_url", "fingerprint")
 
 
 # --- the full run ---------------------------------------------------------
 def _run(spark, sf):
-    settled = settle_source(doc_listings(spark, sf), UNCAPPED)
-    return curate(settled, UNCAPPED, _doc_store(spark, sf))
+    return curate(doc_listings(spark, sf), UNCAPPED, _doc_store(spark, sf), settle=True)
 
 
 _RUN_ROWS = f"""
@@ -599,6 +748,30 @@ def q_run_summary(spark, sf):
     return _run(spark, sf).summary
 
 
+_BATCH = "ord > (SELECT max(doc_id) // 2 FROM documents)"
+
+
+def _stream_sql() -> str:
+    """Two runs, one after the other: first-wins looks at each batch, the two-key rule at all written rows."""
+    rows = _RUN_ROWS.replace("PARTITION BY source, source_url", f"PARTITION BY {_BATCH}, source, source_url")
+    cand = f"(SELECT ord, source_url, fingerprint FROM {rows} r WHERE failed_tier IS NULL)"
+    return f"""
+SELECT r.source_url, r.fingerprint, 'New' AS status FROM {rows} r
+JOIN ({_greedy_sql(cand)}) g ON g.ord = r.ord"""
+
+
+@register("incremental_run", _stream_sql())
+def q_incremental_run(spark, sf):
+    from harrow.sources.store import LISTING_STORE
+    listings = doc_listings(spark, sf)
+    landing, store = scratch_path(spark, "landing"), scratch_path(spark, "store")
+    mid = listings.agg(F.floor(F.max("ord") / 2).alias("m")).first()["m"]
+    land_batch(listings.where(F.col("ord") <= mid), landing, 1)
+    land_batch(listings.where(F.col("ord") > mid), landing, 2)
+    ingest_available(spark, landing, listings.schema, store, run_rows(UNCAPPED), LISTING_STORE)
+    return spark.read.schema(LISTING_STORE).parquet(store).select("source_url", "fingerprint", "status")
+
+
 _STORE_SAL = "CASE ord % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '$' || CAST(ord AS VARCHAR) END"
 _DOC_HAY = S.join_truthy("title", "description", "NULL")
 
@@ -769,8 +942,14 @@ def _heading_sql(h: str) -> str:
 
 
 def _link_text_sql(h: str, marker: str) -> str:
-    pat = '<a[^>]*href="[^"]*' + marker.replace(".", "\\.") + '[^"]*"[^>]*>([^<]*)</a>'
-    return S.jstrim(f"regexp_extract({h}, {S.q(pat)}, 1)")
+    pat = '(?is)<a\\b[^>]*href="[^"]*' + marker.replace(".", "\\.") + '[^"]*"[^>]*>(.*?)</a>'
+    return _inner_sql(f"regexp_extract({h}, {S.q(pat)}, 1)")
+
+
+def _company_element_sql(h: str) -> str:
+    pat = '(?is)<[a-z0-9]+\\b[^>]*data-id="company-title"[^>]*>(.*?)</'
+    marked = _inner_sql(f"regexp_extract({h}, {S.q(pat)}, 1)")
+    return f"coalesce(nullif({marked}, ''), {_link_text_sql(h, '/company/')})"
 
 
 def _lines_sql(e: str) -> str:
@@ -792,7 +971,7 @@ def _from_heading_sql(head: str) -> str:
 
 
 _H = "coalesce(p.html, '')"
-_RULE_LINE = (f"coalesce(nullif({_link_text_sql(_H, '/company/')}, ''), "
+_RULE_LINE = (f"coalesce(nullif({_company_element_sql(_H)}, ''), "
               f"{_before_heading_sql(_page_text_sql(_H), _heading_sql(_H))})")
 _RULE_AT = (f"coalesce(nullif({_link_text_sql(_H, '/companies/')}, ''), "
             f"{_from_heading_sql(_heading_sql(_H))})")

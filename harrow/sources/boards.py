@@ -2,7 +2,7 @@
 ``<token>.json``), normalised to the listing shape.
 
 Each file is read whole (``wholetext``) so that a posting's position in the
-payload survives as ``item_rank``; the board comes from the file name and is
+payload survives as ``ord.pos``; the board comes from the file name and is
 looked up in a constant board dimension (15 rows per source, so broadcasting
 it is safe).  Bad JSON, a missing file or a payload of the wrong shape yields
 no rows, and the run goes on.
@@ -88,14 +88,19 @@ def _items(payloads: DataFrame, shape: str) -> DataFrame:
     else:
         obj = F.from_json(v, SHAPE_C)
         arr = F.coalesce(obj["jobs"], obj["jobPostings"])
-    return payloads.select("token", F.posexplode(arr).alias("item_rank", "j"))
+    return payloads.select("token", F.posexplode(arr).alias("pos", "j"))
 
 
 def board_scan(spark: SparkSession, path: str, shape: str, source: str,
                source_rank: int) -> DataFrame:
     """Listings of one JSON source, after its title pre-filter, in arrival order."""
-    items = _items(read_payloads(spark, path), shape)
-    dims = F.broadcast(board_dim(spark, shape))
+    return board_listings(read_payloads(spark, path), shape, source, source_rank)
+
+
+def board_listings(payloads: DataFrame, shape: str, source: str, source_rank: int) -> DataFrame:
+    """Listings of payload rows (token, value)."""
+    items = _items(payloads, shape)
+    dims = F.broadcast(board_dim(payloads.sparkSession, shape))
     j = F.col("j")
     x = items.join(dims, "token", "inner")
     if shape == "A":
@@ -125,7 +130,8 @@ def board_scan(spark: SparkSession, path: str, shape: str, source: str,
     return (x.where(board_title_ok(title, "A" if shape == "A" else "B"))
             .select(F.lit(source).alias("source"),
                     F.struct(F.lit(source_rank).alias("source_rank"), F.col("board_rank"),
-                             F.col("item_rank").cast("long").alias("item_rank")).alias("ord"),
+                             F.lit(0).cast("long").alias("page_id"), F.lit(0).alias("section"),
+                             F.col("pos").cast("long").alias("pos")).alias("ord"),
                     or_default(title, "Not listed").alias("title"),
                     company.alias("company"), location.alias("location"),
                     salary.alias("salary"), url.alias("source_url"),

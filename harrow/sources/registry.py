@@ -27,24 +27,24 @@ from pyspark.sql import types as T
 from harrow.config import (CITY_LOCATION_PATTERNS, HOST_RULE_HEADING_AT, HOST_RULE_HEADING_LINE,
                            HTML_LOCATION_DEFAULTS, SOURCES, CurationConfig)
 from harrow.functions.salary import clean_salary
-from harrow.functions.text import blank_to_null
+from harrow.functions.text import blank_to_null, jstrim
 from harrow.operators.filters import city_relevant, startup_relevant
 from harrow.plans.maintain import page_companies
 from harrow.sources.boards import board_scan
 from harrow.sources.pages import CardRules, SectionRules, card_scan, section_scan
 
 S = T.StringType()
+# Arrival order, unique by construction: JSON sources use page_id 0 and section 0.
+ORD = T.StructType([T.StructField("source_rank", T.IntegerType()), T.StructField("board_rank", T.IntegerType()),
+                    T.StructField("page_id", T.LongType()), T.StructField("section", T.IntegerType()),
+                    T.StructField("pos", T.LongType())])
 LISTING = T.StructType([
     T.StructField("source", S),
-    T.StructField("ord", T.StructType([T.StructField("source_rank", T.IntegerType()),
-                                       T.StructField("board_rank", T.IntegerType()),
-                                       T.StructField("item_rank", T.LongType())])),
+    T.StructField("ord", ORD),
     T.StructField("title", S), T.StructField("company", S), T.StructField("location", S),
     T.StructField("salary", S), T.StructField("source_url", S), T.StructField("description", S),
     T.StructField("card_text", S), T.StructField("company_context", S)])
 
-# Rows per page are packed into item_rank as page_id * PAGE_STRIDE + position.
-PAGE_STRIDE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -62,14 +62,15 @@ def empty_listings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LISTING)
 
 
-def _html_rows(raw: DataFrame, source: str, rank: int, location_default: str) -> DataFrame:
+def html_rows(raw: DataFrame, source: str, rank: int, location_default: str) -> DataFrame:
     """Normalise scanned HTML rows: company ``|| ''``, location ``|| default``,
     cleaned salary, href as URL; card text and company context are dropped,
     as the source does (so later tiers see the title only)."""
     return raw.select(
         F.lit(source).alias("source"),
         F.struct(F.lit(rank).alias("source_rank"), F.col("board_rank").cast("int").alias("board_rank"),
-                 (F.col("page_id") * PAGE_STRIDE + F.col("pos")).cast("long").alias("item_rank")).alias("ord"),
+                 F.col("page_id").cast("long").alias("page_id"), F.col("section").cast("int").alias("section"),
+                 F.col("pos").cast("long").alias("pos")).alias("ord"),
         F.col("title"),
         F.coalesce(blank_to_null("company"), F.lit("")).alias("company"),
         F.coalesce(blank_to_null("location"), F.lit(location_default)).alias("location"),
@@ -88,23 +89,21 @@ def city_board(label: str) -> Callable[[SparkSession, str, CurationConfig], Data
 
     def read(spark: SparkSession, landing: str, cfg: CurationConfig) -> DataFrame:
         pages = spark.read.parquet(f"{landing}/{slug}")
-        cards = card_scan(pages.select("board_rank", "page_id", "html"), rules,
-                          carry=("board_rank",))
+        cards = card_scan(pages.select("board_rank", "page_id", "url", "html"), rules,
+                          carry=("board_rank",), base_col="url").withColumn("section", F.lit(0))
         # Relevance reads the card text, before the projection drops it.
         relevant = cards.where(city_relevant("title", "card_text"))
-        return _html_rows(relevant, label, rank_of(label), default)
+        return html_rows(relevant, label, rank_of(label), default)
     return read
 
 
 def startup_board(spark: SparkSession, landing: str, cfg: CurationConfig) -> DataFrame:
     label = "YC Jobs"
     pages = spark.read.parquet(f"{landing}/yc-jobs")
-    rows = (section_scan(pages.select("board_rank", "page_id", "html"), SectionRules())
-            .join(pages.select("page_id", "board_rank"), "page_id")
-            .withColumn("pos", F.col("section") * 10_000 + F.col("pos"))
-            .withColumn("location", F.lit("")).withColumn("salary", F.lit("")))
+    rows = section_scan(pages.select("board_rank", "page_id", "url", "html"), SectionRules(),
+                        carry=("board_rank",), base_col="url")
     relevant = rows.where(startup_relevant("title"))
-    return _html_rows(relevant, label, rank_of(label), HTML_LOCATION_DEFAULTS[label][1])
+    return html_rows(relevant, label, rank_of(label), HTML_LOCATION_DEFAULTS[label][1])
 
 
 def json_board(shape: str, label: str) -> Callable[[SparkSession, str, CurationConfig], DataFrame]:
@@ -125,16 +124,18 @@ READERS = {
     "BuiltIn Houston": city_board("BuiltIn Houston"),
     "YC Jobs": startup_board,
 }
+HTML_SOURCES = ("BuiltIn Austin", "BuiltIn Houston", "YC Jobs")
 REGISTRY = tuple(Source(label, i, READERS.get(label) if enabled else None)
                  for i, (label, enabled) in enumerate(SOURCES))
 
 
 def enrich_blank_companies(listings: DataFrame, details: DataFrame) -> DataFrame:
-    """In-run company recovery: rows with a blank company look up their
+    """In-run company recovery, for sources read from HTML: rows whose company
+    is null or white space only look up their
     landed detail page (``details(url, html)``) by URL; the city-board rule
     reads the company link or the last line before the heading.  Only blank
     rows are joined, and only per-page candidates (never the HTML) move."""
-    blank = F.coalesce(F.col("company"), F.lit("")) == ""
+    blank = (jstrim(F.coalesce(F.col("company"), F.lit(""))) == "") & F.col("source").isin(*HTML_SOURCES)
     cand = page_companies(details)
     todo = listings.where(blank)
     fixed = (todo.join(cand, todo["source_url"] == cand["_url"], "left")
@@ -143,26 +144,36 @@ def enrich_blank_companies(listings: DataFrame, details: DataFrame) -> DataFrame
     return listings.where(~blank).unionByName(fixed)
 
 
+def landed(spark: SparkSession, path: str) -> bool:
+    """Whether a landing folder exists (any other failure to look is raised)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
+def slug_of(label: str) -> str:
+    return label.lower().replace(" ", "-")
+
+
 def collect_sources(spark: SparkSession, landing: str, cfg: CurationConfig,
                     registry: tuple[Source, ...] = REGISTRY,
-                    details: DataFrame | None = None) -> DataFrame:
+                    details: DataFrame | None = None, settle: bool = True) -> DataFrame:
     """Union of every enabled source's settled rows, in registry order.
 
-    Each source is settled on its own (validity, first-wins URL, cap); a
-    source whose landing folder is missing or unreadable yields no rows and
-    the run continues.
+    Each source is settled on its own (validity, first-wins URL, cap), or
+    with ``settle=False`` left to the run, which settles slim rows.  A source
+    whose landing folder does not exist yields no rows; any other error is
+    raised, for a source that cannot be read must not look like an empty one.
+    Detail pages come from ``details`` or the landing folder of that name.
     """
     from harrow.plans.curate import settle_source
     out = empty_listings(spark)
     for src in registry:
-        if not src.enabled:
-            continue
-        try:
-            rows = src.reader(spark, landing, cfg)
-            rows.schema  # noqa: B018 - resolve now so a missing folder fails here
-        except Exception:  # noqa: BLE001 - a failed source yields nothing
+        if not src.enabled or not landed(spark, f"{landing}/{slug_of(src.label)}"):
             continue
-        out = out.unionByName(settle_source(rows, cfg), allowMissingColumns=True)
+        rows = src.reader(spark, landing, cfg)
+        out = out.unionByName(settle_source(rows, cfg) if settle else rows, allowMissingColumns=True)
+    if details is None and landed(spark, f"{landing}/details"):
+        details = spark.read.parquet(f"{landing}/details")
     if details is not None:
         out = enrich_blank_companies(out, details)
     return out

@@ -64,9 +64,42 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_snapshot(df: DataFrame, path: str) -> None:
-    """Write a whole new snapshot (the old one stays readable until swapped)."""
+def publish(df: DataFrame, base: str) -> str:
+    """Write a new snapshot of a store and make it the current one.
+
+    Snapshots are numbered folders under ``base``; a snapshot is current once
+    its marker ``<n>.current`` exists, and that is created last, so readers see
+    the old or the new one, never a part.  The plan of ``df`` may read the
+    snapshot it replaces.
+    """
+    spark = df.sparkSession
+    number = max([n for n, _ in _snapshots(spark, base)], default=0) + 1
+    path = f"{base.rstrip('/')}/snapshot={number}"
     df.write.mode("overwrite").parquet(path)
+    fs, target = _fs(spark, f"{base.rstrip('/')}/{number}.current")
+    fs.create(target, False).close()
+    return path
+
+
+def read_current(spark: SparkSession, base: str, schema: T.StructType = LISTING_STORE) -> DataFrame:
+    """The current snapshot of a published store; an empty one before the first."""
+    done = [p for _, p in sorted(_snapshots(spark, base)) if p]
+    return read_store(spark, done[-1], schema) if done else spark.createDataFrame([], schema)
+
+
+def _fs(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def _snapshots(spark: SparkSession, base: str) -> list[tuple[int, str | None]]:
+    """(number, path of the snapshot, null while it has no marker)."""
+    fs, target = _fs(spark, base)
+    if not fs.exists(target):
+        return []
+    names = {f.getPath().getName() for f in fs.listStatus(target)}
+    numbers = [int(n.split("=")[1]) for n in names if n.startswith("snapshot=")]
+    return [(n, f"{base.rstrip('/')}/snapshot={n}" if f"{n}.current" in names else None) for n in numbers]
 
 
 def with_status(store: DataFrame, status: str) -> DataFrame:
@@ -79,10 +112,17 @@ def with_blank(store: DataFrame, column: str) -> DataFrame:
     return store.where(F.coalesce(F.col(column), F.lit("")) == "")
 
 
-def update_status(store: DataFrame, updates: DataFrame, key: str = "fingerprint") -> DataFrame:
+def update_status(store: DataFrame, updates: DataFrame, key: str = "fingerprint",
+                  order: str | None = None) -> DataFrame:
     """Keyed status update, no domain or transition check: rows named in
-    ``updates(key, status)`` take the new status, all others keep theirs."""
-    u = updates.select(F.col(key), F.col("status").alias("_new_status"))
+    ``updates(key, status)`` take the new status, all others keep theirs.
+
+    Of several updates of one key the last in ``order`` counts (without an
+    order, or on a tie, the largest status), so no store row is doubled.
+    """
+    last = F.struct(*([F.col(order)] if order else []), F.col("status"))
+    u = (updates.where(F.col(key).isNotNull()).groupBy(key)
+         .agg(F.max(last).alias("_last")).select(F.col(key), F.col("_last.status").alias("_new_status")))
     return (store.join(u, key, "left")
             .withColumn("status", F.coalesce(F.col("_new_status"), F.col("status")))
             .drop("_new_status").select(*store.columns))

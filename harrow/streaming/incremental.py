@@ -1,11 +1,16 @@
 """Incremental ingestion with Structured Streaming.
 
-Landed listing files are read as a stream; every micro-batch runs the same
-batch plan (two-key dedupe against the store, then append).  The store is
+Landed batches are read as a stream; every micro-batch runs the batch plan of
+the run: fingerprint, verdict and classes in one narrow pass, per-source
+first-wins and cap, two-key dedupe against the store, store rows.  The store is
 the state: a replayed micro-batch finds its keys already stored and writes
 nothing, so reprocessing after a failure is a no-op.  Built-in
 ``dropDuplicates`` state is not used because it knows one key set, not the
 ordered two-key rule.
+
+Batches are numbered folders (``landing/batch=000001`` ...), and each is
+processed as a stream of its own in the order of its number, so the order of
+arrival does not rest on file times.
 """
 
 from __future__ import annotations
@@ -15,40 +20,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from harrow.config import CurationConfig
 from harrow.operators.dedupe import two_key_dedupe
+from harrow.plans.curate import curate
 from harrow.session import scratch_path
 
 
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
 def _store_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - no store written yet
-        return None
-
-
-def dedupe_batch(store_path: str, url: str = "source_url", fp: str = "fingerprint",
-                 order: str = "ord", prepare: Callable[[DataFrame], DataFrame] | None = None):
-    """A ``foreachBatch`` function: dedupe the batch against the store, append."""
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = prepare(batch) if prepare else batch
-        store = _store_or_none(spark, store_path, rows.schema)
-        if store is not None and not store.columns:
-            store = None
-        kept = two_key_dedupe(rows, url, fp, order, store)
-        kept.write.mode("append").parquet(store_path)
+    """The store, or None while its folder does not exist; other errors are raised."""
+    fs, target = _files(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(target) else None
+
+
+def land_batch(df: DataFrame, landing: str, number: int) -> None:
+    """Write one numbered batch."""
+    df.write.parquet(f"{landing.rstrip('/')}/batch={number:06d}")
+
+
+def batch_folders(spark: SparkSession, landing: str) -> list[str]:
+    """Landed batches in the order of their numbers."""
+    fs, target = _files(spark, landing)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(target))
+    return [f"{landing.rstrip('/')}/{n}" for n in names if n.startswith("batch=")]
+
+
+def dedupe_rows(url: str = "source_url", fp: str = "fingerprint", order: str = "ord"):
+    """A step that keeps the rows the two-key rule writes, as they are."""
+    def run(rows: DataFrame, store: DataFrame | None) -> DataFrame:
+        return two_key_dedupe(rows, url, fp, order, store)
+    return run
+
+
+def run_rows(cfg: CurationConfig):
+    """A step that runs the whole collection run and yields store rows."""
+    def run(rows: DataFrame, store: DataFrame | None) -> DataFrame:
+        return curate(rows, cfg, store, settle=True).written
     return run
 
 
 def ingest_available(spark: SparkSession, landing: str, schema: T.StructType, store_path: str,
-                     url: str = "source_url", fp: str = "fingerprint", order: str = "ord",
-                     files_per_batch: int = 1, checkpoint: str | None = None) -> None:
-    """Process every landed file not yet processed, oldest first, one
-    micro-batch per ``files_per_batch`` files, then stop (``availableNow``)."""
+                     step: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None,
+                     store_schema: T.StructType | None = None, checkpoint: str | None = None) -> None:
+    """Process every landed batch not yet processed, in order, then stop.
+
+    ``step(rows, store)`` gives the rows to append to the store; its own rows
+    by default are those of the two-key rule.
+    """
     ckpt = checkpoint or scratch_path(spark, "stream-ckpt")
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-         .parquet(landing)
-         .writeStream.foreachBatch(dedupe_batch(store_path, url, fp, order))
-         .option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    step = step or dedupe_rows()
+
+    def append(batch: DataFrame, epoch_id: int) -> None:
+        store = _store_or_none(batch.sparkSession, store_path, store_schema or schema)
+        step(batch, store).write.mode("append").parquet(store_path)
+
+    for folder in batch_folders(spark, landing):
+        q = (spark.readStream.schema(schema).parquet(folder)
+             .writeStream.foreachBatch(append)
+             .option("checkpointLocation", f"{ckpt}/{folder.rsplit('/', 1)[-1]}")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()

@@ -66,3 +66,17 @@ def test_first_wins_hot_key(spark):
     df = spark.createDataFrame(rows, "ord long, source string, source_url string, title string")
     out = {r.source_url: r.ord for r in first_wins(df, ["source", "source_url"]).collect()}
     assert out["hot"] == 1 and out["u0"] == 0 and len(out) == 1001
+
+
+def test_large_caps_are_ranked_in_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from harrow.operators import dedupe
+
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), F.col("id").alias("ord"))
+    for n in (10, 1500, None):
+        got = dedupe.cap_per_group(df, "g", n).groupBy("g").agg(F.count("*").alias("n"), F.max("ord").alias("m")).collect()
+        sizes = {"a": 1667, "b": 3333}
+        assert {r.g: r.n for r in got} == {g: min(n or 10**9, s) for g, s in sizes.items()}
+        if n == 1500:
+            assert {r.g: r.m for r in got} == {"a": 3 * 1499, "b": 2249}

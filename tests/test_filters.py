@@ -58,6 +58,23 @@ def test_phrase_semi_both_paths(spark):
     phrases = ["quick brown f", "dog", "nothing here"] + [f"filler phrase {i}" for i in range(80)]
     ph = spark.createDataFrame([(p,) for p in phrases], "phrase string")
     small = spark.createDataFrame([(p,) for p in phrases[:3]], "phrase string")
-    a = sorted(r.k for r in phrase_semi(docs, "t", small, key="k").collect())
-    b = sorted(r.k for r in phrase_semi(docs, "t", ph, key="k").collect())
+    a = sorted(r.k for r in phrase_semi(docs, "t", small).collect())
+    b = sorted(r.k for r in phrase_semi(docs, "t", ph).collect())
     assert a == b == [1, 2]
+
+
+def test_phrase_semi_is_one_path_for_any_number_of_phrases(spark):
+    import random
+
+    from harrow.operators.filters import phrase_semi
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abÜc") for _ in range(rng.randrange(1, 4)))
+    texts = [(None if k % 9 == 0 else k, " ".join(word() for _ in range(rng.randrange(1, 30)))) for k in range(150)]
+    texts += [(7, None), (8, ""), (9, "ab\nc\u00a0ab  x")]
+    df = spark.createDataFrame(texts, "k long, t string")
+    pool = [" ".join(word() for _ in range(rng.randrange(1, 5))) for _ in range(90)] + ["ab\nc", "abc ", " a", "Üc b", "\u00a0ab"]
+    for phrases in ([], ["abca"], pool[:3], pool, [None], ["a", ""]):
+        table = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+        want = [r for r in texts if any(p is not None and p.lower() in (r[1] or "").lower() for p in phrases)]
+        assert sorted(map(repr, map(tuple, phrase_semi(df, "t", table).collect()))) == sorted(map(repr, want))

@@ -1,7 +1,7 @@
 import json
 import tempfile
 
-from pyspark.sql import functions as F
+import pytest
 
 from harrow.config import CurationConfig
 from harrow.operators.metrics import source_counts, sources_dim
@@ -54,10 +54,30 @@ def test_collect_and_curate(spark):
 
 
 def test_in_run_company_enrichment(spark):
-    rows = spark.createDataFrame([("https://builtin.com/job/1", ""), ("https://builtin.com/job/2", "Kept")],
-                                 "source_url string, company string")
+    rows = spark.createDataFrame([("https://builtin.com/job/1", " ", "BuiltIn Austin"),
+                                  ("https://builtin.com/job/2", "Kept", "BuiltIn Austin"),
+                                  ("https://builtin.com/job/1", "", "Greenhouse")],
+                                 "source_url string, company string, source string")
     details = spark.createDataFrame([("https://builtin.com/job/1",
                                       '<body><a href="/company/acme">Acme</a><h1>Role</h1></body>')],
                                     "url string, html string")
     got = sorted((r.source_url, r.company) for r in enrich_blank_companies(rows, details).collect())
-    assert got == [("https://builtin.com/job/1", "Acme"), ("https://builtin.com/job/2", "Kept")]
+    # A JSON source keeps its blank company.
+    assert got == [("https://builtin.com/job/1", ""), ("https://builtin.com/job/1", "Acme"),
+                   ("https://builtin.com/job/2", "Kept")]
+
+
+def test_missing_folder_is_an_empty_source_and_a_bad_file_is_an_error(spark, tmp_path):
+    assert collect_sources(spark, str(tmp_path), CurationConfig()).count() == 0
+    (tmp_path / "yc-jobs").mkdir()
+    (tmp_path / "yc-jobs" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        collect_sources(spark, str(tmp_path), CurationConfig()).count()
+
+
+def test_unsettled_sources_give_the_same_run(spark):
+    d = landing(spark)
+    cfg = CurationConfig(job_titles=("Engineer",), keywords=("engineer",), max_jobs_per_source=2)
+    one = curate(collect_sources(spark, d, cfg), cfg).verdicts
+    two = curate(collect_sources(spark, d, cfg, settle=False), cfg, settle=True).verdicts
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))

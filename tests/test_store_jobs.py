@@ -102,3 +102,65 @@ def test_typed_cells_and_posted_text(spark):
                                  "status string, notion_url string, date_applied string, cover_letter string")
     r = to_application_rows(apps).first()
     assert str(r.date_applied) == "2026-04-01" and r.cover_letter is False
+
+
+def test_status_update_with_repeated_keys(spark):
+    from harrow.sources.store import update_status
+
+    store = spark.createDataFrame([("a", "New"), ("b", "New")], "fingerprint string, status string")
+    updates = spark.createDataFrame([("a", "Applied", 1), ("a", "Offer", 3), ("a", "Rejected", 2), (None, "Offer", 9)],
+                                    "fingerprint string, status string, n int")
+    got = sorted(map(tuple, update_status(store, updates, order="n").collect()))
+    assert got == [("a", "Offer"), ("b", "New")]
+
+
+def test_publish_replaces_the_snapshot_it_reads(spark, tmp_path):
+    from harrow.sources.store import APPLICATION_STORE, publish, read_current
+
+    base = str(tmp_path / "store")
+    schema = APPLICATION_STORE
+    assert read_current(spark, base, schema).count() == 0
+    row = {f.name: None for f in schema.fields} | {"company": "Acme", "status": "New"}
+    publish(spark.createDataFrame([row], schema), base)
+    now = read_current(spark, base, schema)
+    publish(now.unionByName(now), base)
+    assert read_current(spark, base, schema).count() == 2
+    # A snapshot without its marker is not current.
+    now.write.parquet(f"{base}/snapshot=9")
+    assert read_current(spark, base, schema).count() == 2
+    publish(now, base)
+    assert read_current(spark, base, schema).count() == 1
+
+
+def test_work_folder_must_be_shared_off_a_local_master():
+    import pytest
+
+    from harrow.session import work_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+        def getConf(self):  # noqa: N802
+            return Conf()
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(Session())
+
+
+def test_company_title_element_comes_first(spark):
+    from harrow.plans.maintain import page_companies
+
+    html = '<body><a href="/company/x"><b>Link</b> Co</a><div data-id="company-title"> <i>Acme</i></div><h1>Role</h1></body>'
+    pages = spark.createDataFrame([("u1", html), ("u2", html.replace("company-title", "other"))], "url string, html string")
+    assert {r["_url"]: r.line_rule for r in page_companies(pages).collect()} == {"u1": "Acme", "u2": "Link Co"}
