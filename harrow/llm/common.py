@@ -56,14 +56,10 @@ def to_scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(*frames: DataFrame) -> None:
-    """Delete tables written by ``to_scratch`` that no later step reads."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        for f in {os.path.dirname(p) for p in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(conf).delete(path, True)
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder under the shared work folder that no later step reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -43,11 +43,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import id_text, release_shuffles, rows_of, ship_code, to_scratch
+from harrow.llm.common import delete_folder, id_text, release_shuffles, rows_of, ship_code
+from harrow.session import scratch_path
 
 ORDER = 2
 GT = 5
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 1_000_000
 #: Entries of one bucket that a level aims at.
 BUCKET_ENTRIES = 400_000
 UNKNOWN, START, FIRST = 0, 1, 2
@@ -61,17 +62,20 @@ TOLD = ("kind string, level int, bucket int, block long, ids binary, counts bina
 # Arrays as bytes --------------------------------------------------------------
 
 def pack(a: np.ndarray) -> bytes:
-    """An array as bytes: narrowest unsigned type that holds it, compressed."""
+    """An array as bytes: narrowest unsigned type that holds it, byte plane by byte plane, compressed."""
     if a.dtype.kind in "iu":
         top = int(a.max(initial=0))
         a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32
                      else np.uint64)
-    return a.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T
+    return a.dtype.char.encode() + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
-    a = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.dtype(b[:1].decode()))
-    return a.astype(np.int64) if a.dtype.kind in "iu" and a.dtype.itemsize < 8 else a
+    kind = np.dtype(b[:1].decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(kind.itemsize, -1)
+    a = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return a.astype(np.int64) if kind.kind in "iu" and kind.itemsize < 8 else a
 
 
 def pack_values(a: np.ndarray) -> bytes:
@@ -105,9 +109,9 @@ def in_training(doc_id: int | None, fold: int) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 != fold
 
 
-BLOCK = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("n_types", pa.int64()),
-                   ("docs", pa.list_(pa.int64())), ("lengths", pa.binary()), ("tokens", pa.binary()),
-                   ("hashes", pa.binary()), ("counts", pa.binary())])
+#: kind "text": what later levels read; kind "words": what the first level asks, deleted after it.
+BLOCK = ("kind string, block long, n_words long, n_types long, docs array<long>, lengths binary, tokens binary, "
+         "place binary, hashes binary, counts binary")
 
 
 def _blocks(block_words: int, fold: int):
@@ -126,16 +130,21 @@ def _blocks(block_words: int, fold: int):
             lengths = np.array([len(r) for r in runs])
             tokens = np.concatenate(runs)
             train = np.repeat([in_training(d, fold) for d in docs], lengths)
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
+            hashes = mixed(np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary)))
             counts = np.bincount(tokens[train], minlength=len(vocabulary))
-            order = np.argsort(hashes)  # words are numbered by hash, the order of the exchange
+            # Frequent words get small numbers, which compress best; words are asked for by hash.
+            common = np.argsort(-np.bincount(tokens, minlength=len(vocabulary)), kind="stable")
+            number = np.empty(len(common), np.int64)
+            number[common] = np.arange(len(common))
+            order = np.argsort(hashes)
             place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | made]), pa.array([total]), pa.array([len(hashes)]),
-                 pa.array([docs], pa.list_(pa.int64())),
-                 *[pa.array([pack(x)], pa.binary()) for x in (lengths, place[tokens], hashes[order], counts[order])]],
-                schema=BLOCK)
+            place[number[order]] = np.arange(len(order))
+            block = part << 32 | made
+            return _rows(BLOCK, [
+                dict(kind="text", block=block, n_words=total, n_types=len(hashes), docs=docs, lengths=pack(lengths),
+                     tokens=pack(number[tokens]), place=pack(place)),
+                dict(kind="words", block=block, hashes=pack(np.diff(hashes[order], prepend=np.uint64(0))),
+                     counts=pack(counts[order]))])
 
         for doc_id, text in rows_of(batches, "doc_id", "text"):
             words = words_of(text)
@@ -159,10 +168,11 @@ def _blocks(block_words: int, fold: int):
 def _ask_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, hashes, counts in rows_of(batches, "block", "hashes", "counts"):
-            hashes, counts = unpack(hashes), unpack(counts)
-            bucket = (mixed(hashes) % np.uint64(buckets)).astype(np.int64)
-            yield _rows(ASK, [dict(level=1, bucket=b, block=block, keys=pack(hashes[at]), counts=pack(counts[at]))
-                              for b, at in _split(bucket)])
+            hashes, counts = np.cumsum(unpack(hashes).astype(np.uint64)), unpack(counts)
+            # A bucket is a range of hashes, so a block's answers in bucket order are in hash order.
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            yield _rows(ASK, [dict(level=1, bucket=b, block=block, keys=pack(np.diff(hashes[at], prepend=np.uint64(0))),
+                                   counts=pack(counts[at])) for b, at in _split(bucket)])
 
     return run
 
@@ -196,7 +206,7 @@ def _few(counts: np.ndarray) -> list[int]:
 def _add_words(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.select(["bucket", "block", "keys", "counts"]).to_pylist()
-        keys = [unpack(r["keys"]) for r in rows]
+        keys = [np.cumsum(unpack(r["keys"]).astype(np.uint64)) for r in rows]
         types, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, np.concatenate([unpack(r["counts"]) for r in rows])).astype(np.int64)
         bucket = rows[0]["bucket"]
@@ -335,14 +345,14 @@ def _add_grams(level: int, buckets: int, order: int):
                dict(kind="model", level=level, bucket=bucket, ids=pack(contexts[context[seen]]),
                     few=pack(word_ids[grams % max(len(word_ids), 1)][seen]) if len(grams) else pack(context),
                     counts=pack(total[seen])),
-               dict(kind="hot", level=level, bucket=bucket, ids=pack(contexts[hot]), few=pack(few[hot].ravel()),
-                    low=pack(sums[hot]))]
+               dict(kind="hot", level=level, bucket=bucket, ids=pack(contexts[hot]), few=pack(few[hot].T),
+                    low=pack_values(sums[hot]))]
         c_at = g_at = 0
         for r, k, s in zip(rows, keys, sizes, strict=True):
             c, g = c_place[c_at:c_at + len(k)], place[g_at:g_at + int(s.sum())]
             c_at, g_at = c_at + len(c), g_at + len(g)
             out.append(dict(kind="reply", level=level, bucket=bucket, block=r["block"], counts=pack(total[g]),
-                            few=pack(few[c].ravel()), low=pack(sums[c]),
+                            few=pack(few[c].T), low=pack_values(sums[c]),
                             ids=pack(ids[g]) if level < order else None))
         return pa.Table.from_batches([_rows(TOLD, out)])
 
@@ -351,7 +361,7 @@ def _add_grams(level: int, buckets: int, order: int):
 
 def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, few, low in rows_of(batches, "ids", "few", "low"):
-        ids, few, low = unpack(ids), unpack(few).reshape(-1, GT), unpack(low)
+        ids, few, low = unpack(ids), unpack(few).reshape(GT, -1).T, unpack_values(low)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids.astype(np.int64)), *[pa.array(few[:, i].astype(np.int64)) for i in range(GT)],
              pa.array(low.astype(np.float64))], names=["context", *[f"n{i}" for i in range(GT)], "low"])
@@ -370,10 +380,10 @@ class Evaluated:
         tokens = unpack(row["tokens"])
         self.train = np.repeat([in_training(d, fold) for d in self.docs], self.lengths)
         by = {(r["level"], r["bucket"]): r for r in replies}
-        hashes = unpack(row["hashes"])
-        ids, counts = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        for b, at in _split((mixed(hashes) % np.uint64(buckets[0])).astype(np.int64)):
-            ids[at], counts[at] = unpack(by[1, b]["ids"]), unpack(by[1, b]["counts"])
+        words = [by[1, b] for b in range(buckets[0]) if (1, b) in by]
+        place = unpack(row["place"])
+        ids = np.concatenate([unpack(r["ids"]) for r in words])[place]
+        counts = np.concatenate([unpack(r["counts"]) for r in words])[place]
         self.word, self.word_count = ids[tokens], counts[tokens]
         self.p = levels[0].word_probability(self.word_count)
         gram, gram_count = self.word, self.word_count
@@ -399,7 +409,7 @@ class Evaluated:
             count[g] = unpack(r["counts"])
             if r["ids"] is not None:
                 ids[g] = unpack(r["ids"])
-            few[c], low[c] = unpack(r["few"]).reshape(-1, GT), unpack(r["low"])
+            few[c], low[c] = unpack(r["few"]).reshape(GT, -1).T, unpack_values(r["low"])
         for i in np.flatnonzero(asked.hot):
             sums = hot[int(asked.contexts[i])]
             few[i], low[i] = sums[:GT], sums[GT]
@@ -443,11 +453,9 @@ class KatzModel:
         self.spark = docs.sparkSession
         ship_code(self.spark)
         self.fold = fold
-        self.blocks = to_scratch(
-            id_text(docs, id_col, text_col).mapInArrow(
-                _blocks(block_words, fold),
-                "block long, n_words long, n_types long, docs array<long>, lengths binary, tokens binary, "
-                "hashes binary, counts binary"), "blocks")
+        blocks, folder = _partitioned(
+            id_text(docs, id_col, text_col).mapInArrow(_blocks(block_words, fold), BLOCK), BLOCK, "blocks")
+        self.blocks, self.words = blocks.filter("kind = 'text'"), blocks.filter("kind = 'words'")
         n_words, n_types = self.blocks.agg(F.sum("n_words"), F.sum("n_types")).first()
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[Level] = []
@@ -460,17 +468,20 @@ class KatzModel:
             self.buckets.append(max(4 * parts, -(-entries // bucket_entries)))
             self.hot_from.append(max((n_words or 0) / (8 * self.buckets[-1]), 1000.0))
             self._add_level(level, order)
+            if level == 1:
+                delete_folder(self.spark, f"{folder}/kind=words")
+            release_shuffles(self.spark)
 
     def _add_level(self, level: int, order: int) -> None:
         buckets = self.buckets[-1]
         if level == 1:
-            asked = self.blocks.select("block", "hashes", "counts").mapInArrow(_ask_words(buckets), ASK)
+            asked = self.words.select("block", "hashes", "counts").mapInArrow(_ask_words(buckets), ASK)
             add = _add_words(buckets)
         else:
             asked = self._with_replies(_ask_level(*self._known(), level), ASK)
             add = _add_grams(level, buckets, order)
-        told = asked.groupBy("bucket").applyInArrow(add, TOLD)
-        self.told.append(_partitioned(told, f"katz-{level}"))
+        self.told.append(_partitioned(asked.groupBy("bucket").applyInArrow(add, TOLD), TOLD, f"katz-{level}")[0])
+        del asked
         release_shuffles(self.spark)
         stats = self.told[-1].filter("kind = 'stat'")
         row = stats.agg(*[F.sum(F.col("stats")[i]) for i in range(GT + 3)]).first()
@@ -497,7 +508,7 @@ class KatzModel:
         for told in self.told:
             mine = told.filter("kind = 'reply'").select(*REPLY_COLUMNS)
             replies = mine if replies is None else replies.unionByName(mine)
-        return (self.blocks.select("block", "docs", "lengths", "tokens", "hashes").groupBy("block")
+        return (self.blocks.select("block", "docs", "lengths", "tokens", "place").groupBy("block")
                 .cogroup(replies.groupBy("block")).applyInArrow(run, ddl))
 
     def counts(self) -> DataFrame:
@@ -543,12 +554,9 @@ def _ask_level(levels: list[Level], hot, buckets: list[int], hot_from: list[floa
     return run
 
 
-def _partitioned(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder with one partition for each kind of row."""
-    from harrow.session import scratch_path
-
+def _partitioned(df: DataFrame, ddl: str, name: str) -> tuple[DataFrame, str]:
+    """Written to the shared folder with one partition for each kind of row, and that folder."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    return df.sparkSession.read.schema(
-        "level int, bucket int, block long, ids binary, counts binary, few binary, low binary, "
-        "stats array<long>, kind string").parquet(path)
+    columns = ddl.removeprefix("kind string, ")
+    return df.sparkSession.read.schema(f"{columns}, kind string").parquet(path), path
