@@ -17,7 +17,8 @@ a graph that is scored in rounds:
 
 After ``ROUNDS`` rounds a token outside the base entities becomes an entity of a
 kind when both its patterns are confident of that kind, together with directly
-neighbouring tokens whose pattern towards it is.  Base spans always stay.
+neighbouring tokens whose pattern towards it, or whose value, is.  Base spans
+always stay.
 
 The rules as regular expressions avoid quadratic scans: a match can only begin
 where its run of characters begins (or where the last match ended), and
@@ -160,16 +161,27 @@ def occurrences(base: DataFrame) -> DataFrame:
                        F.concat(F.lit("r "), shape, F.lit(" "), _word(F.col("right"))).alias("right_pattern"))
 
 
-def confident_patterns(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE,
-                       rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence) after the rounds; ``found`` as from ``occurrences``."""
+def _by_kind(scores: DataFrame, name: str, least: float) -> DataFrame:
+    """(name, kind) of the scores of at least ``least``, from one column for each kind."""
+    return (scores.select(name, F.explode(F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.col(k).alias("score")) for k in KINDS])).alias("x"))
+        .filter((F.col("x.score") >= least) & (F.col("x.score") > 0)).select(name, "x.kind"))
+
+
+def confident(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE,
+              rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind) after the rounds, and (instance, kind) of values that occur ``support`` times and
+    are covered by base entities nearly always; ``found`` as from ``occurrences``."""
     graph = to_scratch(
         found.select("instance", "kind", F.explode(F.array("left_pattern", "right_pattern")).alias("pattern"))
         .groupBy("pattern", "instance").agg(
             F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS]), "graph")
     instances = graph.groupBy("instance").agg(F.sum("n").alias("all"), *[F.sum(k).alias(k) for k in KINDS])
-    # Only kinds that an instance or one of its patterns has seen are carried.
-    scores = to_scratch(instances.select("instance", *[(F.col(k) / F.col("all")).alias(k) for k in KINDS]), "instances")
+    scores = to_scratch(instances.select(
+        "instance", "all", *[(F.col(k) / F.col("all")).alias(k) for k in KINDS]), "instances")
+    # An occurrence counts once in either pattern, so twice here.
+    values = _by_kind(scores.filter(F.col("all") >= 2 * support), "instance", confidence)
+    scores = scores.drop("all")
     by_pattern = None
     for _ in range(rounds):
         weighed = graph.select("pattern", "instance", "n", *[F.col(k).alias(f"seen_{k}") for k in KINDS]).join(
@@ -186,34 +198,36 @@ def confident_patterns(found: DataFrame, support: int = SUPPORT, confidence: flo
         scores = to_scratch(scores.join(lent, "instance", "left").select(
             "instance", *[F.greatest(F.col(k), F.coalesce(F.col(f"lent_{k}"), F.lit(0.0))).alias(k) for k in KINDS]),
             "instances")
-    return (by_pattern.select("pattern", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.col(k).alias("confidence")) for k in KINDS])).alias("x"))
-        .select("pattern", "x.kind", "x.confidence").filter("confidence > 0"))
+    return _by_kind(by_pattern, "pattern", confidence), values
 
 
-def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
+def discovered(found: DataFrame, patterns: DataFrame, values: DataFrame) -> DataFrame:
     """(row_key, kind, start, end) of entities outside the base ones.
 
     A token with confident patterns on both sides is one; a neighbour directly
-    before or behind it belongs to it when its pattern on that side is confident.
+    before or behind it belongs to it when its pattern on that side, or its
+    value, is confident of the same kind.
     """
     left = patterns.select(F.col("pattern").alias("left_pattern"), F.col("kind").alias("new_kind"))
     right = patterns.select(F.col("pattern").alias("right_pattern"), F.col("kind").alias("new_kind"))
     free = found.filter("kind is null").select("row_key", "i", "follows", "start", "end", "left_pattern",
-                                               "right_pattern")
+                                               "right_pattern", "instance")
+    value = values.select("instance", F.col("kind").alias("new_kind"))
     names = ["row_key", "new_kind", "i", "follows", "start", "end"]
     from_left = free.join(left, "left_pattern").select(*names).distinct()
     from_right = free.join(right, "right_pattern").select(*names).distinct()
+    from_value = free.join(value, "instance").select(*names).distinct()
     sides = (from_left.withColumn("l", F.lit(True)).join(from_right.withColumn("r", F.lit(True)), names, "full")
-             .select(*names, F.coalesce("l", F.lit(False)).alias("l"), F.coalesce("r", F.lit(False)).alias("r")))
+             .join(from_value.withColumn("v", F.lit(True)), names, "full")
+             .select(*names, *[F.coalesce(c, F.lit(False)).alias(c) for c in "lrv"]))
     # Tokens of one text and kind in their order: a handful of rows each.
     line = Window.partitionBy("row_key", "new_kind").orderBy("i", "start")
     before = F.coalesce(F.lag("i").over(line) == F.col("i") - 1, F.lit(False)) & F.col("follows")
     behind = F.coalesce((F.lead("i").over(line) == F.col("i") + 1) & F.lead("follows").over(line), F.lit(False))
     taken = sides.withColumn("core", F.col("l") & F.col("r")).withColumn("before", before).withColumn("behind", behind)
     taken = taken.withColumn("taken", F.col("core")
-                             | (F.col("l") & F.col("before") & F.lag("core", 1, False).over(line))
-                             | (F.col("r") & F.col("behind") & F.lead("core", 1, False).over(line))).filter("taken")
+                             | ((F.col("l") | F.col("v")) & F.col("before") & F.lag("core", 1, False).over(line))
+                             | ((F.col("r") | F.col("v")) & F.col("behind") & F.lead("core", 1, False).over(line))).filter("taken")
     first = ~(F.coalesce(F.lag("i").over(line) == F.col("i") - 1, F.lit(False)) & F.col("follows"))
     return (taken.withColumn("piece", F.sum(first.cast("int")).over(line)).groupBy("row_key", "new_kind", "piece")
             .agg(F.min("start").alias("start"), F.max("end").alias("end"))
@@ -225,7 +239,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, base and added spans (arrays of kind, start, end) of every whole text."""
     base = to_scratch(base_entities(docs, id_col, text_col), "entities")
     found = to_scratch(occurrences(base), "occurrences")
-    added = (discovered(found, confident_patterns(found, support, confidence, rounds)).groupBy("row_key")
+    added = (discovered(found, *confident(found, support, confidence, rounds)).groupBy("row_key")
              .agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")))
     spans = F.expr("concat(" + ", ".join(
         f"transform({k}, s -> struct('{k}' as kind, s.start as start, s.end as end))" for k in KINDS) + ")")
