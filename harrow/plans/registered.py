@@ -1037,3 +1037,64 @@ FROM (SELECT * FROM (VALUES (0, 'New'), (1, 'Reviewing'), (2, 'Apply'), (3, 'App
 LEFT JOIN (SELECT status, count(*) AS n FROM {_ST_SQL} GROUP BY status) c ON c.status = d.status""")
 def q_status_funnel(spark, sf):
     return maintain.status_funnel(_status_store(spark, sf), spark)
+
+
+# --- typed cells and records -------------------------------------------------
+def _cells(spark, sf):
+    """A typed cell for each part: the type by size, its value from the part's columns."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("title", "rich_text", "select", "date")]),
+                        (F.col("p_size") % 4 + 1).cast("int"))
+    runs = F.array(F.struct(F.concat(F.lit(" "), "p_brand").alias("plain_text")),
+                   F.struct(F.lit(None).cast("string").alias("plain_text")),
+                   F.struct(F.concat(F.lit(" "), "p_name", F.lit("  ")).alias("plain_text")))
+    name = F.when(F.col("p_partkey") % 3 > 0, F.col("p_type"))
+    start = F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("2026-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0")))
+    cell = F.struct(kind.alias("type"), runs.alias("title"), runs.alias("rich_text"), F.struct(name.alias("name")).alias("select"),
+                    F.struct(start.alias("start")).alias("date"), F.lit(None).cast("string").alias("url"))
+    return table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 > 0, cell).alias("cell"),
+                                           F.col("p_brand").alias("p_brand"))
+
+
+_CELL_KIND = "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (['title', 'rich_text', 'select', 'date'])[p_size % 4 + 1] END"
+_CELL_RUNS = S.jstrim("' ' || p_brand || ' ' || p_name || '  '")
+
+
+@register("typed_cells", f"""
+SELECT p_partkey, CASE WHEN kind = 'title' THEN {_CELL_RUNS} ELSE '' END AS title,
+       CASE WHEN kind = 'rich_text' THEN {_CELL_RUNS} ELSE '' END AS rich_text,
+       CASE WHEN kind = 'select' AND p_partkey % 3 > 0 THEN p_type ELSE '' END AS choice,
+       CASE WHEN kind = 'date' AND p_partkey % 3 > 0 THEN '2026-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0')
+            WHEN kind = 'rich_text' THEN {_CELL_RUNS} ELSE 'Not Posted' END AS posted,
+       CASE WHEN kind = 'title' THEN p_brand END AS title_property
+FROM (SELECT *, {_CELL_KIND} AS kind FROM part)""")
+def q_typed_cells(spark, sf):
+    from harrow.functions.dates import posted_text
+    from harrow.sources.store import cell_text, title_property
+    c = _cells(spark, sf)
+    return c.select("p_partkey", *[cell_text("cell", k).alias(n) for k, n in (
+        ("title", "title"), ("rich_text", "rich_text"), ("select", "choice"))], posted_text("cell").alias("posted"),
+        title_property(F.create_map("p_brand", "cell")).alias("title_property"))
+
+
+_APPLIED = "CASE WHEN p_size % 5 = 0 THEN NULL ELSE '2026-02-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END"
+
+
+@register("application_rows", f"""
+SELECT p_brand AS company, p_name AS role, p_type AS location, 'v' || CAST(p_size % 3 AS VARCHAR) AS resume_version,
+       'Applied' AS status, 'https://n.example/' || CAST(p_partkey AS VARCHAR) AS notion_url,
+       CAST({_APPLIED} AS DATE) AS date_applied, coalesce(CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END, false) AS cover_letter
+FROM part""")
+def q_application_rows(spark, sf):
+    """Application records, published as a snapshot and read back as the current one."""
+    from harrow.sources.store import APPLICATION_STORE, publish, read_current, to_application_rows
+    p = table(spark, sf, "part")
+    day = F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("2026-02-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0")))
+    rows = to_application_rows(p.select(
+        F.col("p_brand").alias("company"), F.col("p_name").alias("role"), F.col("p_type").alias("location"),
+        F.concat(F.lit("v"), (F.col("p_size") % 3).cast("string")).alias("resume_version"), F.lit("Applied").alias("status"),
+        F.concat(F.lit("https://n.example/"), F.col("p_partkey").cast("string")).alias("notion_url"),
+        day.alias("date_applied"),
+        F.when(F.col("p_size") % 3 == 0, True).when(F.col("p_size") % 3 == 1, False).alias("cover_letter")))
+    base = scratch_path(spark, "applications")
+    publish(rows, base)
+    return read_current(spark, base, APPLICATION_STORE)
