@@ -14,7 +14,11 @@ LENGTH - GRAM).
 2. For those, a block makes sorted runs of distinct suffixes, front-coded
    (length of the prefix shared with the suffix before, then the rest), with the
    bytes before and how often the block holds them: copies inside a block are
-   one entry.  Runs go to the buckets.
+   one entry.  Runs go to the buckets by their GRAM-byte hash.  A hash that
+   occurs more than HOT times would fill one bucket, so its windows are dealt
+   by ranges of their offset instead: all windows of a range share a core of
+   bytes, the core chooses the bucket, and an entry holds no more than the range
+   needs, so that copies of a core with its surroundings are again one entry.
 3. A bucket merges its runs with a loser tree that knows, for each contender,
    how long a prefix it shares with the last suffix put out; only bytes behind
    that are compared.  The merged order with its shared-prefix lengths gives,
@@ -37,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +54,10 @@ LENGTH, GRAM = 200, 100
 BEFORE = LENGTH - GRAM
 BLOCK_BYTES = 2_000_000
 BUCKET_ENTRIES = 100_000
+#: Occurrences from which an anchor's windows are dealt by ranges of offsets.
+HOT = 5_000
+#: Offsets (bytes before the anchor) compared together: all, or for hot anchors in ranges.
+RANGES = [(0, BEFORE), *[(a, min(a + 9, BEFORE) if a < 90 else BEFORE) for a in range(0, 91, 10)]]
 _CHUNK = 1 << 20
 _FACTOR = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
@@ -178,7 +187,7 @@ def _ask(buckets: int):
         for block, ends, body in rows_of(batches, "block", "ends", "body"):
             hashes, _, counts = Text(ends, body).distinct()
             yield pa.RecordBatch.from_pylist(
-                [dict(bucket=b, block=block, hashes=pack(hashes[at]), counts=pack(np.minimum(counts[at], 2)))
+                [dict(bucket=b, block=block, hashes=pack(hashes[at]), counts=pack(counts[at]))
                  for b, at in _split(_bucket(hashes, buckets))], schema=schema)
 
     return run
@@ -188,17 +197,25 @@ _TOLD = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.in
                    ("answer", pa.binary()), ("answer2", pa.binary())])
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """For each block's hashes: does the hash occur more than once anywhere?"""
+def _repeated(hot: int):
+    """For each block's hashes: does the hash occur more than once anywhere, and is it hot?"""
+    def run(table: pa.Table) -> pa.Table:
+        return _answers(table, hot)
+
+    return run
+
+
+def _answers(table: pa.Table, hot: int) -> pa.Table:
     rows = table.to_pylist()
     hashes = [unpack(r["hashes"]) for r in rows]
     _, place = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(place, np.concatenate([unpack(r["counts"]) for r in rows]))
     out, at = [], 0
     for r, h in zip(rows, hashes, strict=True):
-        more = total[place[at:at + len(h)]] > 1
+        mine = total[place[at:at + len(h)]]
         at += len(h)
-        out.append(dict(kind=1, bucket=r["bucket"], block=r["block"], answer=pack(np.packbits(more)), answer2=None))
+        out.append(dict(kind=1, bucket=r["bucket"], block=r["block"], answer=pack(np.packbits(mine > 1)),
+                        answer2=pack(np.packbits(mine > hot))))
     return pa.Table.from_pylist(out, schema=_TOLD)
 
 
@@ -207,26 +224,35 @@ class Entries:
 
     def __init__(self, text: Text, replies: list[dict], buckets: int) -> None:
         hashes, place, _ = text.distinct()
-        more = np.zeros(len(hashes), bool)
+        more, hot = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
         by = {r["bucket"]: r for r in replies if r["kind"] == 1}
         bucket = _bucket(hashes, buckets)
         for b, at in _split(bucket):
-            more[at] = np.unpackbits(unpack(by[b]["answer"]).astype(np.uint8), count=len(at)).astype(bool)
+            for flags, answer in ((more, "answer"), (hot, "answer2")):
+                flags[at] = np.unpackbits(unpack(by[b][answer]).astype(np.uint8), count=len(at)).astype(bool)
         chosen = more[place]
-        self.places = text.places[chosen]
-        of = bucket[place[chosen]].tolist()
-        doc = np.searchsorted(text.ends, self.places, "right")
-        starts, ends = text.starts[doc].tolist(), text.ends[doc].tolist()
+        anchors_ = text.places[chosen]
+        doc = np.searchsorted(text.ends, anchors_, "right")
         body = text.body
         seen: dict[tuple[int, bytes, bytes], int] = {}
-        entry = []
-        for x, b, s, e in zip(self.places.tolist(), of, starts, ends, strict=True):
-            key = (b, body[x:min(x + LENGTH, e)], body[max(s, x - BEFORE):x])
-            entry.append(seen.setdefault(key, len(seen)))
+        places, entry = [], []
+        for x, b, h, s, e in zip(anchors_.tolist(), bucket[place[chosen]].tolist(), hot[place[chosen]].tolist(),
+                                 text.starts[doc].tolist(), text.ends[doc].tolist(), strict=True):
+            for n in range(1, len(RANGES)) if h else (0,):
+                least, most = RANGES[n]
+                if h:
+                    if x - s < least or e - x < LENGTH - most:
+                        continue  # no window of the range fits into the document
+                    core = body[x - least:x + LENGTH - most]
+                    b = n * buckets + xxhash.xxh64_intdigest(core, seed=n) % buckets
+                key = (b, body[x:min(x + LENGTH - least, e)], body[max(s, x - most):x])
+                places.append(x)
+                entry.append(seen.setdefault(key, len(seen)))
         keys = list(seen)
         order = sorted(range(len(keys)), key=keys.__getitem__)
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys))
+        self.places = np.array(places, np.int64)
         self.keys = [keys[i] for i in order]
         self.entry_of_place = rank[np.array(entry, np.int64)] if entry else np.zeros(0, np.int64)
         self.counts = np.bincount(self.entry_of_place, minlength=len(keys))
@@ -356,14 +382,16 @@ def merge(runs: list[Run]) -> tuple[list[tuple[int, int]], list[int], list[int]]
 
 
 def repeated_windows(shared: np.ndarray, lengths: np.ndarray, before: np.ndarray, n_before: np.ndarray,
-                     counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                     counts: np.ndarray, offsets: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest window offset (bytes before the anchor) that repeats, or NONE."""
     n = len(shared)
     near, far = np.full(n, NONE, np.int64), np.full(n, NONE, np.int64)
     h = np.zeros(n, np.uint64)
-    for offset in range(BEFORE + 1):
+    for offset in range(offsets[1] + 1):
         if offset:
             h = mixed(h * np.uint64(_FACTOR) + before[:, BEFORE - offset] + np.uint64(1))
+        if offset < offsets[0]:
+            continue
         depth = LENGTH - offset
         fit = np.flatnonzero((lengths >= depth) & (n_before >= offset))
         if not len(fit):
@@ -377,14 +405,21 @@ def repeated_windows(shared: np.ndarray, lengths: np.ndarray, before: np.ndarray
     return near, far
 
 
-def _merge_bucket(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
+def _merge_bucket(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        return _merged(rows, RANGES[rows[0]["bucket"] // buckets])
+
+    return run
+
+
+def _merged(rows: list[dict], offsets: tuple[int, int]) -> pa.Table:
     runs = [Run(r) for r in rows]
     order, shared, lengths = merge(runs)
     befores = [runs[r].before[i] for r, i in order]
     near, far = repeated_windows(
         np.array(shared), np.array(lengths), _fixed(befores, BEFORE, right=True),
-        np.array([len(b) for b in befores]), np.array([runs[r].counts[i] for r, i in order]))
+        np.array([len(b) for b in befores]), np.array([runs[r].counts[i] for r, i in order]), offsets)
     answer = [np.full((2, len(run.shared)), NONE, np.int64) for run in runs]
     of, place = np.array(order).T
     for r in range(len(runs)):
@@ -445,7 +480,7 @@ def _cut(buckets: int):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, end exclusive) and kept (binary) of every text."""
     spark = docs.sparkSession
     ship_code(spark)
@@ -460,10 +495,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 .cogroup(replies.groupBy("block")).applyInArrow(run, ddl))
 
     asked = blocks.select("block", "ends", "body").mapInArrow(_ask(buckets), ASK)
-    told = to_scratch(asked.groupBy("bucket").applyInArrow(_repeated, TOLD), "repeated")
+    told = to_scratch(asked.groupBy("bucket").applyInArrow(_repeated(hot), TOLD), "repeated")
+    del asked
     release_shuffles(spark)
     runs = with_replies(_runs_of_block(buckets), RUN, told)
-    merged = to_scratch(runs.groupBy("bucket").applyInArrow(_merge_bucket, TOLD), "merged")
+    merged = to_scratch(runs.groupBy("bucket").applyInArrow(_merge_bucket(buckets), TOLD), "merged")
+    del runs
     release_shuffles(spark)
     return with_replies(
         _cut(buckets), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary",
