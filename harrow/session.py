@@ -8,7 +8,9 @@ pick a local folder ourselves.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -62,6 +64,7 @@ def work_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="harrow-ckpt-")
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)  # ours alone, so ours to remove
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
