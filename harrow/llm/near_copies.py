@@ -262,8 +262,9 @@ def near_copies(docs: DataFrame, width: int = 4, percent: int = 80, id_col: str
             .filter("m > 1").groupBy("m", "who").agg(F.min("key").alias("key")).select("key", "m"))
     members = to_scratch(keyed.join(same, "key"), "members")
     wanted = members.select("doc_id").distinct()
-    bodies = to_scratch(rows.select("doc_id", "n_shingles", "sketch", "body").join(wanted, "doc_id", "left_semi")
-                        .dropDuplicates(["doc_id"]), "bodies")
+    # The wanted ids grow with the corpus, so they are never broadcast.
+    bodies = to_scratch(rows.select("doc_id", "n_shingles", "sketch", "body")
+                        .join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
     release_shuffles(docs.sparkSession)
 
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
