@@ -78,3 +78,10 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of Python values."""
     for b in batches:
         yield from zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that what is made of one piece stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

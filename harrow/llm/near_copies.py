@@ -61,7 +61,7 @@ _PRIME = np.uint64(0x100000001B3)
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h
         return h
@@ -129,7 +129,7 @@ def _sketch(width: int):
                         ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_value("word hashes", "", WordHashes)
+        hashes = worker_value("near.hashes", "", WordHashes)
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -196,7 +196,7 @@ def _cell(width: int, percent: int):
                 found.append(np.stack([np.full(int(keep.sum()), i), rest[keep], -estimate[keep]]))
         sets: dict[int, np.ndarray] = {}
         bodies = table["body"]
-        hashes = worker_value("word hashes", "", WordHashes)
+        hashes = worker_value("near.hashes", "", WordHashes)
 
         def full(i: int) -> np.ndarray:
             if i not in sets:

@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from harrow.llm.common import id_text, ship_code
+from harrow.llm.common import id_text, ship_code, slices
 from harrow.llm.token_counts import DEFAULT_MODEL, SPACE, model_path, pretokens, worker_value
 
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
 #: Pre-tokens whose paths a worker keeps, and the longest of them.
-CACHE_SIZE, MAX_KEY = 400_000, 64
+CACHE_SIZE, MAX_KEY = 250_000, 64
 
 
 class PieceCodec(dict):
@@ -138,7 +138,7 @@ class PieceCodec(dict):
 
 
 def _codec(path: str) -> PieceCodec:
-    return worker_value("codec", path, lambda: PieceCodec(path))
+    return worker_value("pieces.codec", path, lambda: PieceCodec(path))
 
 
 def _int_lists(rows: list[list[int]]) -> pa.Array:
@@ -158,7 +158,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model: str = DEFAU
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for b in batches:
+        for b in slices(batches):
             kept = [b.column(i) for i, c in enumerate(b.schema.names) if c in names]
             ids = [codec.encode(t or "") for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -179,7 +179,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [codec.decode(i or []) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -198,7 +198,7 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             ids = [codec.encode(t) for t in texts]
             back = [codec.decode(i) for i in ids]

@@ -85,7 +85,7 @@ class Powers:
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the anchors of all windows that lie within a document."""
     places, hashes = [], []
-    powers = worker_value("powers", "", lambda: Powers(_CHUNK + LENGTH))
+    powers = worker_value("spans.powers", "", lambda: Powers(_CHUNK + LENGTH))
     window = np.zeros(len(data) + 1, np.int8)  # marks of places where a window may start
     long = ends - starts >= LENGTH
     np.add.at(window, starts[long], 1)

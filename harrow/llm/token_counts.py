@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import id_text, rows_of, ship_code
+from harrow.llm.common import id_text, rows_of, ship_code, slices
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Entries of the broadcast table; with at most MAX_KEY characters each it stays under 10 MB.
 TABLE_SIZE = 32_768
 MAX_KEY = 48
 #: Entries a worker's cache holds before it starts again.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 250_000
 #: Summaries merged by one task of the tree.
 FAN_IN = 32
 SPACE = "▁"
@@ -100,7 +100,14 @@ _WORKER: dict[str, tuple[str, object]] = {}
 
 
 def worker_value(kind: str, tag: str, make: Callable[[], object]) -> object:
-    """A value that the Python worker keeps across tasks, one of each kind."""
+    """A value that the Python worker keeps across tasks, one of each kind.
+
+    Kinds are named operator.name; values of another operator are let go, so a
+    worker that serves a whole pipeline holds one operator's caches at a time.
+    """
+    owner = kind.partition(".")[0]
+    for other in [k for k in _WORKER if k.partition(".")[0] != owner]:
+        del _WORKER[other]
     if kind not in _WORKER or _WORKER[kind][0] != tag:
         _WORKER[kind] = (tag, make())
     return _WORKER[kind][1]
@@ -171,8 +178,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         {k: encoder.length(k) for k in frequent_pretokens(texts, table_size)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = worker_value("lengths", tag, lambda: Lengths(table.value, Pretokens(path), cache_size))
-        for b in batches:
+        lengths = worker_value("tokens.lengths", tag, lambda: Lengths(table.value, Pretokens(path), cache_size))
+        for b in slices(batches):
             ns = [lengths.count(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index("doc_id")),

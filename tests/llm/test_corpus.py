@@ -165,7 +165,7 @@ def test_anchors_do_not_depend_on_chunks(monkeypatch):
     starts, ends = np.array([0, 5000, 5100]), np.array([5000, 5100, 9000])
     whole = spans_module.anchors(data, starts, ends)[0].tolist()
     monkeypatch.setattr(spans_module, "_CHUNK", 700)
-    spans_module.worker_value("powers", "small", lambda: spans_module.Powers(4000))
+    spans_module.worker_value("spans.powers", "small", lambda: spans_module.Powers(4000))
     assert spans_module.anchors(data, starts, ends)[0].tolist() == whole
 
 
