@@ -21,8 +21,11 @@ Large buckets (over ``CELL`` members) are cut into blocks; the first round
 compares block 0 with each other block.  Components follow by passing least
 ids between groups and documents, both of bounded degree.  A second round then
 takes, in each large bucket, the documents outside its main component against
-all blocks, so that every pair of a bucket that is not connected by then has
-been compared: no cap, and no pairs for what is connected.
+all members of a set size that allows a link, so that every pair of a bucket
+that is not connected by then has been compared: no cap, and no pairs for what
+is connected.  Its cells pair two places (a band of set sizes and a block of
+it); a place holds up to ``SIDE`` documents, fewer when they are long, so that a
+member is copied once for every ``SIDE`` documents of the remainder near its size.
 
 Defined results: letters A-Z are lowered, words are cut at ASCII white space;
 a text with fewer words than a shingle is one shingle; null, empty and blank
@@ -33,13 +36,14 @@ one document; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.common import id_text, release_shuffles, ship_code, to_scratch
@@ -51,8 +55,10 @@ BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate of the exponential values, largest register.
 BASE, RATE, TOP = 1.1, 20.0, 254
-#: Members of a cell that is not cut, and of a block of a larger bucket.
+#: Members of a cell that is not cut, of a block of a larger bucket, and (at least) of a place of the second round.
 CELL, BLOCK, REST = 256, 192, 128
+#: Members of a place of the second round at most, and their shingles together.
+SIDE, SIDE_SHINGLES = 1024, 1 << 19
 ERRORS = 5.0
 _MULTIPLIERS = np.random.default_rng(20_240).integers(1, 2**63, REGISTERS, dtype=np.uint64) | np.uint64(1)
 _PRIME = np.uint64(0x100000001B3)
@@ -177,17 +183,22 @@ def _cell(width: int, percent: int):
         ids, labels = table["doc_id"].to_pylist(), table["label"].to_pylist()
         n = len(ids)
         size = table["n_shingles"].to_numpy().astype(float)
+        label, side = table["label"].to_numpy(), table["side"].to_numpy()
+        across = side.any()  # two places: only pairs between them
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(n, REGISTERS)
         groups = Groups(n)
         first: dict[int, int] = {}
-        for i, label in enumerate(labels):  # connected by an earlier round
-            groups.join(first.setdefault(label, i), i)
+        for i, l in enumerate(labels):  # connected by an earlier round
+            groups.join(first.setdefault(l, i), i)
         share = percent / 100
         least = share - ERRORS * np.sqrt(share * (1 - share) / REGISTERS)
         found = []
         for i in range(n - 1):
             rest = np.arange(i + 1, n)
-            rest = rest[np.minimum(size[i], size[rest]) >= share * np.maximum(size[i], size[rest]) - 1e-9]
+            rest = rest[(label[rest] != label[i]) & (np.minimum(size[i], size[rest])
+                                                     >= share * np.maximum(size[i], size[rest]) - 1e-9)]
+            if across:
+                rest = rest[side[rest] != side[i]]
             if len(rest):
                 diff = sketches[i].astype(np.int16) - sketches[rest]
                 estimate = likeliest((diff > 0).sum(axis=1), (diff < 0).sum(axis=1),
@@ -212,8 +223,8 @@ def _cell(width: int, percent: int):
                     if 100 * both >= percent * (len(a) + len(b) - both):
                         groups.join(i, j)
         members: dict[int, dict[int, int]] = {}
-        for i, label in enumerate(labels):  # one document of each earlier component is enough
-            members.setdefault(groups.root(i), {}).setdefault(label, ids[i])
+        for i, l in enumerate(labels):  # one document of each earlier component is enough
+            members.setdefault(groups.root(i), {}).setdefault(l, ids[i])
         out = [sorted(m.values()) for m in members.values() if len(m) > 1]
         g = [xxhash.xxh64_intdigest(np.array(m, np.int64).tobytes()) - 2**63 for m in out]
         return pa.Table.from_arrays(
@@ -273,26 +284,16 @@ def near_copies(docs: DataFrame, width: int = 4, percent: int = 80, id_col: str
     home = cut.filter("blocks = 1 or block > 0").select("key", "doc_id", F.col("block").alias("cell"))
     base = cut.filter("blocks > 1 and block = 0").select("key", "doc_id", _each("blocks", 1).alias("cell"))
     compare = _cell(width, percent)
-    links = to_scratch(_compared(home.unionByName(base).withColumn("label", F.col("doc_id")),
-                                 bodies, compare), "links")
+    cells = home.unionByName(base).select("key", F.lit(0).alias("a"), F.col("cell").alias("b"), F.lit(0).alias("side"),
+                                          "doc_id", F.col("doc_id").alias("label"))
+    links = to_scratch(_compared(cells, bodies, compare), "links")
     labels = to_scratch(_components(links), "components")
 
     large = cut.filter("blocks > 1")
     if large.limit(1).count():
         large = to_scratch(
             large.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "large")
-        sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = (sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("m"),
-                                         F.max("n").alias("most"))
-                .filter("m > most").select("key", "main", F.expr(f"cast(ceil((m - most) / {REST}) as int)").alias("rests")))
-        large = large.join(main, "key")
-        rest = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("rests")).cast("int")
-        place = lambda r, b: (r * F.lit(1 << 20) + b).alias("cell")
-        outside = (large.filter("label <> main").withColumn("r", rest)
-                   .select("key", "doc_id", "label", "r", _each("blocks").alias("b")))
-        everyone = large.select("key", "doc_id", "label", F.col("block").alias("b"), _each("rests").alias("r"))
-        cells = outside.unionByName(everyone).select("key", "doc_id", "label", place(F.col("r"), F.col("b"))).distinct()
-        more = to_scratch(_compared(cells, bodies, compare), "more-links")
+        more = to_scratch(_compared(_rest_cells(large, bodies, percent), bodies, compare), "more-links")
         # A group names one document of each earlier component, so link those components by their labels.
         renamed = (more.join(labels, "doc_id", "left")
                    .select("g", F.coalesce("label", "doc_id").alias("doc_id")).distinct())
@@ -316,6 +317,48 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
+def _size_band(n: Column, percent: int) -> Column:
+    """Band of a set size; sets whose bands are no neighbours differ too much in size to be linked."""
+    return F.floor(F.log(n) / _band_width(percent)).cast("int")
+
+
+def _band_width(percent: int) -> float:
+    return max(-math.log(percent / 100), 0.05) * (1 + 1e-6)  # wider than a link allows, so rounding drops nothing
+
+
+def _rest_cells(large: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """Second-round cells: key, places a and b, side (1: in b), doc_id, label.
+
+    large is (key, doc_id, label) of the large buckets.  The documents outside
+    the main component of a bucket meet each other and the main component,
+    where the bands of their set sizes are the same or neighbours.
+    """
+    sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = (sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("m"),
+                                     F.max("n").alias("most"))
+            .filter("m > most").select("key", "main"))
+    banded = to_scratch(
+        large.select("key", "doc_id", "label").join(main, "key").join(bodies.select("doc_id", "n_shingles"), "doc_id")
+        .select("key", "doc_id", "label", (F.col("label") != F.col("main")).alias("outside"),
+                _size_band(F.col("n_shingles"), percent).alias("band")), "banded")
+    largest = F.exp((F.col("band") + 1) * F.lit(_band_width(percent)))
+    side = F.greatest(F.lit(float(REST)), F.least(F.lit(float(SIDE)), F.lit(float(SIDE_SHINGLES)) / largest))
+    blocks = (banded.groupBy("key", "outside", "band").agg(F.count(F.lit(1)).alias("n"))
+              .select("key", "outside", "band", F.ceil(F.col("n") / side).cast("int").alias("blocks")))
+    placed = (banded.join(blocks, ["key", "outside", "band"])
+              .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int")))
+    others = blocks.select("key", F.col("outside").alias("o_outside"), F.col("band").alias("o_band"),
+                           F.col("blocks").alias("o_blocks"),
+                           F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    met = (placed.join(others, ["key", "band"]).filter("outside or o_outside")
+           .select("key", "doc_id", "label", F.struct("band", "outside", "block").alias("mine"), "o_band", "o_outside",
+                   _each("o_blocks").alias("o_block"))
+           .withColumn("other", F.struct(F.col("o_band").alias("band"), F.col("o_outside").alias("outside"),
+                                         F.col("o_block").alias("block"))))
+    return met.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"),
+                      (F.col("mine") > F.col("other")).cast("int").alias("side"), "doc_id", "label")
+
+
 def _compared(cells: DataFrame, bodies: DataFrame, compare) -> DataFrame:
-    return (cells.join(bodies, "doc_id").select("key", "cell", "doc_id", "label", "n_shingles", "sketch", "body")
-            .groupBy("key", "cell").applyInArrow(compare, "g long, doc_id long"))
+    return (cells.join(bodies, "doc_id").select("key", "a", "b", "side", "doc_id", "label", "n_shingles", "sketch", "body")
+            .groupBy("key", "a", "b").applyInArrow(compare, "g long, doc_id long"))

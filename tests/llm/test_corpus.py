@@ -103,6 +103,27 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, sizes):
     assert got == brute_components(rows)
 
 
+def test_near_copies_with_a_large_remainder(spark, monkeypatch):
+    """One bucket of all documents, of which thousands are outside its main component."""
+    monkeypatch.setattr(near, "REST", 1)
+    monkeypatch.setattr(near, "band_keys", lambda sketches: np.full((len(sketches), 1), 7))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(25 + 4 * (i % 5)))) for i in range(2400)]
+    rows += [(10_000 + i, f"{rows[i][1]} more") for i in range(0, 2400, 100)]
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 10_000 for i, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [80, 100])
+def test_near_copies_over_places_of_set_sizes(spark, monkeypatch, percent):
+    for name, value in dict(CELL=3, BLOCK=2, REST=1, SIDE=3).items():
+        monkeypatch.setattr(near, name, value)
+    monkeypatch.setattr(near, "band_keys", lambda sketches: np.full((len(sketches), 1), 7))
+    words = invent(9, 90).split()
+    rows = [(i, " ".join(words[i % 3 * 5:25 + i])) for i in range(50)]
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute_components(rows, percent=percent)
+
+
 def test_near_copies_of_awkward_tables(spark, awkward, empty):
     got = near_copies(awkward).collect()
     want = brute_components([(i, t) for i, t in awkward_texts() if i is not None])
