@@ -269,8 +269,11 @@ def near_copies(docs: DataFrame, width: int = 4, percent: int = 80, id_col: str
     keyed = (rows.filter("bands is not null").select("doc_id", "bands").join(leaders, "doc_id", "left_semi")
              .dropDuplicates(["doc_id"]).select("doc_id", F.explode("bands").alias("key")))
     keyed = to_scratch(keyed, "bands")
-    same = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("doc_id") % 2**40).alias("who"))
-            .filter("m > 1").groupBy("m", "who").agg(F.min("key").alias("key")).select("key", "m"))
+    # Same members: exact for two; of more, the least, the largest and 128 bits of hashes agree.
+    who = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("x"),
+           F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y")]
+    same = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *who)
+            .filter("m > 1").groupBy("m", "low", "high", "x", "y").agg(F.min("key").alias("key")).select("key", "m"))
     members = to_scratch(keyed.join(same, "key"), "members")
     wanted = members.select("doc_id").distinct()
     # The wanted ids grow with the corpus, so they are never broadcast.

@@ -124,6 +124,21 @@ def test_near_copies_over_places_of_set_sizes(spark, monkeypatch, percent):
     assert {r[0]: tuple(r)[1:] for r in got} == brute_components(rows, percent=percent)
 
 
+def test_near_copies_of_pairs_whose_hash_sums_are_equal(spark):
+    """The xxhash64 of these ids, modulo 2^40, have the same sum in both pairs of a line."""
+    pairs = [((359, 2724), (2641, 3206)), ((857, 2163), (2876, 3146)), ((82, 837), (1942, 2444))]
+    rows = []
+    for pair in (p for line in pairs for p in line):
+        text = invent(pair[0], 60)
+        rows += [(pair[0], text), (pair[1], f"{text} more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    h = F.xxhash64("doc_id") % 2**40
+    sums = {r[0]: r[1] for r in docs.select("doc_id", h).collect()}
+    assert all(sums[a] + sums[b] == sums[c] + sums[d] for (a, b), (c, d) in pairs)
+    got = {r.doc_id: r.component_id for r in near_copies(docs).collect()}
+    assert got == {i: p[0] for line in pairs for p in line for i in p}
+
+
 def test_near_copies_of_awkward_tables(spark, awkward, empty):
     got = near_copies(awkward).collect()
     want = brute_components([(i, t) for i, t in awkward_texts() if i is not None])
