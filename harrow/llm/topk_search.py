@@ -10,7 +10,8 @@ best ``k`` of the cell and a window over query ids merges the cells.
 
 Defined results: a null vector, or one with a null or non-finite component, and
 a row without id take no part; a missing dimension counts as 0 when lengths
-differ (an empty vector scores 0 everywhere); components saturate at +-2^31;
+differ (an empty vector scores 0 everywhere); components and scores saturate only
+at +-(2^63 - 1), and pairs whose sums might pass that are scored in Python integers;
 ties go to the smaller id; rows that agree in id and vector count once, rows
 with the query's own id are never its candidates; an empty table gives an empty
 result; other columns are ignored.
@@ -18,6 +19,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,16 +31,16 @@ from harrow.llm.common import ship_code, to_scratch
 
 CANDIDATES, QUERIES = 16_384, 1_024
 BATCH = 128
+TOP = 2**63 - 1
 
 
 def integer_rows(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
     """(vec_id, v array<long>) of the rows that take part."""
     x = F.col(vec_col).cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    top = F.lit(float(2**31))
     return (vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & fine)
             .select(F.col(id_col).cast("long").alias("vec_id"),
-                    F.transform(x, lambda c: F.floor(F.greatest(F.least(c * scale, top), -top))).alias("v"))
+                    F.transform(x, lambda c: F.greatest(F.floor(c * scale), F.lit(-TOP))).alias("v"))
             .dropDuplicates(["vec_id", "v"]))
 
 
@@ -64,6 +67,16 @@ def accumulate(queries: np.ndarray, postings: np.ndarray) -> np.ndarray:
     return scores
 
 
+def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores of one query against rows in Python integers, saturated at +-TOP."""
+    return np.array([min(max(s, -TOP), TOP) for s in rows.astype(object) @ query.astype(object)], np.int64)
+
+
+def _beyond(m: np.ndarray) -> np.ndarray:
+    """Rows whose scores against others like them might not fit a long."""
+    return np.abs(m).max(axis=1, initial=0) > math.isqrt(TOP // max(m.shape[1], 1))
+
+
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id; ids ascend."""
     lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
@@ -90,12 +103,21 @@ def _cell(k: int):
         q_ids, q = _matrix(left)
         c_ids, c = _matrix(right)
         dims = min(q.shape[1], c.shape[1])
+        q, c = q[:, :dims], c[:, :dims]
+        far_q, far_c = _beyond(q), _beyond(c)
+        whole_q, whole_c = q, c
+        if far_q.any() or far_c.any():
+            q, c = np.where(far_q[:, None], 0, q), np.where(far_c[:, None], 0, c)
         worst = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(dims, 1)
-        postings = np.ascontiguousarray(c[:, :dims].T.astype(np.int32 if worst < 2**31 else np.int64))
+        postings = np.ascontiguousarray(c.T.astype(np.int32 if worst < 2**31 else np.int64))
         out_q, out_v, out_s = [], [], []
         for at in range(0, len(q), BATCH):
             scores = accumulate(q[at:at + BATCH], postings)
-            for own, row in zip(q_ids[at:at + BATCH], scores, strict=True):
+            for place, (own, row) in enumerate(zip(q_ids[at:at + BATCH], scores, strict=True), at):
+                again = np.arange(len(c)) if far_q[place] else np.flatnonzero(far_c)
+                if len(again):
+                    row = row.astype(np.int64)
+                    row[again] = exact(whole_q[place], whole_c[again])
                 chosen = best(row, c_ids, own, k)
                 out_q.append(np.full(len(chosen), own))
                 out_v.append(c_ids[chosen])

@@ -332,6 +332,20 @@ def test_search_equals_brute_force(spark):
     assert bag(map(tuple, topk_search(vectors, F.col("vec_id") % 20 == 0).collect())) == bag(want)
 
 
+def test_search_of_large_components(spark):
+    rows = [(0, [1.0, 1.0]), (1, [4e7, 0.0]), (2, [5e7, 1.0]), (3, [6e7, -3.0]), (4, [-7e8, 2.0]),
+            (20, [1e9, -1e9]), (21, [1e9, 0.9999e9]), (22, [2.0**40, 2.0**40]), (23, [1e300, -1e300])]
+    top = 2**63 - 1
+    live = {i: [max(min(math.floor(64 * int(x)), top), -top) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20):
+        ranked = sorted((-max(min(sum(a * b for a, b in zip(live[q], w, strict=True)), top), -top), i)
+                        for i, w in live.items() if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert bag(map(tuple, topk_search(vectors, F.col("vec_id") % 20 == 0).collect())) == bag(want)
+
+
 def test_search_with_few_rows(spark):
     few = spark.createDataFrame([(0, [0.5]), (1, [1.0]), (2, [1e30])], "vec_id long, embedding array<double>")
     got = topk_search(few, F.col("vec_id") == 0).collect()
