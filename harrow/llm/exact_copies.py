@@ -4,7 +4,9 @@ Every row becomes (digest, id); a hash of the id deals the rows into ``runs``
 runs.  Within a run equal digests are reduced to their smallest id and a count.
 Rounds then merge ``fan_in`` neighbouring runs at a time (run numbers of a
 binomial tree: the low bits are shifted out) until one run remains, keeping the
-smallest id at each level.  Each level is partitioned by (digest, run), so a
+smallest id at each level.  No sorted run is built: the merge of sorted runs is
+expressed as a partial aggregate on (digest, run), which Spark runs natively.
+Each level is partitioned by (digest, run), so a
 run is spread over all tasks, and a digest shared by a third of all rows is cut
 into ``runs`` pieces before its first exchange and again reduced inside each
 task.  The answer travels the same tree downwards: a level joins the level
