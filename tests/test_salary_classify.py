@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import one_col
+from columns import one_col
 from harrow.functions.classify import classify
 from harrow.functions.salary import clean_salary, salary_from_compensation, salary_from_range
 

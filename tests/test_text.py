@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import one_col
+from columns import one_col
 from harrow.functions.regex import required_literals, to_java, to_re2
 from harrow.functions.text import collapse_ws, contains_any, fingerprint, jstrim, matches, strip_tags
 
