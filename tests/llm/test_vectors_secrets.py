@@ -251,7 +251,7 @@ def test_field_equals_listing_all_paths():
         assert tuple(got) == path
 
 
-def test_training_gradient_lowers_the_loss_and_holds_out(spark):
+def test_field_holds_on_other_texts_and_finds_unknown_shapes(spark):
     learn, held = corpus(1, 600), corpus(2, 300)
     texts = spark.createDataFrame([(t,) for t in learn], "text string").repartition(4)
     field = secrets.fit(texts)
@@ -264,7 +264,7 @@ def test_training_gradient_lowers_the_loss_and_holds_out(spark):
         values = [(a, b) for a, k, b in plain_base(text) if k]
         if i % 3 == 0:
             hidden += 1
-            caught += any(a <= x and y <= b for a, b in spans for x, y in values) or bool(values and set(spans) & set(values))
+            caught += any(a <= x and y <= b for a, b in spans for x, y in values)
         else:
             clean += 1
             wrong += bool(spans)
@@ -287,12 +287,10 @@ def test_secret_scan_of_awkward_tables(spark, awkward, empty):
     want = sorted(((i, secrets.joined(plain_base(t or ""))) for i, t in awkward_texts()), key=repr)
     assert sorted(((r.doc_id, r.spans) for r in got), key=repr) == want  # nothing to learn, nothing added
     assert secret_scan(empty).collect() == []
-    planted = [(i, t) for i, t in enumerate(corpus(3, 90))] + [(None, None), (5, ""), (500, "é😀 token='abcdefABCDEF12' " * 3000)]
+    planted = [(i, t) for i, t in enumerate(corpus(3, 90))] + [(None, None), (500, "é😀 token='abcdefABCDEF12' " * 3000)]
     table = spark.createDataFrame([(i, t, "s") for i, t in planted], "doc_id long, text string, secrets string")
     for r in secret_scan(table).collect():
-        text = next(t for i, t in planted if i == r.doc_id and (r.doc_id != 5 or bool(t) == bool(r.spans or r.n_hex)) or i is r.doc_id) or ""
-        if r.doc_id == 5:
-            continue
+        text = dict(planted)[r.doc_id] or ""
         base = plain_base(text)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
         assert r.base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
