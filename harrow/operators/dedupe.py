@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.session import scratch_path
+from harrow.sources.indexed import KEY, URL, IndexedStore
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFrame:
@@ -62,16 +63,22 @@ def cap_per_group(df: DataFrame, group: str | Sequence[str], n: int | None,
     return out if rank_col else out.drop(name)
 
 
-def anti_store(new: DataFrame, store: DataFrame, url: str = "source_url",
+def anti_store(new: DataFrame, store: DataFrame | IndexedStore, url: str = "source_url",
                fp: str = "fingerprint", store_url: str | None = None,
                store_fp: str | None = None) -> DataFrame:
     """Rows whose URL and whose fingerprint are both absent from the store.
 
-    Two ``left_anti`` joins replace one store lookup per row.  AQE broadcasts
-    the store side only when its measured size is under the broadcast
+    Two ``left_anti`` joins replace one store lookup per row.  An indexed
+    store gives its keys in their stored layout, so the batch is shuffled into
+    the store's buckets and the store is not shuffled.  Of a plain store AQE
+    broadcasts the side only when its measured size is under the broadcast
     threshold; otherwise both sides shuffle on the key, and skewed keys are
     split by the skew-join rule.
     """
+    if isinstance(store, IndexedStore):
+        su = store.urls().select(F.col(URL).alias(url))
+        sf = store.prints().select(F.col(KEY).alias(fp))
+        return new.join(su, url, "left_anti").join(sf, fp, "left_anti")
     su = store.select(F.col(store_url or url).alias(url)).where(F.col(url).isNotNull())
     sf = store.select(F.col(store_fp or fp).alias(fp)).where(F.col(fp).isNotNull())
     return new.join(su, url, "left_anti").join(sf, fp, "left_anti")
@@ -114,7 +121,7 @@ def _greedy_rounds(keys: DataFrame, out_path: str, order: str, url: str, fp: str
 
 
 def two_key_dedupe(df: DataFrame, url: str = "source_url", fp: str = "fingerprint",
-                   order: str = "ord", store: DataFrame | None = None,
+                   order: str = "ord", store: DataFrame | IndexedStore | None = None,
                    return_rounds: bool = False):
     """Rows the sequential loop would write.
 

@@ -19,12 +19,13 @@ from harrow.session import work_dir
 from harrow.operators.dedupe import cap_per_group, first_wins, two_key_dedupe
 from harrow.operators.filters import apply_tiers, present
 from harrow.operators.metrics import run_summary
+from harrow.sources.indexed import IndexedStore
 from harrow.sources.store import append, to_store_rows
 
 
 def settle_source(listings: DataFrame, cfg: CurationConfig, source: str = "source",
-                  url: str = "source_url", order: str = "ord") -> DataFrame:
-    """Per source: drop rows without title or URL, keep the first row of each
+                  url: str = "source_url", order: str = "ord", run: str | None = None) -> DataFrame:
+    """Per source (and per value of ``run``, if rows of several runs come together): drop rows without title or URL, keep the first row of each
     URL, then the first ``max_jobs_per_source`` rows in arrival order (None: all).
 
     Relevance and pre-filters must already be applied (an irrelevant row
@@ -33,8 +34,9 @@ def settle_source(listings: DataFrame, cfg: CurationConfig, source: str = "sourc
     column removes nothing and may be computed before.
     """
     valid = listings.where(present("title") & present(url))
-    firsts = first_wins(valid, [source, url], order)
-    return cap_per_group(firsts, source, cfg.max_jobs_per_source, order)
+    groups = [run, source] if run else [source]
+    firsts = first_wins(valid, [*groups, url], order)
+    return cap_per_group(firsts, groups, cfg.max_jobs_per_source, order)
 
 
 def enrich(listings: DataFrame) -> DataFrame:
@@ -68,8 +70,8 @@ def judge(listings: DataFrame, cfg: CurationConfig) -> DataFrame:
     return classed.drop(*text_cols)
 
 
-def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | None = None,
-           order: str = "ord", settle: bool = False) -> RunResult:
+def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | IndexedStore | None = None,
+           order: str = "ord", settle: bool = False, run: str | None = None) -> RunResult:
     """Tier verdicts, two-key dedupe and store rows for a listing set.
 
     The slim rows of :func:`judge` are settled per source if ``settle`` asks
@@ -78,7 +80,7 @@ def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | None = N
     """
     slim = judge(listings, cfg)
     if settle:
-        slim = settle_source(slim, cfg, order=order)
+        slim = settle_source(slim, cfg, order=order, run=run)
     work_dir(slim.sparkSession)
     slim = slim.checkpoint(eager=True)
     kept, rounds = two_key_dedupe(slim.where("passed"), "source_url", "fingerprint", order, store,

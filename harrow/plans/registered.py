@@ -29,8 +29,9 @@ from harrow.plans.views import doc_listings, key_listings, part_listings, table
 from harrow.sources.boards import BOARDS, TEMPLATES, board_listings
 from harrow.sources.pages import (COMPANY_PATTERNS, CONTAINER_PATTERN, LEAF_PATTERN, LINK_PATTERN, CardRules, SectionRules, card_scan,
                                   link_scan, section_scan)
+from harrow.sources.indexed import IndexedStore
 from harrow.sources.registry import html_rows
-from harrow.sources.store import to_store_rows, update_status, with_status
+from harrow.sources.store import LISTING_STORE, to_store_rows, update_status, with_status
 from harrow.streaming.incremental import ingest_available, land_batch, run_rows
 from harrow.session import scratch_path
 
@@ -703,6 +704,20 @@ def q_anti_store(spark, sf):
     return anti_store(new, _doc_store(spark, sf)).select("ord")
 
 
+def _indexed(spark, rows: DataFrame, epochs: int = 1) -> IndexedStore:
+    """An indexed store that holds ``rows``, appended in as many epochs by a hash of the fingerprint."""
+    store = IndexedStore(spark, scratch_path(spark, "indexed"), rows.schema)
+    for part in range(epochs):
+        store.append(rows.where(F.pmod(F.xxhash64("fingerprint"), F.lit(epochs)) == part))
+    return store
+
+
+@register("index_anti_store", ORACLES["anti_store"])
+def q_index_anti_store(spark, sf):
+    new = doc_listings(spark, sf).withColumn("fingerprint", fingerprint("company", "title", "location"))
+    return anti_store(new, _indexed(spark, _doc_store(spark, sf), epochs=3)).select("ord")
+
+
 @register("dedupe_two_key", f"""
 SELECT k.ord, k.source_url, k.fingerprint FROM {LKEYS} k JOIN ({_greedy_sql(LKEYS)}) g ON g.ord = k.ord""")
 def q_dedupe_two_key(spark, sf):
@@ -717,8 +732,7 @@ def q_incremental_two_batch(spark, sf):
     mid = keys.agg(F.percentile_approx("ord", 0.5).alias("m")).first()["m"]
     land_batch(keys.where(F.col("ord") <= mid), landing, 1)
     land_batch(keys.where(F.col("ord") > mid), landing, 2)
-    ingest_available(spark, landing, keys.schema, store)
-    return spark.read.parquet(store).select("ord", "source_url", "fingerprint")
+    return ingest_available(spark, landing, keys.schema, store).rows().select("ord", "source_url", "fingerprint")
 
 
 # --- the full run ---------------------------------------------------------
@@ -762,14 +776,42 @@ JOIN ({_greedy_sql(cand)}) g ON g.ord = r.ord"""
 
 @register("incremental_run", _stream_sql())
 def q_incremental_run(spark, sf):
-    from harrow.sources.store import LISTING_STORE
     listings = doc_listings(spark, sf)
     landing, store = scratch_path(spark, "landing"), scratch_path(spark, "store")
     mid = listings.agg(F.floor(F.max("ord") / 2).alias("m")).first()["m"]
     land_batch(listings.where(F.col("ord") <= mid), landing, 1)
     land_batch(listings.where(F.col("ord") > mid), landing, 2)
-    ingest_available(spark, landing, listings.schema, store, run_rows(UNCAPPED), LISTING_STORE)
-    return spark.read.schema(LISTING_STORE).parquet(store).select("source_url", "fingerprint", "status")
+    held = ingest_available(spark, landing, listings.schema, store, run_rows(UNCAPPED), LISTING_STORE)
+    return held.rows().select("source_url", "fingerprint", "status")
+
+
+_RUNS = 3
+_RUN_OF = f"LEAST(ord * {_RUNS} // ((SELECT max(doc_id) FROM documents) + 1), {_RUNS - 1})"
+
+
+def _runs_sql() -> str:
+    """Runs with first-wins and cap each, then the two-key rule over all in their order."""
+    rows = _RUN_ROWS.replace("PARTITION BY source, source_url", f"PARTITION BY {_RUN_OF}, source, source_url")
+    rows = rows.replace("SELECT ord, source_url,", "SELECT ord, source,  source_url,", 1)
+    capped = (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_RUN_OF}, source ORDER BY ord) AS place "
+              f"FROM {rows}) WHERE place <= {DRIVER_CONFIG.max_jobs_per_source})")
+    cand = f"(SELECT ord, source_url, fingerprint FROM {capped} r WHERE failed_tier IS NULL)"
+    return f"""
+SELECT r.source_url, r.fingerprint, 'New' AS status FROM {_RUN_ROWS.replace('rn = 1', 'rn >= 1')} r
+JOIN ({_greedy_sql(cand)}) g ON g.ord = r.ord"""
+
+
+@register("incremental_runs", _runs_sql())
+def q_incremental_runs(spark, sf):
+    listings = doc_listings(spark, sf)
+    landing, store, checkpoint = (scratch_path(spark, n) for n in ("landing", "store", "checkpoint"))
+    end = listings.agg(F.max("ord")).first()[0] + 1
+    run = F.least(F.floor(F.col("ord") * _RUNS / end), F.lit(_RUNS - 1))
+    for numbers in ((0,), (2, 1)):  # the last two runs land out of order and share a micro-batch
+        for number in numbers:
+            land_batch(listings.where(run == number), landing, number)
+        held = ingest_available(spark, landing, listings.schema, store, run_rows(DRIVER_CONFIG), LISTING_STORE, checkpoint)
+    return held.rows().select("source_url", "fingerprint", "status")
 
 
 _STORE_SAL = "CASE ord % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '$' || CAST(ord AS VARCHAR) END"
@@ -824,6 +866,19 @@ def q_backfill_classes(spark, sf):
         "experience_level_updated")
 
 
+@register("delta_backfill", f"SELECT ord, employment_type, experience_level FROM {_BF_SQL}")
+def q_delta_backfill(spark, sf):
+    """Class backfill as deltas of the changed fields only, folded in by a compaction."""
+    keyed = _class_store(spark, sf).withColumns({
+        "fingerprint": F.sha2(F.col("ord").cast("string"), 256), "source_url": F.concat(F.lit("doc://"), "ord")})
+    store = _indexed(spark, keyed, epochs=2)
+    changed = maintain.backfill_classes(store.rows())
+    for field in ("employment_type", "experience_level"):
+        store.update(changed.where(f"{field}_updated"), [field])
+    store.compact()
+    return store.rows().select("ord", "employment_type", "experience_level")
+
+
 @register("backfill_summary", f"""
 SELECT count(*) AS scanned, CAST(count_if(employment_type_updated OR experience_level_updated) AS BIGINT) AS updated,
        CAST(count_if(employment_type_updated) AS BIGINT) AS employment_type_updated,
@@ -1030,6 +1085,16 @@ def q_status_update(spark, sf):
     return update_status(store, updates).select("ord", "status")
 
 
+@register("delta_status_update", ORACLES["status_update"])
+def q_delta_status_update(spark, sf):
+    rows = _status_store(spark, sf).withColumn("source_url", F.concat(F.lit("order://"), "ord"))
+    store = _indexed(spark, rows)
+    urgent = rows.where(F.col("o_orderpriority") == "1-URGENT")
+    store.update(urgent.select("fingerprint", F.lit("Apply").alias("status")), ["status"])
+    store.update(urgent.select("fingerprint", F.lit("Interviewing").alias("status")), ["status"])
+    return store.rows().select("ord", "status")
+
+
 @register("status_funnel", f"""
 SELECT d.status_rank, d.status, coalesce(c.n, 0) AS n
 FROM (SELECT * FROM (VALUES (0, 'New'), (1, 'Reviewing'), (2, 'Apply'), (3, 'Applied'),

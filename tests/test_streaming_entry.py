@@ -17,13 +17,13 @@ def test_two_batches_equal_one_run_and_replay_is_noop(spark):
     # The later batch is written first: the number decides, not the file time.
     land_batch(keys.where("ord >= 100"), landing, 2)
     land_batch(keys.where("ord < 100"), landing, 1)
-    ingest_available(spark, landing, keys.schema, store)
-    inc = sorted(r.ord for r in spark.read.parquet(store).collect())
+    held = ingest_available(spark, landing, keys.schema, store)
+    inc = sorted(r.ord for r in held.rows().collect())
     assert inc == sorted(r.ord for r in two_key_dedupe(keys).collect())
     # Landing the same rows again writes nothing new: the store is the state.
     land_batch(keys, landing, 3)
     ingest_available(spark, landing, keys.schema, store)
-    assert sorted(r.ord for r in spark.read.parquet(store).collect()) == inc
+    assert sorted(r.ord for r in held.rows().collect()) == inc
 
 
 def test_stream_runs_the_whole_pipeline(spark):
@@ -35,14 +35,14 @@ def test_stream_runs_the_whole_pipeline(spark):
     landing, store = scratch_path(spark, "t-landing"), scratch_path(spark, "t-store")
     land_batch(df.where("ord < 30"), landing, 1)
     land_batch(df.where("ord >= 30"), landing, 2)
-    ingest_available(spark, landing, df.schema, store, run_rows(cfg), LISTING_STORE)
+    held = ingest_available(spark, landing, df.schema, store, run_rows(cfg), LISTING_STORE)
     once = curate(df, cfg, settle=True)
     key = lambda r: (r.source_url, r.fingerprint, r.employment_type, r.experience_level, r.status)
-    got = sorted(map(key, spark.read.schema(LISTING_STORE).parquet(store).collect()))
+    got = sorted(map(key, held.rows().collect()))
     assert got == sorted(map(key, once.written.collect())) and len(got) == 35
     land_batch(df, landing, 3)
     ingest_available(spark, landing, df.schema, store, run_rows(cfg), LISTING_STORE)
-    assert spark.read.schema(LISTING_STORE).parquet(store).count() == 35
+    assert held.rows().count() == 35
 
 
 def test_unreadable_store_is_an_error(spark, tmp_path):
