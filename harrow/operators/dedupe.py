@@ -9,9 +9,11 @@ not depend on partitioning.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow.session import scratch_path
 from harrow.sources.indexed import KEY, URL, IndexedStore
@@ -84,39 +86,107 @@ def anti_store(new: DataFrame, store: DataFrame | IndexedStore, url: str = "sour
     return new.join(su, url, "left_anti").join(sf, fp, "left_anti")
 
 
-def _greedy_rounds(keys: DataFrame, out_path: str, order: str, url: str, fp: str,
-                   checkpoint_every: int = 1) -> int:
-    """Write the order values of the greedy matching of ``keys`` to ``out_path``.
+def _plain_round(cand: DataFrame, order: str, url: str, fp: str) -> DataFrame:
+    """Rows that are the earliest remaining one of their URL and of their fingerprint.
 
-    ``keys`` holds one row per candidate with unique ``order``.  A round keeps
-    every row that is the earliest remaining row of its URL group *and* of
-    its fingerprint group (such a row would be written by the sequential
-    loop: nothing earlier can claim either key), then removes every row that
-    shares a key with a kept row.  Repeating until nothing remains yields the
+    Minima are aggregates combined map-side; the minimum of a group is one row,
+    so the join that pairs them is on the unique order and cannot skew.
+    """
+    by_url = (cand.groupBy(url)
+              .agg(F.min(F.struct(F.col(order).alias("o"), F.col(fp).alias("f"))).alias("m"))
+              .select(url, F.col("m.o").alias(order), F.col("m.f").alias(fp)))
+    by_fp = cand.groupBy(fp).agg(F.min(order).alias(order))
+    return by_url.join(by_fp, [order, fp], "inner").select(order, url, fp)
+
+
+def _pointers(cand: DataFrame, order: str, url: str, fp: str) -> DataFrame:
+    """(order, url, fp, ptr) of rows that wait on at most one earlier row: that row's order, or null.
+
+    Only the first two rows of a group can wait on at most one row of it; a
+    partial limit takes them in each task, so a hot key sends two rows a task.
+    """
+    def first_two(key: str, waits: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+        two = cand.withColumn("_place", place).where(F.col("_place") <= 2)
+        first = F.min(order).over(Window.partitionBy(key))
+        return two.withColumn(waits, F.when(F.col("_place") == 2, first)).drop("_place")
+
+    by_url = first_two(url, "_by_url")
+    by_fp = first_two(fp, "_by_fp").select(F.col(order).alias("_o"), "_by_fp")
+    both = by_url.join(by_fp, F.col(order) == F.col("_o")).drop("_o")
+    one = F.col("_by_url").isNull() | F.col("_by_fp").isNull() | (F.col("_by_url") == F.col("_by_fp"))
+    return both.where(one).select(order, url, fp, F.coalesce("_by_url", "_by_fp").alias("_ptr"))
+
+
+def _pointer_round(cand: DataFrame, order: str, url: str, fp: str, path: str) -> DataFrame:
+    """Rows whose fate follows from chains of rows that wait on one earlier row each, kept ones only.
+
+    Such a row is kept if and only if the one it waits on is not, so two steps
+    along a chain compose to one with the product of their signs.  Pointers are
+    doubled until each reaches a row that waits on none (which is kept) or one
+    that waits on two (undecided here): a chain of n rows takes log2(n) joins.
+    Rows that have arrived leave the join, so the end of many chains is no hot key.
+    """
+    spark = cand.sparkSession
+    start = _pointers(cand, order, url, fp).withColumn("_even", F.lit(False))
+    start.write.mode("overwrite").parquet(f"{path}/pointers")
+    table = spark.read.parquet(f"{path}/pointers")
+    roots = table.where(F.col("_ptr").isNull()).select(order, url, fp)
+    moving = table.where(F.col("_ptr").isNotNull())
+    ends = table.select(F.col(order).alias("_at"), F.col("_ptr").isNull().alias("_root"))
+    arrived: list[DataFrame] = []
+    while True:
+        # A pointer meets a root, or a row with a pointer of its own; one that waits on two is in neither.
+        met_path = f"{path}/met={len(arrived)}"
+        (moving.join(ends, F.col("_ptr") == F.col("_at")).drop("_at")
+         .write.mode("overwrite").partitionBy("_root").parquet(met_path))
+        met = spark.read.schema(T.StructType([*moving.schema.fields, T.StructField("_root", T.BooleanType())])).parquet(met_path)
+        on = met.where(~F.col("_root")).drop("_root")
+        nexts = [moving, *arrived]  # rows that arrived before still say where they arrived
+        arrived.append(met.where("_root").drop("_root"))
+        if on.isEmpty():
+            break
+        of = reduce(DataFrame.unionByName, nexts).select(
+            F.col(order).alias("_at"), F.col("_ptr").alias("_next"), F.col("_even").alias("_sign"))
+        doubled = on.join(of, F.col("_ptr") == F.col("_at")).select(
+            order, url, fp, F.col("_next").alias("_ptr"), (F.col("_even") == F.col("_sign")).alias("_even"))
+        doubled.write.mode("overwrite").parquet(f"{path}/doubled={len(arrived)}")
+        moving = spark.read.parquet(f"{path}/doubled={len(arrived)}")
+    found = reduce(DataFrame.unionByName, arrived).where("_even").select(order, url, fp)
+    return roots.unionByName(found)
+
+
+def _greedy_rounds(keys: DataFrame, out_path: str, order: str, url: str, fp: str) -> int:
+    """Write the order values of the greedy matching of ``keys`` to ``out_path``; gives the number of rounds.
+
+    ``keys`` holds one row per candidate with unique ``order``.  A plain round
+    keeps every row that is the earliest remaining row of its URL group *and*
+    of its fingerprint group (such a row would be written by the sequential
+    loop: nothing earlier can claim either key), then every row that shares a
+    key with a kept row goes.  Repeating until nothing remains yields the
     lexicographically-first maximal matching, i.e. the sequential result
-    (Blelloch, Fineman, Shun, SPAA 2012).  Minima are aggregates combined
-    map-side; kept rows are unique per URL and per fingerprint, so the join
-    that pairs the two minima is on the unique order key and cannot skew.
-    Each round's kept rows are appended to a written table, and the remaining
-    candidates are checkpointed to the shared folder, so lineage stays short
-    and a lost executor recomputes at most one round.
+    (Blelloch, Fineman, Shun, SPAA 2012).  Random keys need a handful of
+    rounds; a chain, where each row waits on the one before it, would need one
+    for every second row.  So a round that leaves more than half of the rows is
+    followed by one that decides whole chains (:func:`_pointer_round`).  Each
+    round's kept rows are written, and the remaining candidates are
+    checkpointed to the shared folder, so lineage stays short and a lost
+    executor recomputes at most one round.
     """
     cand = keys.checkpoint(eager=True)
-    rounds = 0
-    while not cand.isEmpty():
+    spark = cand.sparkSession
+    left, rounds, chains = cand.count(), 0, False
+    while left:
         rounds += 1
-        by_url = (cand.groupBy(url)
-                  .agg(F.min(F.struct(F.col(order).alias("o"), F.col(fp).alias("f"))).alias("m"))
-                  .select(url, F.col("m.o").alias(order), F.col("m.f").alias(fp)))
-        by_fp = cand.groupBy(fp).agg(F.min(order).alias(order))
-        kept = by_url.join(by_fp, [order, fp], "inner")
-        round_path = f"{out_path}/round={rounds}"
+        round_path = f"{out_path}/kept/round={rounds}"
+        kept = (_pointer_round(cand, order, url, fp, f"{out_path}/chains={rounds}") if chains
+                else _plain_round(cand, order, url, fp))
         kept.write.mode("overwrite").parquet(round_path)
-        kept = cand.sparkSession.read.parquet(round_path)
+        kept = spark.read.parquet(round_path)
         cand = (cand.join(kept.select(url), url, "left_anti")
-                .join(kept.select(fp), fp, "left_anti"))
-        if rounds % checkpoint_every == 0:
-            cand = cand.checkpoint(eager=True)
+                .join(kept.select(fp), fp, "left_anti")).checkpoint(eager=True)
+        before, left = left, cand.count()
+        chains = 2 * left > before
     return rounds
 
 
@@ -144,7 +214,7 @@ def two_key_dedupe(df: DataFrame, url: str = "source_url", fp: str = "fingerprin
     if rounds == 0:
         result = df.where(F.lit(False))
     else:
-        kept = spark.read.parquet(out_path).select(order)
+        kept = spark.read.parquet(f"{out_path}/kept").select(order)
         result = df.join(kept, order, "left_semi")
     return (result, rounds) if return_rounds else result
 

@@ -724,6 +724,20 @@ def q_dedupe_two_key(spark, sf):
     return two_key_dedupe(key_listings(spark, sf)).select("ord", "source_url", "fingerprint")
 
 
+LCHAIN = ("(SELECT doc_id AS ord, CAST((doc_id + 1) // 2 AS VARCHAR) AS source_url, "
+          "CAST(doc_id // 2 AS VARCHAR) || CASE WHEN doc_id % 97 = 0 THEN '' ELSE 'f' END AS fingerprint FROM documents)")
+
+
+@register("dedupe_chain", _greedy_sql(LCHAIN))
+def q_dedupe_chain(spark, sf):
+    """Keys that chain the whole table, each row waiting on the one before it."""
+    end = F.when(F.col("doc_id") % 97 == 0, F.lit("")).otherwise(F.lit("f"))
+    keys = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("ord"), F.floor((F.col("doc_id") + 1) / 2).cast("string").alias("source_url"),
+        F.concat(F.floor(F.col("doc_id") / 2).cast("string"), end).alias("fingerprint"))
+    return two_key_dedupe(keys).select("ord")
+
+
 @register("incremental_two_batch", ORACLES["dedupe_two_key"])
 def q_incremental_two_batch(spark, sf):
     keys = key_listings(spark, sf)

@@ -1,11 +1,15 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from harrow.config import CurationConfig
+from harrow.operators import dedupe
 from harrow.operators.dedupe import sequential_two_key, two_key_dedupe
 from harrow.plans.curate import settle_source
 from harrow.plans.views import key_listings
+from harrow.session import scratch_path
 
 SCHEMA = "ord long, source_url string, fingerprint string"
 
@@ -45,6 +49,51 @@ def test_adversarial_chain(spark):
     assert run(spark, rows) == sequential_two_key(rows)
 
 
+def chain(n):
+    """A(u0,f0) B(u1,f0) C(u1,f1) D(u2,f1) ...: each row waits on the one before it."""
+    return [(i, f"u{(i + 1) // 2}", f"f{i // 2}") for i in range(n)]
+
+
+def test_chains_end_in_few_rounds(spark):
+    for n in (2, 3, 5, 17, 300):
+        df = spark.createDataFrame(chain(n), SCHEMA)
+        kept, rounds = two_key_dedupe(df, return_rounds=True)
+        assert sorted(r.ord for r in kept.collect()) == list(range(0, n, 2))
+        assert rounds <= 4, (n, rounds)
+
+
+def branching(seed, n):
+    """Chains that meet: some rows wait on two earlier ones, some share both keys with one."""
+    rng, rows, u, f = random.Random(seed), [], 0, 0
+    for i in range(n):
+        kind = rng.random()
+        if kind < 0.15 or not rows:
+            u, f = u + 1, f + 1
+            rows.append((i, f"u{u}", f"f{f}"))
+            continue
+        _, a, b = rng.choice(rows[-6:])
+        u, f = u + 1, f + 1
+        rows.append((i, a, f"f{f}") if kind < 0.5 else (i, f"u{u}", b) if kind < 0.85 else (i, a, rng.choice(rows)[2]))
+    return rows
+
+
+def test_pointer_rounds_alone_equal_the_loop(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "_plain_round", lambda cand, *keys: dedupe._pointer_round(
+        cand, *keys, scratch_path(spark, "t-chains")))
+    for seed in range(4):
+        rows = branching(seed, 120)
+        assert run(spark, rows) == sequential_two_key(rows)
+    hot = [(i, f"u{i // 2}", "hot" if i % 3 == 0 else f"f{i // 2}") for i in range(600)]
+    assert run(spark, hot) == sequential_two_key(hot)
+
+
+def test_chains_of_struct_orders_and_null_keys(spark):
+    rows = [((i // 7, i % 7), u if i % 5 else None, f if i % 4 else None) for i, u, f in chain(80)]
+    df = spark.createDataFrame(rows, "ord struct<a:int,b:int>, source_url string, fingerprint string")
+    want = sequential_two_key([(o, u or f"none{o}", f or f"none{o}") for o, u, f in rows])
+    assert sorted(tuple(r.ord) for r in two_key_dedupe(df).collect()) == want
+
+
 def test_relevance_dedupe_cap_order(spark):
     # (u1,no) (u1,yes) (u2,yes) (u2,yes) (u3,yes), cap 2 -> second u1, first u2.
     rows = [(0, "u1", False), (1, "u1", True), (2, "u2", True), (3, "u2", True), (4, "u3", True)]
@@ -71,8 +120,6 @@ def test_first_wins_hot_key(spark):
 def test_large_caps_are_ranked_in_pieces(spark):
     from pyspark.sql import functions as F
 
-    from harrow.operators import dedupe
-
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), F.col("id").alias("ord"))
     for n in (10, 1500, None):
         got = dedupe.cap_per_group(df, "g", n).groupBy("g").agg(F.count("*").alias("n"), F.max("ord").alias("m")).collect()
