@@ -17,7 +17,7 @@ from harrow.config import (EMPLOYMENT_TYPES, EXPERIENCE_LEVELS, HOST_RULE_HEADIN
 from harrow.functions.classify import classify_hay
 from harrow.functions.company import company_before_heading, company_from_heading
 from harrow.functions.dates import normalize_posted, utc_day
-from harrow.functions.text import jstrim, join_truthy
+from harrow.functions.text import blank_to_null, jstrim, join_truthy
 from harrow.operators.filters import blank_or_invalid, route_by_host
 from harrow.sources.store import first_existing, with_blank
 
@@ -146,14 +146,16 @@ def heading(html: Column) -> Column:
 
 def link_text(html: Column, href_marker: str) -> Column:
     """Trimmed text (inner tags stripped) of the first link whose href contains the marker."""
-    pat = r'(?is)<a\b[^>]*href="[^"]*' + href_marker.replace(".", r"\.") + r'[^"]*"[^>]*>(.*?)</a>'
+    m = href_marker.replace(".", r"\.")
+    value = rf'''(?:"[^"]*{m}[^"]*"|'[^']*{m}[^']*'|[^\s"'>]*{m}[^\s"'>]*)'''
+    pat = rf"(?is)<a\b[^>]*\bhref\s*=\s*{value}[^>]*>(.*?)</a>"
     return jstrim(F.regexp_replace(F.regexp_extract(html, pat, 1), "<[^>]+>", ""))
 
 
 def company_element(html: Column) -> Column:
     """Text of the first ``data-id="company-title"`` element, else of the first company link."""
     marked = jstrim(F.regexp_replace(F.regexp_extract(
-        html, r'(?is)<[a-z0-9]+\b[^>]*data-id="company-title"[^>]*>(.*?)</', 1), "<[^>]+>", ""))
+        html, r"""(?is)<[a-z0-9]+\b[^>]*\bdata-id\s*=\s*["']?company-title(?=["'\s>])[^>]*>(.*?)</""", 1), "<[^>]+>", ""))
     return F.coalesce(F.when(marked != "", marked), link_text(html, "/company/"))
 
 
@@ -162,17 +164,18 @@ def page_companies(pages: DataFrame) -> DataFrame:
     ``line_rule`` (company element or link, else the last line before the heading) and
     ``at_rule`` (company link, else the text after `` at `` in the heading).
 
-    A narrow projection over the pages, then one row per URL (the first by
-    page content), so the page HTML itself is never shuffled.
+    A narrow projection over the pages, then one row per URL: of several pages
+    of one URL, each rule takes the least name that is not blank ('' if all are).
+    The page HTML itself is never shuffled.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    line_rule = F.coalesce(F.when(company_element(html) != "", company_element(html)),
-                           company_before_heading(page_text(html), heading(html)))
-    at_rule = F.coalesce(F.when(link_text(html, "/companies/") != "", link_text(html, "/companies/")),
-                         company_from_heading(heading(html)))
-    per_page = pages.select("url", F.struct(line_rule.alias("line_rule"), at_rule.alias("at_rule")).alias("c"))
-    return (per_page.groupBy("url").agg(F.min("c").alias("c"))
-            .select(F.col("url").alias("_url"), "c.line_rule", "c.at_rule"))
+    named = pages.select("url", F.coalesce(F.col("html"), F.lit("")).alias("html")).select(
+        "url", "html", heading(F.col("html")).alias("_heading"), company_element(F.col("html")).alias("_element"),
+        link_text(F.col("html"), "/companies/").alias("_link"))
+    line_rule = F.coalesce(blank_to_null("_element"), company_before_heading(page_text(F.col("html")), F.col("_heading")))
+    at_rule = F.coalesce(blank_to_null("_link"), company_from_heading(F.col("_heading")))
+    per_page = named.select("url", line_rule.alias("line_rule"), at_rule.alias("at_rule"))
+    return (per_page.groupBy(F.col("url").alias("_url"))
+            .agg(*[F.coalesce(F.min(blank_to_null(r)), F.lit("")).alias(r) for r in ("line_rule", "at_rule")]))
 
 
 def recover_company(store: DataFrame, pages: DataFrame,

@@ -25,12 +25,14 @@ from harrow.operators.metrics import source_counts, sources_dim, tier_counts
 from harrow.plans import maintain
 from harrow.plans import sqltext as S
 from harrow.plans.curate import curate, enrich, settle_source
+from harrow.plans.element_sql import city_sql, startup_sql
 from harrow.plans.views import doc_listings, key_listings, part_listings, table
 from harrow.sources.boards import BOARDS, TEMPLATES, board_listings
 from harrow.sources.pages import (COMPANY_PATTERNS, CONTAINER_PATTERN, LEAF_PATTERN, LINK_PATTERN, CardRules, SectionRules, card_scan,
                                   link_scan, section_scan)
 from harrow.sources.indexed import IndexedStore
 from harrow.sources.registry import html_rows
+from harrow.sources.scans import CityRules, StartupRules, city_scan, startup_scan
 from harrow.sources.store import LISTING_STORE, to_store_rows, update_status, with_status
 from harrow.streaming.incremental import ingest_available, land_batch, run_rows
 from harrow.session import scratch_path
@@ -416,6 +418,7 @@ def q_page_links(spark, sf):
         "page_id", "pos", "title", "href", "company", "location", "card_text")
 
 
+DRIVER_CITY = CityRules(CITY_LOCATION_PATTERNS["BuiltIn Houston"], *HTML_LOCATION_DEFAULTS["BuiltIn Houston"])
 DRIVER_CARDS = CardRules(
     location_like=CITY_LOCATION_PATTERNS["BuiltIn Houston"], link_href_contains="/job/",
     location_no_cards=HTML_LOCATION_DEFAULTS["BuiltIn Houston"][0],
@@ -521,6 +524,36 @@ def q_page_section_fill(spark, sf):
         "page_id", "section", "pos", "title", "href", "company", "company_context", "location", "salary", "card_text")
 
 
+_ELEMENT_PAGES, _ELEMENT_HTML = _markup({
+    0: "<section><div data-id='box'><a href='/company/{n}'>Firm {n}</a><div><a href='/job/{n}'>Role <b>{n}</a></div></div>"
+       "<a href=/job/x{n}>Loose {n}</a></section>",
+    1: '<div class="gap-job-cards"><div data-id="job-card"><div><a href="/job/{n}" title="a > b">Role {n}</a></div>'
+       '<div class="job-salary"><span>${n}</span>k</div></div><div><span>TX outside</span></div></div><footer>End {n}</footer>',
+    2: "<ul><li><article class='wide job-card'><h3><a href='job/{n}'>Role {n}</a></h3><p>Maker {n}<p>Hybrid</p><span>Remote</span></article>"
+       "<li><article class='job-card'><em data-id=company-title>Firm<br>{n}</em><h2 data-id=job-card-title>No link</h2></article></ul>",
+    3: '<div data-id="job-card"><p>Unclosed {n}<a href="/job/{n}">One<a href="/job/y{n}">Two</a></i>'}, 5)
+
+
+@register("element_cards", city_sql(_ELEMENT_HTML, DRIVER_CITY, _absolute_sql))
+def q_element_cards(spark, sf):
+    return city_scan(_ELEMENT_PAGES(table(spark, sf, "pages")), DRIVER_CITY, base_col="url")
+
+
+_ROW_PAGES, _ROW_HTML = _markup({
+    0: "<main><section><header><a href='/companies/{n}'>Firm {n} (S24) • Robots</a></header><div><div><div class='JobRow x'>"
+       "<a href='/jobs/{n}'>Role <i>{n}</i></a><div class='location'><span>Paris</span>, FR</div></div></div></div></section>"
+       "<div class='job-row'><h3>No firm {n}</h3><span class='salary'>${n}<b>k</b></span></div></main>",
+    1: '<ul><li class="a-job"><b class="companyName">Inner {n}</b><h2>Lead {n}</h2><li class=job><span class="title">Last</span></ul>',
+    2: "<article><a href='/companies/{n}'>Bare {n}</a><div>Title line {n}<br>Maker<p>Lyon</p><a href='/jobs/{n}'>Apply</a></div>"
+       "<a href='/jobs/list'>All</a></article><a href='https://h.example/jobs/9{n}'>Loose</a>",
+    3: "<div><a href='/companies/far{n}'>Far {n}</a><p><i><span><em><u><s><b><li class='job'><a href=/jobs/{n}>Deep</a></li></div>"}, 5)
+
+
+@register("element_rows", startup_sql(_ROW_HTML, StartupRules(), _absolute_sql, _split_company_sql))
+def q_element_rows(spark, sf):
+    return startup_scan(_ROW_PAGES(table(spark, sf, "pages")), StartupRules(), base_col="url")
+
+
 @register("page_order", f"""
 SELECT CAST(r.seed AS INTEGER) AS board_rank, page_id, section, CAST(pos AS BIGINT) AS pos, title, CAST(1 AS BIGINT) AS n
 FROM {_SECTION_SQL} s, (VALUES (0), (1)) r(seed)""")

@@ -24,8 +24,15 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """A driver table, in as many partitions as stated here or by the session (``spark.harrow.partitions``).
+
+    Unstated, the scan's own splits stay: a table of many files needs no
+    shuffle to spread its work.  State a number for a table of few files.
+    """
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    stated = partitions or int(spark.conf.get("spark.harrow.partitions", "0"))
+    return rows.repartition(stated) if stated else rows
 
 
 def doc_listings(spark: SparkSession, sf_dir: str) -> DataFrame:

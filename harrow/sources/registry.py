@@ -31,7 +31,7 @@ from harrow.functions.text import blank_to_null, jstrim
 from harrow.operators.filters import city_relevant, startup_relevant
 from harrow.plans.maintain import page_companies
 from harrow.sources.boards import board_scan
-from harrow.sources.pages import CardRules, SectionRules, card_scan, section_scan
+from harrow.sources.scans import CityRules, city_scan, startup_scan
 
 S = T.StringType()
 # Arrival order, unique by construction: JSON sources use page_id 0 and section 0.
@@ -83,13 +83,12 @@ def html_rows(raw: DataFrame, source: str, rank: int, location_default: str) ->
 
 def city_board(label: str) -> Callable[[SparkSession, str, CurationConfig], DataFrame]:
     no_cards, default = HTML_LOCATION_DEFAULTS[label]
-    rules = CardRules(location_like=CITY_LOCATION_PATTERNS[label], location_no_cards=no_cards,
-                      location_default=default)
+    rules = CityRules(CITY_LOCATION_PATTERNS[label], no_cards, default)
     slug = label.lower().replace(" ", "-")
 
     def read(spark: SparkSession, landing: str, cfg: CurationConfig) -> DataFrame:
         pages = spark.read.parquet(f"{landing}/{slug}")
-        cards = card_scan(pages.select("board_rank", "page_id", "url", "html"), rules,
+        cards = city_scan(pages.select("board_rank", "page_id", "url", "html"), rules,
                           carry=("board_rank",), base_col="url").withColumn("section", F.lit(0))
         # Relevance reads the card text, before the projection drops it.
         relevant = cards.where(city_relevant("title", "card_text"))
@@ -100,8 +99,8 @@ def city_board(label: str) -> Callable[[SparkSession, str, CurationConfig], Data
 def startup_board(spark: SparkSession, landing: str, cfg: CurationConfig) -> DataFrame:
     label = "YC Jobs"
     pages = spark.read.parquet(f"{landing}/yc-jobs")
-    rows = section_scan(pages.select("board_rank", "page_id", "url", "html"), SectionRules(),
-                        carry=("board_rank",), base_col="url")
+    rows = startup_scan(pages.select("board_rank", "page_id", "url", "html"),
+                        carry=("board_rank",), base_col="url").withColumn("section", F.lit(0))
     relevant = rows.where(startup_relevant("title"))
     return html_rows(relevant, label, rank_of(label), HTML_LOCATION_DEFAULTS[label][1])
 

@@ -25,8 +25,9 @@ def landing(spark):
                           "board_rank int, page_id long, url string, html string"
                           ).write.parquet(f"{d}/builtin-austin")
     yc = ('<div><a href="/companies/acme">Acme (W22) • Robots</a>'
-          '<a href="https://www.workatastartup.com/jobs/77">Founding AI Engineer</a>'
-          '<a href="https://www.workatastartup.com/jobs/78">Sales Lead</a></div>')
+          # A detail link's title is the first line of the nearest div, so each link has one of its own.
+          '<div><a href="https://www.workatastartup.com/jobs/77">Founding AI Engineer</a></div>'
+          '<div><a href="https://www.workatastartup.com/jobs/78">Sales Lead</a></div></div>')
     spark.createDataFrame([(0, 0, "https://www.workatastartup.com/jobs", yc)],
                           "board_rank int, page_id long, url string, html string"
                           ).write.parquet(f"{d}/yc-jobs")
