@@ -193,6 +193,16 @@ SOURCES = (
     ("Wellfound", False), ("Greenhouse", True), ("Lever", True), ("Ashby", True),
     ("BuiltIn Austin", True), ("BuiltIn Houston", True), ("YC Jobs", True),
 )
+# Seed pages of the HTML sources, in their order.
+SEEDS = {
+    "BuiltIn Austin": ("https://builtin.com/jobs/austin/machine-learning",
+                       "https://builtin.com/jobs/austin/artificial-intelligence"),
+    "BuiltIn Houston": ("https://builtin.com/jobs/texas/machine-learning",
+                        "https://builtin.com/jobs/texas/artificial-intelligence"),
+    "YC Jobs": ("https://www.workatastartup.com/jobs?role=ml-engineer&q=",
+                "https://www.workatastartup.com/jobs?q=machine+learning+engineer",
+                "https://www.workatastartup.com/jobs?q=AI+engineer"),
+}
 BOARDS_A = (
     ("Anthropic", "anthropic"), ("Scale AI", "scaleai"), ("Waymo", "waymo"),
     ("Databricks", "databricks"), ("Cohere", "cohere"), ("Character.AI", "character"),
@@ -246,6 +256,7 @@ class CurationConfig:
     exclude_keywords: tuple[str, ...] = EXAMPLE_EXCLUDE_KEYWORDS
     preferred_locations: tuple[str, ...] = EXAMPLE_PREFERRED_LOCATIONS
     max_jobs_per_source: int | None = EXAMPLE_MAX_JOBS_PER_SOURCE
+    skip_unreadable: bool = False  # read past files that cannot be read; collect_run reports them
     extra: dict = field(default_factory=dict)
 
     def with_(self, **changes) -> "CurationConfig":

@@ -8,22 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def run_summary(verdicts: DataFrame) -> DataFrame:
+def run_summary(found: int, passed: int, written: DataFrame, quarantine: DataFrame | None = None) -> DataFrame:
     """found, passed_filters, filtered, duplicates, written, errors.
 
-    ``verdicts`` has one row per collected listing with ``status`` in
-    filtered / duplicate / written.  A batch write is atomic, so ``errors`` is
-    always 0 (a failed write fails the job); the column keeps the shape.
-    found = filtered + passed_filters; passed_filters = duplicates + written + errors.
+    ``found`` and ``passed`` are counters the run observed; ``written`` has one
+    row per row to be written and ``quarantine`` one per thing that could not
+    be used (``errors``).  found = filtered + passed_filters; passed_filters =
+    duplicates + written.
     """
-    s = F.col("status")
-    return verdicts.agg(
-        F.count(F.lit(1)).alias("found"),
-        F.count_if(s != "filtered").alias("passed_filters"),
-        F.count_if(s == "filtered").alias("filtered"),
-        F.count_if(s == "duplicate").alias("duplicates"),
-        F.count_if(s == "written").alias("written"),
-        F.count_if(F.lit(False)).alias("errors"))
+    marks = written.select(F.lit(1).alias("w"), F.lit(0).alias("e"))
+    if quarantine is not None:
+        marks = marks.unionByName(quarantine.select(F.lit(0).alias("w"), F.lit(1).alias("e")))
+    sums = marks.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("written"), F.coalesce(F.sum("e"), F.lit(0)).alias("errors"))
+    n = lambda v: F.lit(v).cast("long")
+    return sums.select(n(found).alias("found"), n(passed).alias("passed_filters"), n(found - passed).alias("filtered"),
+                       (n(passed) - F.col("written")).alias("duplicates"), "written", "errors")
 
 
 def source_counts(listings: DataFrame, sources: DataFrame | None = None,

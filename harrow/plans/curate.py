@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from harrow.config import CurationConfig
@@ -71,18 +71,22 @@ def judge(listings: DataFrame, cfg: CurationConfig) -> DataFrame:
 
 
 def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | IndexedStore | None = None,
-           order: str = "ord", settle: bool = False, run: str | None = None) -> RunResult:
+           order: str = "ord", settle: bool = False, run: str | None = None,
+           quarantine: DataFrame | None = None) -> RunResult:
     """Tier verdicts, two-key dedupe and store rows for a listing set.
 
     The slim rows of :func:`judge` are settled per source if ``settle`` asks
     for it (else the listings are settled already) and checkpointed; dedupe
-    and status labels both read that table, and no shuffle carries text.
+    and status labels both read that table, and no shuffle carries text.  The
+    counters of the summary are observed while that table is made;
+    ``quarantine`` rows count as its errors.
     """
     slim = judge(listings, cfg)
     if settle:
         slim = settle_source(slim, cfg, order=order, run=run)
     work_dir(slim.sparkSession)
-    slim = slim.checkpoint(eager=True)
+    seen = Observation()
+    slim = slim.observe(seen, F.count(F.lit(1)).alias("found"), F.count_if("passed").alias("passed")).checkpoint(eager=True)
     kept, rounds = two_key_dedupe(slim.where("passed"), "source_url", "fingerprint", order, store,
                                   return_rounds=True)
     flag = kept.select(order).withColumn("_written", F.lit(True))
@@ -91,7 +95,8 @@ def curate(listings: DataFrame, cfg: CurationConfig, store: DataFrame | IndexedS
                             .when(F.col("_written"), F.lit("written"))
                             .otherwise(F.lit("duplicate")))
                 .drop("_written"))
-    return RunResult(labelled, to_store_rows(kept), run_summary(labelled), rounds)
+    return RunResult(labelled, to_store_rows(kept),
+                     run_summary(seen.get["found"], seen.get["passed"], kept, quarantine), rounds)
 
 
 def run_into_store(listings: DataFrame, cfg: CurationConfig, store_path: str,

@@ -27,11 +27,13 @@ from harrow.plans import sqltext as S
 from harrow.plans.curate import curate, enrich, settle_source
 from harrow.plans.element_sql import city_sql, startup_sql
 from harrow.plans.views import doc_listings, key_listings, part_listings, table
-from harrow.sources.boards import BOARDS, TEMPLATES, board_listings
+from harrow.sources.boards import BOARDS, TEMPLATES, board_listings, judge_payloads
 from harrow.sources.pages import (COMPANY_PATTERNS, CONTAINER_PATTERN, LEAF_PATTERN, LINK_PATTERN, CardRules, SectionRules, card_scan,
                                   link_scan, section_scan)
 from harrow.sources.indexed import IndexedStore
-from harrow.sources.registry import html_rows
+from harrow.sources.quarantine import (EMPTY, NOT_JSON, UNKNOWN_BOARD, WRONG_SHAPE, bad_payloads,
+                                       quarantine_counts)
+from harrow.sources.registry import Source, collect_run, html_rows
 from harrow.sources.scans import CityRules, StartupRules, city_scan, startup_scan
 from harrow.sources.store import LISTING_STORE, to_store_rows, update_status, with_status
 from harrow.streaming.incremental import ingest_available, land_batch, run_rows
@@ -636,6 +638,83 @@ for _shape in "ABC":
     _register_board(_shape)
 
 
+def _spoiled(spark, sf, shape: str) -> DataFrame:
+    """The payloads of a shape, each fourth run of parts spoiled in one of four ways."""
+    n = len(BOARDS[shape])
+    runs = _payloads(spark, sf, shape)
+    first = F.regexp_extract("value", r'"id":"?([0-9]+)', 1).cast("long")
+    way = F.when(F.floor(first / (200 * n)) % 2 == 0, first % n % 5).otherwise(F.lit(4))
+    wrong = "[]" if shape != "B" else '{"jobs":[]}'
+    value = (F.when(way == 0, F.expr("left(value, length(value) - 2)")).when(way == 1, F.lit(wrong)).when(way == 2, F.lit(" "))
+             .otherwise(F.col("value")))
+    return runs.select(F.when(way == 3, F.lit("nowhere")).otherwise(F.col("token")).alias("token"), value.alias("value"))
+
+
+def _spoiled_sql(shape: str) -> str:
+    """The way in which the run of a part is spoiled (4: not)."""
+    n = len(BOARDS[shape])
+    return f"CASE WHEN p_partkey // {200 * n} % 2 = 0 THEN p_partkey % {n} % 5 ELSE 4 END"
+
+
+_REASONS = f"['{NOT_JSON}', '{WRONG_SHAPE}', '{EMPTY}', '{UNKNOWN_BOARD}']"
+
+
+@register("quarantine_payloads", " UNION ALL ".join(f"""
+SELECT '{_BOARD_LABEL[s]}' AS source, {_REASONS}[way + 1] AS reason, count(*) AS n FROM (
+  SELECT DISTINCT p_partkey % {len(BOARDS[s])} AS token, p_partkey // {200 * len(BOARDS[s])} AS run, {_spoiled_sql(s)} AS way FROM part)
+WHERE way < 4 GROUP BY way""" for s in "ABC"))
+def q_quarantine_payloads(spark, sf):
+    bad = [bad_payloads(judge_payloads(_spoiled(spark, sf, s), s), _BOARD_LABEL[s]) for s in "ABC"]
+    return quarantine_counts(bad[0].unionByName(bad[1]).unionByName(bad[2]))
+
+
+@register("quarantine_rows", " UNION ALL ".join(f"""
+SELECT '{_BOARD_LABEL[s]}' AS source, ord_key, title FROM ({_board_oracle(s)}) b
+JOIN (SELECT p_partkey, {_spoiled_sql(s)} AS way FROM part) p ON p.p_partkey = b.ord_key AND p.way = 4""" for s in "ABC"))
+def q_quarantine_rows(spark, sf):
+    """The rows of all payloads that are well formed, beside spoiled ones."""
+    rows = [board_listings(_spoiled(spark, sf, s), s, _BOARD_LABEL[s], 0) for s in "ABC"]
+    key = F.regexp_extract("source_url", r"([0-9]+)$", 1).cast("int")
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("source", key.alias("ord_key"), "title")
+
+
+def _plugins(sf: str) -> tuple[Source, ...]:
+    """A registry of plug-ins over the driver tables: two that work, one disabled, one that fails."""
+    def broken(spark, landing, cfg):
+        raise ValueError("this source always fails")
+
+    read = {"docs": doc_listings, "parts": part_listings}
+    work = [Source(n, i, lambda spark, landing, cfg, f=f: f(spark, sf).withColumns({
+        "source": F.lit(n_of[f]), "ord": F.struct(
+            F.lit(r_of[f]).alias("source_rank"), F.lit(0).alias("board_rank"), F.lit(0).cast("long").alias("page_id"),
+            F.lit(0).alias("section"), F.col("ord").cast("long").alias("pos"))}), lands=False)
+        for i, (n, f) in enumerate(read.items())]
+    n_of = {f: n for n, f in read.items()}
+    r_of = {f: i for i, f in enumerate(read.values())}
+    return (*work, Source("off", 2, None), Source("broken", 3, broken, lands=False), Source("unlanded", 4, broken))
+
+
+@register("registry_run", f"""
+WITH settled AS (
+  SELECT s, t FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ord) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY s, source_url ORDER BY ord) AS first FROM (
+      SELECT 'docs' AS s, ord, source_url, title, {S.failed_tier(DRIVER_CONFIG, 'title', 'description', location='location')} AS t FROM {LDOC}
+      UNION ALL
+      SELECT 'parts', ord, source_url, title, {S.failed_tier(DRIVER_CONFIG, 'title', 'NULL', location='location')} FROM {LPART})
+    WHERE coalesce(title, '') <> '') WHERE first = 1) WHERE place <= {DRIVER_CONFIG.max_jobs_per_source})
+SELECT 'found' AS kind, s AS source, count(*) AS n FROM settled GROUP BY s
+UNION ALL SELECT 'passed', s, CAST(count_if(t IS NULL) AS BIGINT) FROM settled GROUP BY s
+UNION ALL SELECT 'errors', NULL, count(*) FROM (VALUES ('broken'), ('unlanded'))""")
+def q_registry_run(spark, sf):
+    """A run over plug-ins: counts by source, and the sources that failed as errors of the summary."""
+    got = collect_run(spark, scratch_path(spark, "nothing-landed"), DRIVER_CONFIG, _plugins(sf), settle=True)
+    res = curate(got.listings, DRIVER_CONFIG, quarantine=got.quarantine)
+    per = res.verdicts.groupBy("source").agg(F.count(F.lit(1)).alias("found"), F.count_if("passed").alias("passed"))
+    by_source = per.unpivot("source", ["found", "passed"], "kind", "n").select("kind", "source", "n")
+    return by_source.unionByName(res.summary.select(F.lit("errors").alias("kind"), F.lit(None).cast("string").alias("source"),
+                                                    F.col("errors").alias("n")))
+
+
 _SPLIT_RAW = ("CASE WHEN p_size % 7 = 0 THEN '' ELSE p_brand || CASE WHEN p_size % 3 = 0 "
               "THEN ' (S' || CAST(p_size AS VARCHAR) || ')' ELSE '' END || ' • ' || p_name "
               "|| '  •   ' || p_type END")

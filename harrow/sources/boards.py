@@ -19,6 +19,7 @@ from harrow.config import (BOARDS_A, BOARDS_B, BOARDS_C, URL_TEMPLATE_A, URL_TEM
 from harrow.functions.salary import salary_from_compensation, salary_from_range
 from harrow.functions.text import blank_to_null, collapse_ws, jstrim, or_default, strip_tags
 from harrow.operators.filters import board_title_ok
+from harrow.sources.quarantine import payload_reason
 
 S = T.StringType()
 D = T.DoubleType()
@@ -64,9 +65,10 @@ def board_dim(spark: SparkSession, shape: str) -> DataFrame:
     return spark.createDataFrame(rows, "board_rank INT, board_name STRING, token STRING")
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+def read_payloads(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
     """(token, value) for every landed board file under ``path``."""
     raw = (spark.read.option("wholetext", True).option("ignoreMissingFiles", True)
+           .option("ignoreCorruptFiles", skip_unreadable)
            .text(path).select("value", F.col("_metadata.file_path").alias("file")))
     return raw.select(F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("token"), "value")
 
@@ -92,13 +94,20 @@ def _items(payloads: DataFrame, shape: str) -> DataFrame:
 
 
 def board_scan(spark: SparkSession, path: str, shape: str, source: str,
-               source_rank: int) -> DataFrame:
+               source_rank: int, skip_unreadable: bool = False) -> DataFrame:
     """Listings of one JSON source, after its title pre-filter, in arrival order."""
-    return board_listings(read_payloads(spark, path), shape, source, source_rank)
+    return board_listings(read_payloads(spark, path, skip_unreadable), shape, source, source_rank)
+
+
+def judge_payloads(payloads: DataFrame, shape: str) -> DataFrame:
+    """Adds ``reason``: why a payload (token, value) gives no rows, null if it is well formed."""
+    known = F.col("token").isin(*[t for _, t in BOARDS[shape]])
+    return payloads.withColumn("reason", payload_reason(F.col("value"), shape, F.coalesce(known, F.lit(False))))
 
 
 def board_listings(payloads: DataFrame, shape: str, source: str, source_rank: int) -> DataFrame:
-    """Listings of payload rows (token, value)."""
+    """Listings of well-formed payload rows (token, value)."""
+    payloads = judge_payloads(payloads, shape).where(F.col("reason").isNull()).drop("reason")
     items = _items(payloads, shape)
     dims = F.broadcast(board_dim(payloads.sparkSession, shape))
     j = F.col("j")

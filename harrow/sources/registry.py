@@ -19,18 +19,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harrow.config import (CITY_LOCATION_PATTERNS, HOST_RULE_HEADING_AT, HOST_RULE_HEADING_LINE,
-                           HTML_LOCATION_DEFAULTS, SOURCES, CurationConfig)
+                           HTML_LOCATION_DEFAULTS, SEEDS, SOURCES, CurationConfig)
 from harrow.functions.salary import clean_salary
 from harrow.functions.text import blank_to_null, jstrim
 from harrow.operators.filters import city_relevant, startup_relevant
 from harrow.plans.maintain import page_companies
-from harrow.sources.boards import board_scan
+from harrow.sources.boards import board_scan, judge_payloads, read_payloads
+from harrow.sources.quarantine import FAILED, NOT_LANDED, QUARANTINE, bad_payloads, unread_files, whole_source
 from harrow.sources.scans import CityRules, city_scan, startup_scan
 
 S = T.StringType()
@@ -49,9 +51,17 @@ LISTING = T.StructType([
 
 @dataclass(frozen=True)
 class Source:
+    """A plug-in: its reader gives listing rows, its audit what it could not use.
+
+    ``lands`` says that it reads the landing folder of its name, without which
+    it has nothing to read.
+    """
+
     label: str
     rank: int
     reader: Callable[[SparkSession, str, CurationConfig], DataFrame] | None
+    audit: Callable[[SparkSession, str, CurationConfig], DataFrame] | None = None
+    lands: bool = True
 
     @property
     def enabled(self) -> bool:
@@ -81,14 +91,51 @@ def html_rows(raw: DataFrame, source: str, rank: int, location_default: str) ->
         F.lit(None).cast("string").alias("company_context"))
 
 
+PAGES = T.StructType([T.StructField("board_rank", T.IntegerType()), T.StructField("page_id", T.LongType()),
+                      T.StructField("url", S), T.StructField("html", S)])
+
+
+def seed_rank(url: Column, label: str) -> Column:
+    """Place of the seed URL a page was reached from (its URL begins with it), null for another page."""
+    rank = F.lit(None).cast("int")
+    for i, seed in reversed(list(enumerate(SEEDS[label]))):
+        rank = F.when(url.startswith(seed), F.lit(i)).otherwise(rank)
+    return rank
+
+
+def landed_pages(spark: SparkSession, label: str, path: str, cfg: CurationConfig) -> DataFrame:
+    """Landed HTML pages of one source; a page without a board rank takes that of its seed."""
+    pages = spark.read.schema(PAGES).option("ignoreCorruptFiles", cfg.skip_unreadable).parquet(path)
+    return pages.withColumn("board_rank", F.coalesce("board_rank", seed_rank(F.col("url"), label)))
+
+
+def audit_pages(label: str) -> Callable[[SparkSession, str, CurationConfig], DataFrame]:
+    def audit(spark: SparkSession, landing: str, cfg: CurationConfig) -> DataFrame:
+        path = f"{landing}/{slug_of(label)}"
+        return unread_files(spark, path, landed_pages(spark, label, path, cfg), label)
+    return audit
+
+
+def audit_board(shape: str, label: str) -> Callable[[SparkSession, str, CurationConfig], DataFrame]:
+    def audit(spark: SparkSession, landing: str, cfg: CurationConfig) -> DataFrame:
+        payloads = read_payloads(spark, f"{landing}/{slug_of(label)}", cfg.skip_unreadable)
+        return bad_payloads(judge_payloads(payloads, shape), label)
+    return audit
+
+
+def seed_dim(spark: SparkSession) -> DataFrame:
+    """The seed URLs of the HTML sources in their order (source, source_rank, board_rank, url)."""
+    rows = [(label, rank_of(label), i, url) for label, urls in SEEDS.items() for i, url in enumerate(urls)]
+    return spark.createDataFrame(rows, "source STRING, source_rank INT, board_rank INT, url STRING")
+
+
 def city_board(label: str) -> Callable[[SparkSession, str, CurationConfig], DataFrame]:
     no_cards, default = HTML_LOCATION_DEFAULTS[label]
     rules = CityRules(CITY_LOCATION_PATTERNS[label], no_cards, default)
     slug = label.lower().replace(" ", "-")
 
     def read(spark: SparkSession, landing: str, cfg: CurationConfig) -> DataFrame:
-        pages = spark.read.parquet(f"{landing}/{slug}")
-        cards = city_scan(pages.select("board_rank", "page_id", "url", "html"), rules,
+        cards = city_scan(landed_pages(spark, label, f"{landing}/{slug}", cfg), rules,
                           carry=("board_rank",), base_col="url").withColumn("section", F.lit(0))
         # Relevance reads the card text, before the projection drops it.
         relevant = cards.where(city_relevant("title", "card_text"))
@@ -98,16 +145,14 @@ def city_board(label: str) -> Callable[[SparkSession, str, CurationConfig], Data
 
 def startup_board(spark: SparkSession, landing: str, cfg: CurationConfig) -> DataFrame:
     label = "YC Jobs"
-    pages = spark.read.parquet(f"{landing}/yc-jobs")
-    rows = startup_scan(pages.select("board_rank", "page_id", "url", "html"),
-                        carry=("board_rank",), base_col="url").withColumn("section", F.lit(0))
+    rows = startup_scan(landed_pages(spark, label, f"{landing}/yc-jobs", cfg), carry=("board_rank",), base_col="url").withColumn("section", F.lit(0))
     relevant = rows.where(startup_relevant("title"))
     return html_rows(relevant, label, rank_of(label), HTML_LOCATION_DEFAULTS[label][1])
 
 
 def json_board(shape: str, label: str) -> Callable[[SparkSession, str, CurationConfig], DataFrame]:
     def read(spark: SparkSession, landing: str, cfg: CurationConfig) -> DataFrame:
-        return board_scan(spark, f"{landing}/{label.lower()}", shape, label, rank_of(label))
+        return board_scan(spark, f"{landing}/{label.lower()}", shape, label, rank_of(label), cfg.skip_unreadable)
     return read
 
 
@@ -124,7 +169,9 @@ READERS = {
     "YC Jobs": startup_board,
 }
 HTML_SOURCES = ("BuiltIn Austin", "BuiltIn Houston", "YC Jobs")
-REGISTRY = tuple(Source(label, i, READERS.get(label) if enabled else None)
+AUDITS = {label: audit_board(shape, label) for shape, label in (("A", "Greenhouse"), ("B", "Lever"), ("C", "Ashby"))} | {
+    label: audit_pages(label) for label in HTML_SOURCES}
+REGISTRY = tuple(Source(label, i, READERS.get(label) if enabled else None, AUDITS.get(label))
                  for i, (label, enabled) in enumerate(SOURCES))
 
 
@@ -167,7 +214,7 @@ def collect_sources(spark: SparkSession, landing: str, cfg: CurationConfig,
     from harrow.plans.curate import settle_source
     out = empty_listings(spark)
     for src in registry:
-        if not src.enabled or not landed(spark, f"{landing}/{slug_of(src.label)}"):
+        if not src.enabled or (src.lands and not landed(spark, f"{landing}/{slug_of(src.label)}")):
             continue
         rows = src.reader(spark, landing, cfg)
         out = out.unionByName(settle_source(rows, cfg) if settle else rows, allowMissingColumns=True)
@@ -178,5 +225,38 @@ def collect_sources(spark: SparkSession, landing: str, cfg: CurationConfig,
     return out
 
 
-__all__ = ["Source", "REGISTRY", "collect_sources", "enrich_blank_companies", "empty_listings",
+@dataclass
+class Collected:
+    listings: DataFrame
+    quarantine: DataFrame  # what could not be used: (source, place, reason, size)
+
+
+def collect_run(spark: SparkSession, landing: str, cfg: CurationConfig, registry: tuple[Source, ...] = REGISTRY,
+                details: DataFrame | None = None, settle: bool = False) -> Collected:
+    """:func:`collect_sources`, but no source or file ends the run.
+
+    Files that cannot be read are passed over and reported, bad payloads are
+    reported, and so is a source that fails or has not landed; its rows are
+    missing, those of all others are there.
+    """
+    cfg = cfg.with_(skip_unreadable=True)
+    fine, reports = [], []
+    for src in registry:
+        if not src.enabled:
+            continue
+        if src.lands and not landed(spark, f"{landing}/{slug_of(src.label)}"):
+            reports.append(whole_source(spark, src.label, NOT_LANDED))
+            continue
+        try:
+            src.reader(spark, landing, cfg).schema  # noqa: B018 - a source that fails does so while its plan is made
+            if src.audit:
+                reports.append(src.audit(spark, landing, cfg))
+            fine.append(src)
+        except Exception as failure:  # noqa: BLE001 - a plug-in may fail in any way; the report names it
+            reports.append(whole_source(spark, src.label, FAILED, type(failure).__name__))
+    listings = collect_sources(spark, landing, cfg, tuple(fine), details, settle)
+    return Collected(listings, reduce(DataFrame.unionByName, reports, spark.createDataFrame([], QUARANTINE)))
+
+
+__all__ = ["Source", "Collected", "collect_run", "REGISTRY", "collect_sources", "enrich_blank_companies", "empty_listings",
            "HOST_RULE_HEADING_AT", "HOST_RULE_HEADING_LINE"]
