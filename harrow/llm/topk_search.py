@@ -12,7 +12,8 @@ Defined results: a null vector, or one with a null or non-finite component, and
 a row without id take no part; a missing dimension counts as 0 when lengths
 differ (an empty vector scores 0 everywhere); components and scores saturate only
 at +-(2^63 - 1), and pairs whose sums might pass that are scored in Python integers;
-ties go to the smaller id; rows that agree in id and vector count once, rows
+ties go to the smaller id; rows that agree in id and vector count once (as a
+query if any of them is marked; a null mark is no mark), rows
 with the query's own id are never its candidates; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -34,14 +35,15 @@ BATCH = 128
 TOP = 2**63 - 1
 
 
-def integer_rows(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """(vec_id, v array<long>) of the rows that take part."""
+def integer_rows(vectors: DataFrame, id_col: str, vec_col: str, scale: float, is_query: Column) -> DataFrame:
+    """(vec_id, v array<long>, is_query) of the rows that take part; any column may mark the queries."""
     x = F.col(vec_col).cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return (vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & fine)
             .select(F.col(id_col).cast("long").alias("vec_id"),
-                    F.transform(x, lambda c: F.greatest(F.floor(c * scale), F.lit(-TOP))).alias("v"))
-            .dropDuplicates(["vec_id", "v"]))
+                    F.transform(x, lambda c: F.greatest(F.floor(c * scale), F.lit(-TOP))).alias("v"),
+                    F.coalesce(is_query, F.lit(False)).alias("is_query"))
+            .groupBy("vec_id", "v").agg(F.max("is_query").alias("is_query")))
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +134,7 @@ def topk_search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     """query_id, rank, vec_id, score: the k best candidates of each row that ``is_query`` marks."""
     spark = vectors.sparkSession
     ship_code(spark)
-    rows = to_scratch(integer_rows(vectors, id_col, vec_col, scale).withColumn("is_query", is_query), "vectors")
+    rows = to_scratch(integer_rows(vectors, id_col, vec_col, scale, is_query), "vectors")
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
     c_blocks = max(-(-n // CANDIDATES), 1)
     q_blocks = max(-(-n_queries // QUERIES), 1)

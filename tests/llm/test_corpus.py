@@ -388,3 +388,14 @@ def test_pipeline_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 100 and corpus_pipeline.ORACLE_SQL is None
     assert got.filter("n_pieces <> size(piece_ids)").count() == 0
+
+
+def test_queries_may_be_marked_by_any_column(spark):
+    rows = [(i, [float(i % 5), 1.0], "q" if i in (3, 7) else None) for i in range(20)] + [(7, [2.0, 1.0], "x"), (9, [4.0, 1.0], "q")]
+    table = spark.createDataFrame(rows, "id long, v array<double>, is_query string")
+    got = topk_search(table, F.col("is_query") == "q", k=3, id_col="id", vec_col="v", scale=1.0).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by[r.query_id].append(r.vec_id)
+    want = {q: [i for _, i in sorted((-(a * (i % 5) + 1), i) for i in range(20) if i != q)][:3] for q, a in ((3, 3), (7, 2), (9, 4))}
+    assert dict(by) == want
