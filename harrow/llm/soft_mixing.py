@@ -223,11 +223,20 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
                     (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")))
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options: object) -> DataFrame:
-    """``docs`` with each row repeated as often as its rate says; columns as they were."""
+    """``docs`` with each row repeated as often as its rate says; columns as they were, whatever their names."""
     id_col = str(options.get("id_col", "doc_id"))
-    copies = (mixing_rates(docs, labels, targets, **options).groupBy(F.col("doc_id").alias("_mix_id"))
-              .agg(F.max("copies").cast("int").alias("_copies")))
-    return (docs.join(copies, docs[id_col].cast("long").eqNullSafe(copies["_mix_id"]))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies"))))
-            .filter(F.col("_copy") < F.col("_copies")).select(*docs.columns))
+    key, copies, copy = (_unused(n, docs.columns) for n in ("_mix_id", "_mix_copies", "_mix_copy"))
+    drawn = (mixing_rates(docs, labels, targets, **options).groupBy(F.col("doc_id").alias(key))
+             .agg(F.max("copies").cast("int").alias(copies)))
+    return (docs.join(drawn, docs[id_col].cast("long").eqNullSafe(drawn[key]))
+            .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies))))
+            .filter(F.col(copy) < F.col(copies)).select(*docs.columns))

@@ -245,3 +245,12 @@ def test_mixing_of_awkward_tables(awkward, empty, labels, no_labels):
     rates = mixing_rates(awkward, no_labels, {"1": 0.5, "0": 0.5}).collect()
     assert len(rates) == awkward.count() and all(abs(r.rate - 1) < 1e-6 for r in rates)
     assert mix(empty, labels, {"1": 1.0}).collect() == []
+
+
+def test_mixing_keeps_columns_of_any_name(spark, labels):
+    rows = [(i, f"word {i} " * (i + 1), i, i + 1, i + 2, i + 3) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _copy int, _copies int, _mix_copy int, _mix_id_ int")
+    mixed = mix(docs, labels, {"1": 0.6, "0": 0.4}, floor=1.0, budget=None)
+    assert mixed.columns == docs.columns
+    got = {r.doc_id: tuple(r) for r in mixed.collect()}
+    assert got == {i: (i, t, *rest) for i, t, *rest in rows}
