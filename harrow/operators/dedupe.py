@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrow.operators.selection import first_of_groups
 from harrow.session import scratch_path
 from harrow.sources.indexed import KEY, URL, IndexedStore
 
@@ -36,33 +37,23 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFr
     return df.join(firsts, same, "left_semi")
 
 
-#: Largest cap for which Spark plans a partial WindowGroupLimit before the exchange.
-GROUP_LIMIT = 1000
-CAP_PIECES = 64
-
-
 def cap_per_group(df: DataFrame, group: str | Sequence[str], n: int | None,
                   order: str = "ord", rank_col: str | None = None) -> DataFrame:
     """Keep the first ``n`` rows of every group in ``order``; None keeps all.
 
-    Up to GROUP_LIMIT, Spark plans a partial ``WindowGroupLimit`` before the
-    shuffle, so each task sends at most ``n`` rows per group.  A larger cap
-    first takes the first ``n`` of CAP_PIECES pieces of each group (by a
-    hash of the order), so that a hot group is ranked by many tasks and the
-    final ranking gets at most CAP_PIECES * n rows of it.
+    The group's n-th order value is found by distributed selection
+    (:mod:`harrow.operators.selection`), whatever ``n`` is, and rows up to it
+    are kept: no group is sorted or sent to one task.  Orders are unique within
+    a group.  ``rank_col`` adds the rank of the rows that are kept, which does
+    number them in one task for each group.
     """
     if n is None and rank_col is None:
         return df
     groups = [group] if isinstance(group, str) else list(group)
-    if n is not None and n > GROUP_LIMIT:
-        pieces = Window.partitionBy(*groups, "_piece").orderBy(F.col(order))
-        df = (df.withColumn("_piece", F.pmod(F.xxhash64(order), F.lit(CAP_PIECES)))
-              .withColumn("_rank", F.row_number().over(pieces)).where(F.col("_rank") <= n).drop("_rank", "_piece"))
-    name = rank_col or "_rank"
-    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(order))))
-    if n is not None:
-        out = out.where(F.col(name) <= n)
-    return out if rank_col else out.drop(name)
+    kept = df if n is None else first_of_groups(df, groups, order, n)
+    if rank_col:
+        kept = kept.withColumn(rank_col, F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(order))))
+    return kept
 
 
 def anti_store(new: DataFrame, store: DataFrame | IndexedStore, url: str = "source_url",

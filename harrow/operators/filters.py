@@ -11,13 +11,7 @@ from pyspark.sql import functions as F
 from harrow.config import (BOARD_TITLE_PHRASES_A, BOARD_TITLE_PHRASES_B, CITY_AI_PATTERNS,
                            CITY_IRRELEVANT_PATTERNS, INTERN_ALLOW_PATTERN, INTERN_PATTERN,
                            STARTUP_AI_PATTERNS, STARTUP_IRRELEVANT_PATTERNS, CurationConfig)
-from harrow.functions.regex import JS_SPACE_JAVA
 from harrow.functions.text import col_, contains_any, filter_haystack, jstrim, matches_any
-from harrow.session import scratch_path
-
-# Characters of a phrase by which phrase_semi looks it up.
-ANCHOR_CHARS = 24
-
 
 def board_title_ok(title, shape: str) -> Column:
     """Board pre-filter: lower-cased title contains one of the shape's phrases."""
@@ -133,59 +127,3 @@ def route_by_host(url, rules: Sequence[tuple[str, Column]], default: Column | No
         out = F.when(u.contains(marker), value) if out is None else out.when(u.contains(marker), value)
     dflt = default if default is not None else F.lit("")
     return dflt if out is None else out.otherwise(dflt)
-
-
-def phrase_semi(df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str = "phrase") -> DataFrame:
-    """Rows whose lower-cased text contains at least one phrase of a table.
-
-    One path, whatever the number of phrases:
-
-    * a phrase with whitespace is anchored at the (up to) ANCHOR_CHARS characters
-      that follow its first whitespace; wherever the phrase occurs in a text,
-      that anchor starts right after a whitespace character of the text;
-    * a phrase without whitespace, or with nothing behind its first one, is
-      anchored at its first characters, as many as the shortest such phrase has
-      (ANCHOR_CHARS at most), and texts are indexed at every position for these,
-      if there are any.
-
-    Texts are written once with a row number of their own, so no key is asked
-    for and rows with null keys stay.  Distinct anchors of a text meet the
-    phrases in an equi-join on a 64-bit hash, and candidate pairs are verified
-    with a substring test.  An empty phrase is in every text.
-    """
-    space = f"[{JS_SPACE_JAVA}]"
-    low = (phrases.select(F.lower(F.col(phrase_col)).alias("_p")).where(F.col("_p").isNotNull()).distinct())
-    sp = F.regexp_instr(F.col("_p"), F.lit(space))  # 1-based, 0 when none
-    low = low.withColumn("_a", F.when(sp > 0, F.substring("_p", sp + 1, ANCHOR_CHARS)).otherwise(F.lit("")))
-    spaced = low.where(F.col("_a") != "")
-    loose = low.where(F.col("_a") == "")
-    shortest = loose.agg(F.min(F.length("_p"))).first()[0]
-    if shortest == 0:
-        return df
-    texts = df.withColumn("_row", F.monotonically_increasing_id()).withColumn(
-        "_t", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    path = scratch_path(df.sparkSession, "phrase-texts")
-    texts.write.parquet(path)
-    texts = df.sparkSession.read.schema(texts.schema).parquet(path)
-
-    # Anchors shorter than ANCHOR_CHARS come from phrases that end soon after their first
-    # whitespace: at most ANCHOR_CHARS different lengths.
-    lengths = [r[0] for r in spaced.select(F.length("_a")).distinct().collect()]
-    index = spaced.select("_p", F.xxhash64("_a").alias("_h"))
-    behind = F.regexp_extract_all("_t", F.lit(f"(?s)(?<={space})(?=(.{{1,{ANCHOR_CHARS}}}))"), 1)
-
-    def heads(n: int) -> Column:
-        return F.transform(F.filter(behind, lambda g: F.length(g) >= n), lambda g: F.xxhash64(F.substring(g, 1, n)))
-
-    grams = [heads(n) for n in lengths]
-    if shortest is not None:
-        n = min(shortest, ANCHOR_CHARS)
-        index = index.unionByName(loose.select("_p", F.xxhash64(F.substring("_p", 1, n)).alias("_h")))
-        every = F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
-        grams.append(F.transform(every, lambda g: F.xxhash64(g)))
-    if not grams:
-        return df.where(F.lit(False))
-    found = texts.select("_row", F.explode(F.array_distinct(F.concat(*grams))).alias("_h"))
-    pairs = found.join(index, "_h").select("_row", "_p").distinct()
-    hits = texts.select("_row", "_t").join(pairs, "_row").where(F.instr("_t", F.col("_p")) > 0).select("_row")
-    return texts.join(hits.distinct(), "_row", "left_semi").select(*df.columns)

@@ -1,0 +1,148 @@
+"""Rows whose text contains a phrase of a table, without moving any text.
+
+A phrase is looked up by its *anchor*: the (up to) ANCHOR_CHARS characters behind
+its first white space, or its first characters if it has none.  Within its own row a
+text offers the anchors at its places; a Bloom filter of the phrases' anchors drops
+nearly all of them before anything is exploded.  At each place that remains the
+text's characters over the shapes that phrases with such an anchor have (offset of
+the anchor, length) are hashed, with a hash of its own.  Only these numbers leave the
+row: they meet the phrases in an equi-join on anchor hash, offset, length and phrase
+hash (two 64-bit hashes of different seeds).  Rows without a place that remains go no
+further, and only the others are written.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from harrow.functions.regex import JS_SPACE_JAVA
+from harrow.session import scratch_path
+
+#: Characters of a phrase by which it is looked up.
+ANCHOR_CHARS = 24
+#: Bits of the Bloom filter: 16 for each anchor within these bounds (1 MB at most).
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 23
+PAGE_BITS = 8 * 4096  # of a bitmap that Spark builds
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _bit(h: Column, bits: int, turn: int) -> Column:
+    """One of the two places of a hash in the filter."""
+    return F.pmod(F.shiftright(h, 24 * turn), F.lit(bits))
+
+
+class Bloom:
+    """A Bloom filter of 64-bit hashes with two bits for each, as one binary literal."""
+
+    def __init__(self, hashes: DataFrame):
+        """``hashes`` has the column ``_h``."""
+        n = hashes.distinct().count()
+        self.bits = min(max(1 << (16 * n).bit_length(), LEAST_BITS), MOST_BITS)
+        places = hashes.select(F.explode(F.array(_bit(F.col("_h"), self.bits, 0), _bit(F.col("_h"), self.bits, 1))).alias("p"))
+        pages = (places.groupBy(F.floor(F.col("p") / PAGE_BITS).alias("page"))
+                 .agg(F.bitmap_construct_agg(F.col("p") % PAGE_BITS).alias("map")).collect())  # bits / 32,768 rows of 4 KB
+        empty = bytes(PAGE_BITS // 8)
+        held = {r["page"]: bytes(r["map"]) for r in pages}
+        self.map = F.lit(b"".join(held.get(i, empty) for i in range(self.bits // PAGE_BITS)))
+
+    def _has_bit(self, place: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(self.map, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, (place % 8).cast("int")) == 1
+
+    def may_hold(self, h: Column) -> Column:
+        return self._has_bit(_bit(h, self.bits, 0)) & self._has_bit(_bit(h, self.bits, 1))
+
+
+def _anchor_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _phrase_hash(text: Column) -> Column:
+    return F.xxhash64(F.lit("phrase"), text)
+
+
+def _index(phrases: DataFrame, phrase_col: str) -> tuple[DataFrame, int | None]:
+    """(_h, _a, _off, _len, _v, _every) of each lower-cased phrase, and the length of the shortest.
+
+    ``_every`` marks phrases whose anchor may stand at any place of a text; they
+    share one anchor length.
+    """
+    space = f"[{JS_SPACE_JAVA}]"
+    low = phrases.select(F.lower(F.col(phrase_col)).alias("_p")).where(F.col("_p").isNotNull()).distinct()
+    sp = F.regexp_instr("_p", F.lit(space))  # 1-based, 0 when none
+    low = low.withColumn("_sp", sp).withColumn(
+        "_anchor", F.when(F.col("_sp") > 0, F.substring("_p", F.col("_sp") + 1, F.lit(ANCHOR_CHARS))).otherwise(F.lit("")))
+    low = low.withColumn("_every", F.col("_anchor") == "")
+    ends = low.agg(F.min(F.length("_p")).alias("s"), F.min(F.when(F.col("_every"), F.length("_p"))).alias("e")).first()
+    some = F.substring("_p", 1, min(ends["e"] or 1, ANCHOR_CHARS))
+    anchor = F.when(F.col("_every"), some).otherwise(F.col("_anchor"))
+    return low.select(_anchor_hash(anchor).alias("_h"), F.length(anchor).alias("_a"),
+                      F.when(F.col("_every"), F.lit(0)).otherwise(F.col("_sp")).alias("_off"),
+                      F.length("_p").alias("_len"), _phrase_hash(F.col("_p")).alias("_v"), "_every"), ends["s"]
+
+
+def _offers(bloom: Bloom, shapes: dict[tuple[bool, int], list[tuple[int, int]]]) -> Column:
+    """Array of struct(_h, _off, _len, _v): what the text ``_t`` offers at places the filter lets through.
+
+    ``shapes``: (offset, length) pairs by (at every place, anchor length).
+    """
+    space = f"[{JS_SPACE_JAVA}]"
+    behind = F.regexp_extract_all("_t", F.lit(f"(?s)(?<={space})(?=(.{{1,{ANCHOR_CHARS}}}))"), 1)
+
+    def offered(every: bool, a: int, pairs: list[tuple[int, int]]) -> Column:
+        grams = F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{a}}}))"), 1) if every else behind
+        hashed = F.transform(grams, lambda g, i: F.struct(
+            i.alias("i"), F.when(F.length(g) >= a, _anchor_hash(F.substring(g, 1, a))).alias("h")))
+        hits = F.filter(hashed, lambda c: c["h"].isNotNull() & bloom.may_hold(c["h"]))
+        listed = F.array(*[F.struct(F.lit(o).alias("off"), F.lit(n).alias("len")) for o, n in pairs])
+
+        def at(c: Column) -> Column:
+            # Characters before the anchor: all up to the white space that it follows, and that one.
+            before = c["i"] if every else F.length(
+                F.call_function("substring_index", F.col("_spaced"), F.lit(" "), c["i"] + 1)) + 1
+            return _let(before, lambda b: F.transform(listed, lambda s: F.struct(
+                c["h"].alias("_h"), s["off"].alias("_off"), s["len"].alias("_len"),
+                F.when(b >= s["off"], F.substring("_t", (b - s["off"] + 1).cast("int"), s["len"])).alias("text"))))
+
+        return F.flatten(F.transform(hits, at))
+
+    offers = [offered(every, a, pairs) for (every, a), pairs in sorted(shapes.items())]
+    whole = F.filter(F.concat(*offers), lambda o: F.length(o["text"]) == o["_len"])
+    return F.array_distinct(F.transform(whole, lambda o: F.struct(
+        o["_h"], o["_off"], o["_len"], _phrase_hash(o["text"]).alias("_v"))))
+
+
+def phrase_semi(df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str = "phrase") -> DataFrame:
+    """Rows whose lower-cased text contains at least one phrase of a table; columns as they were.
+
+    No key is asked for; repeated rows and rows with null keys stay.  A null
+    text counts as empty, an empty phrase is in every text, null phrases are
+    none.
+    """
+    index, shortest = _index(phrases, phrase_col)
+    if shortest is None:
+        return df.where(F.lit(False))
+    if shortest == 0:
+        return df
+    shapes: dict[tuple[bool, int], list[tuple[int, int]]] = defaultdict(list)
+    for r in index.select("_every", "_a", "_off", "_len").distinct().orderBy("_off", "_len").collect():  # shapes, not phrases
+        shapes[(r["_every"], r["_a"])].append((r["_off"], r["_len"]))
+    bloom = Bloom(index.select("_h"))
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(df.columns)]
+    texts = df.select(*columns, low.alias("_t")).withColumn("_spaced", F.regexp_replace("_t", f"[{JS_SPACE_JAVA}]", " "))
+    offering = (texts.withColumn("_offers", _offers(bloom, shapes)).drop("_t", "_spaced").where(F.size("_offers") > 0)
+                .withColumn("_row", F.monotonically_increasing_id()))
+    path = scratch_path(df.sparkSession, "phrase-rows")
+    offering.write.parquet(path)
+    rows = df.sparkSession.read.schema(offering.schema).parquet(path)
+    met = rows.select("_row", F.explode("_offers").alias("_o")).select("_row", "_o.*")
+    hits = met.join(index.drop("_a", "_every"), ["_h", "_off", "_len", "_v"]).select("_row").distinct()
+    kept = rows.drop("_offers").join(hits, "_row", "left_semi")
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)])

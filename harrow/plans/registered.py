@@ -19,9 +19,11 @@ from harrow.functions.classify import class_haystack, employment_type, experienc
 from harrow.functions.company import split_company
 from harrow.functions.salary import clean_salary, salary_from_compensation, salary_from_range
 from harrow.functions.text import collapse_ws, fingerprint, jstrim, lines, or_default, strip_tags
+from harrow.functions.variants import number_at, payload, variants_by_name
 from harrow.operators.dedupe import anti_store, cap_per_group, first_wins, two_key_dedupe
-from harrow.operators.filters import apply_tiers, board_title_ok, phrase_semi, present, with_relevance
+from harrow.operators.filters import apply_tiers, board_title_ok, present, with_relevance
 from harrow.operators.metrics import source_counts, sources_dim, tier_counts
+from harrow.operators.phrases import phrase_semi
 from harrow.plans import maintain
 from harrow.plans import sqltext as S
 from harrow.plans.curate import curate, enrich, settle_source
@@ -35,7 +37,8 @@ from harrow.sources.quarantine import (EMPTY, NOT_JSON, UNKNOWN_BOARD, WRONG_SHA
                                        quarantine_counts)
 from harrow.sources.registry import Source, collect_run, html_rows
 from harrow.sources.scans import CityRules, StartupRules, city_scan, startup_scan
-from harrow.sources.store import LISTING_STORE, to_store_rows, update_status, with_status
+from harrow.sources.store import (LISTING_STORE, publish, read_current, to_store_rows, update_status, with_blank,
+                                  with_status)
 from harrow.streaming.incremental import ingest_available, land_batch, run_rows
 from harrow.session import scratch_path
 
@@ -1200,6 +1203,44 @@ def q_status_scan(spark, sf):
     return with_status(_status_store(spark, sf), "Applied").select("ord")
 
 
+@register("blank_scan", f"""
+SELECT p_partkey AS ord, status FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN 'New' WHEN 1 THEN 'Apply' ELSE 'Offer' END AS status FROM part)
+WHERE coalesce({_MIG_SAL}, '') = '' AND status <> 'Offer'""")
+def q_blank_scan(spark, sf):
+    """Rows without a salary in two states, read from a published snapshot."""
+    status = F.when(F.col("p_size") % 3 == 0, F.lit("New")).when(F.col("p_size") % 3 == 1, F.lit("Apply")).otherwise(F.lit("Offer"))
+    rows = _legacy_store(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), status.alias("status")), "ord")
+    base = scratch_path(spark, "published")
+    publish(rows, base)
+    store = read_current(spark, base, rows.schema)
+    blank = with_blank(store, "salary")
+    return with_status(blank, "New").unionByName(with_status(blank, "Apply")).select("ord", "status")
+
+
+_OPTION_SQL = ("CASE p_size % 5 WHEN 0 THEN '{\"options\":5}' WHEN 1 THEN '{}' ELSE '{\"options\":[{\"name\":\"' || p_brand || "
+               "'\",\"c\":1},{\"name\":\"' || p_name || '\",\"c\":2},{\"c\":3},{\"name\":\"' || p_brand || '\",\"c\":' || "
+               "CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '[4]' END || '}]}' END")
+
+
+@register("map_by_name", f"""
+SELECT p_partkey AS ord, CAST(coalesce(len(names), -1) AS INTEGER) AS n_names,
+       CASE WHEN names IS NOT NULL AND p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS c,
+       CASE WHEN names IS NOT NULL THEN CAST(2 AS DOUBLE) END AS other
+FROM (SELECT *, CASE WHEN p_size % 5 > 1 THEN list_distinct(list_filter(
+        CAST(json_extract_string({_OPTION_SQL}, '$.options[*].name') AS VARCHAR[]), lambda x: x IS NOT NULL)) END AS names FROM part)""")
+def q_map_by_name(spark, sf):
+    """Options by name from JSON of several shapes: no options, a number, an array with a name that is repeated."""
+    p = table(spark, sf, "part")
+    last = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.lit("[4]"))
+    text = (F.when(F.col("p_size") % 5 == 0, F.lit('{"options":5}')).when(F.col("p_size") % 5 == 1, F.lit("{}"))
+            .otherwise(F.concat(F.lit('{"options":[{"name":"'), "p_brand", F.lit('","c":1},{"name":"'), "p_name",
+                                F.lit('","c":2},{"c":3},{"name":"'), "p_brand", F.lit('","c":'), last, F.lit("}]}"))))
+    named = p.withColumn("m", variants_by_name(payload(text), "options"))
+    return named.select(F.col("p_partkey").alias("ord"), F.coalesce(F.size("m"), F.lit(-1)).alias("n_names"),
+                        number_at(F.try_element_at("m", F.col("p_brand")), "c").alias("c"),
+                        number_at(F.try_element_at("m", F.col("p_name")), "c").alias("other"))
+
+
 @register("status_update", f"""
 SELECT s.ord, coalesce(u.status, s.status) AS status FROM {_ST_SQL} s
 LEFT JOIN (SELECT fingerprint, 'Interviewing' AS status FROM {_ST_SQL} WHERE o_orderpriority = '1-URGENT') u

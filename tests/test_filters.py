@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from harrow.config import CurationConfig
-from harrow.operators.filters import (apply_tiers, board_title_ok, city_relevant, phrase_semi,
+from harrow.operators.phrases import phrase_semi
+from harrow.operators.filters import (apply_tiers, board_title_ok, city_relevant,
                                       startup_relevant)
 
 TIERS = [
@@ -66,8 +67,6 @@ def test_phrase_semi_both_paths(spark):
 def test_phrase_semi_is_one_path_for_any_number_of_phrases(spark):
     import random
 
-    from harrow.operators.filters import phrase_semi
-
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abÜc") for _ in range(rng.randrange(1, 4)))
     texts = [(None if k % 9 == 0 else k, " ".join(word() for _ in range(rng.randrange(1, 30)))) for k in range(150)]
