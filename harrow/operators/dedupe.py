@@ -37,12 +37,18 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFr
     return df.join(firsts, same, "left_semi")
 
 
+#: Largest cap for which Spark plans a partial WindowGroupLimit before the exchange.
+GROUP_LIMIT = 1000
+
+
 def cap_per_group(df: DataFrame, group: str | Sequence[str], n: int | None,
                   order: str = "ord", rank_col: str | None = None) -> DataFrame:
     """Keep the first ``n`` rows of every group in ``order``; None keeps all.
 
-    The group's n-th order value is found by distributed selection
-    (:mod:`harrow.operators.selection`), whatever ``n`` is, and rows up to it
+    Up to GROUP_LIMIT, Spark plans a partial ``WindowGroupLimit`` before the
+    shuffle, so each task sends at most ``n`` rows per group and one pass is
+    enough.  For a larger cap the group's n-th order value is found by
+    distributed selection (:mod:`harrow.operators.selection`) and rows up to it
     are kept: no group is sorted or sent to one task.  Orders are unique within
     a group.  ``rank_col`` adds the rank of the rows that are kept, which does
     number them in one task for each group.
@@ -50,9 +56,12 @@ def cap_per_group(df: DataFrame, group: str | Sequence[str], n: int | None,
     if n is None and rank_col is None:
         return df
     groups = [group] if isinstance(group, str) else list(group)
-    kept = df if n is None else first_of_groups(df, groups, order, n)
-    if rank_col:
-        kept = kept.withColumn(rank_col, F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(order))))
+    kept = first_of_groups(df, groups, order, n) if n is not None and n > GROUP_LIMIT else df
+    if rank_col or kept is df:
+        name = rank_col or "_rank"
+        kept = kept.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(order))))
+        kept = kept if n is None else kept.where(F.col(name) <= n)
+        return kept if rank_col else kept.drop(name)
     return kept
 
 

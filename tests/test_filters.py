@@ -1,8 +1,7 @@
 from pyspark.sql import functions as F
 
 from harrow.config import CurationConfig
-from harrow.operators.phrases import phrase_semi
-from harrow.operators.filters import (apply_tiers, board_title_ok, city_relevant,
+from harrow.operators.filters import (phrase_semi, apply_tiers, board_title_ok, city_relevant,
                                       startup_relevant)
 
 TIERS = [
