@@ -3,7 +3,7 @@ four-tier verdict, domain checks and phrase semi-joins."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from harrow.session import scratch_path
 
 # Characters of a phrase by which phrase_semi looks it up.
 ANCHOR_CHARS = 24
+# Bytes up to which a phrase table goes to each task whole; a larger one is joined.
+PHRASE_TABLE_BYTES = 8 << 20
 
 
 def board_title_ok(title, shape: str) -> Column:
@@ -135,10 +137,12 @@ def route_by_host(url, rules: Sequence[tuple[str, Column]], default: Column | No
     return dflt if out is None else out.otherwise(dflt)
 
 
-def phrase_semi(df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str = "phrase") -> DataFrame:
+def phrase_semi(df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str = "phrase",
+                table_bytes: int = PHRASE_TABLE_BYTES) -> DataFrame:
     """Rows whose lower-cased text contains at least one phrase of a table.
 
-    One path, whatever the number of phrases:
+    Phrases are looked up by an anchor, which every text that holds the phrase
+    holds too:
 
     * a phrase with whitespace is anchored at the (up to) ANCHOR_CHARS characters
       that follow its first whitespace; wherever the phrase occurs in a text,
@@ -148,44 +152,76 @@ def phrase_semi(df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: st
       (ANCHOR_CHARS at most), and texts are indexed at every position for these,
       if there are any.
 
-    Texts are written once with a row number of their own, so no key is asked
-    for and rows with null keys stay.  Distinct anchors of a text meet the
-    phrases in an equi-join on a 64-bit hash, and candidate pairs are verified
-    with a substring test.  An empty phrase is in every text.
+    The distinct anchors of a text meet the phrases by a 64-bit hash, and what
+    meets is verified with a substring test.  The phrase table is measured
+    first.  Up to ``table_bytes`` it becomes one array of hash buckets that goes
+    to each task, and the match is a filter within the row: no text is copied,
+    no key is asked for and nothing is shuffled.  A larger table meets the
+    anchors in a shuffled equi-join, see ``_phrase_join``.  Both give the same
+    rows; rows with null keys stay, and an empty phrase is in every text.
     """
     space = f"[{JS_SPACE_JAVA}]"
     low = (phrases.select(F.lower(F.col(phrase_col)).alias("_p")).where(F.col("_p").isNotNull()).distinct())
     sp = F.regexp_instr(F.col("_p"), F.lit(space))  # 1-based, 0 when none
     low = low.withColumn("_a", F.when(sp > 0, F.substring("_p", sp + 1, ANCHOR_CHARS)).otherwise(F.lit("")))
-    spaced = low.where(F.col("_a") != "")
-    loose = low.where(F.col("_a") == "")
-    shortest = loose.agg(F.min(F.length("_p"))).first()[0]
-    if shortest == 0:
+    loose = F.col("_a") == ""
+    seen = low.agg(F.min(F.when(loose, F.length("_p"))).alias("shortest"),
+                   F.collect_set(F.when(~loose, F.length("_a"))).alias("lengths"),  # ANCHOR_CHARS of them at most
+                   F.count("*").alias("phrases"), F.sum(F.octet_length("_p") + 40).alias("size")).first()
+    if seen.shortest == 0:
         return df
-    texts = df.withColumn("_row", F.monotonically_increasing_id()).withColumn(
-        "_t", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    if not seen.phrases:
+        return df.where(F.lit(False))
+    n = min(seen.shortest or 0, ANCHOR_CHARS)
+    index = low.select("_p", F.xxhash64(F.when(loose, F.substring("_p", 1, n)).otherwise(F.col("_a"))).alias("_h"))
+
+    def anchors(text: Column) -> Column:
+        grams = []
+        if seen.lengths:
+            behind = F.regexp_extract_all(text, F.lit(f"(?s)(?<={space})(?=(.{{1,{ANCHOR_CHARS}}}))"), 1)
+            sizes = F.array(*[F.lit(k) for k in sorted(seen.lengths)])
+            grams.append(F.flatten(F.transform(behind, lambda g: F.transform(
+                F.filter(sizes, lambda k: k <= F.length(g)), lambda k: F.xxhash64(F.substring(g, F.lit(1), k))))))
+        if n:
+            every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+            grams.append(F.transform(every, lambda g: F.xxhash64(g)))
+        return F.array_distinct(F.concat(*grams))
+
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    if seen.size > table_bytes:
+        return _phrase_join(df, text, anchors, index)
+    held = "_phrases"
+    while held in df.columns:
+        held += "_"
+    hit = F.exists(anchors(text), lambda h: F.exists(
+        F.get(F.col(held), F.pmod(h, F.lit(2 * seen.phrases)).cast("int")),
+        lambda c: (c["_h"] == h) & (F.instr(text, c["_p"]) > 0)))
+    # A generator, not a filter: a filter would move below a repartition of df, into the tasks of its scan.
+    return (df.withColumn(held, _bucket_array(index, 2 * seen.phrases))
+            .select(*df.columns, F.explode(F.when(hit, F.array(F.lit(True)))).alias(held)).drop(held))
+
+
+def _bucket_array(index: DataFrame, buckets: int) -> Column:
+    """The index as one value: an array by hash modulo ``buckets`` of arrays of its rows."""
+    held = index.groupBy(F.pmod("_h", F.lit(buckets)).alias("_b")).agg(
+        F.collect_list(F.struct("_h", "_p")).alias("_c"))
+    every = index.sparkSession.range(0, buckets, 1, 1).select(F.col("id").alias("_b")).join(held, "_b", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("_b", F.coalesce("_c", F.array()).alias("_c")))),
+                                 lambda row: row["_c"])).scalar()
+
+
+def _phrase_join(df: DataFrame, text: Column, anchors: Callable[[Column], Column], index: DataFrame) -> DataFrame:
+    """``phrase_semi`` with a phrase table of any size.
+
+    Texts are written once with a row number of their own, anchors meet the
+    index on their hash, and the texts of candidate rows are shuffled to be
+    verified.
+    """
+    texts = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", text)
     path = scratch_path(df.sparkSession, "phrase-texts")
     texts.write.parquet(path)
     texts = df.sparkSession.read.schema(texts.schema).parquet(path)
-
-    # Anchors shorter than ANCHOR_CHARS come from phrases that end soon after their first
-    # whitespace: at most ANCHOR_CHARS different lengths.
-    lengths = [r[0] for r in spaced.select(F.length("_a")).distinct().collect()]
-    index = spaced.select("_p", F.xxhash64("_a").alias("_h"))
-    behind = F.regexp_extract_all("_t", F.lit(f"(?s)(?<={space})(?=(.{{1,{ANCHOR_CHARS}}}))"), 1)
-
-    def heads(n: int) -> Column:
-        return F.transform(F.filter(behind, lambda g: F.length(g) >= n), lambda g: F.xxhash64(F.substring(g, 1, n)))
-
-    grams = [heads(n) for n in lengths]
-    if shortest is not None:
-        n = min(shortest, ANCHOR_CHARS)
-        index = index.unionByName(loose.select("_p", F.xxhash64(F.substring("_p", 1, n)).alias("_h")))
-        every = F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
-        grams.append(F.transform(every, lambda g: F.xxhash64(g)))
-    if not grams:
-        return df.where(F.lit(False))
-    found = texts.select("_row", F.explode(F.array_distinct(F.concat(*grams))).alias("_h"))
+    found = texts.select("_row", F.explode(anchors(F.col("_t"))).alias("_h"))
     pairs = found.join(index, "_h").select("_row", "_p").distinct()
     hits = texts.select("_row", "_t").join(pairs, "_row").where(F.instr("_t", F.col("_p")) > 0).select("_row")
     return texts.join(hits.distinct(), "_row", "left_semi").select(*df.columns)

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from harrow.config import CurationConfig
-from harrow.operators.filters import (phrase_semi, apply_tiers, board_title_ok, city_relevant,
+from harrow.operators.filters import (PHRASE_TABLE_BYTES, phrase_semi, apply_tiers, board_title_ok, city_relevant,
                                       startup_relevant)
 
 TIERS = [
@@ -63,16 +64,28 @@ def test_phrase_semi_both_paths(spark):
     assert a == b == [1, 2]
 
 
-def test_phrase_semi_is_one_path_for_any_number_of_phrases(spark):
+@pytest.mark.parametrize("table_bytes", [PHRASE_TABLE_BYTES, 0])
+def test_phrase_semi_equals_substring_search_on_both_sides_of_the_size_check(spark, table_bytes):
     import random
 
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abÜc") for _ in range(rng.randrange(1, 4)))
     texts = [(None if k % 9 == 0 else k, " ".join(word() for _ in range(rng.randrange(1, 30)))) for k in range(150)]
-    texts += [(7, None), (8, ""), (9, "ab\nc\u00a0ab  x")]
+    texts += [(7, None), (8, ""), (9, "ab\nc\u00a0ab  x"), (9, "ab\nc\u00a0ab  x")]
     df = spark.createDataFrame(texts, "k long, t string")
     pool = [" ".join(word() for _ in range(rng.randrange(1, 5))) for _ in range(90)] + ["ab\nc", "abc ", " a", "Üc b", "\u00a0ab"]
     for phrases in ([], ["abca"], pool[:3], pool, [None], ["a", ""]):
         table = spark.createDataFrame([(p,) for p in phrases], "phrase string")
         want = [r for r in texts if any(p is not None and p.lower() in (r[1] or "").lower() for p in phrases)]
-        assert sorted(map(repr, map(tuple, phrase_semi(df, "t", table).collect()))) == sorted(map(repr, want))
+        got = phrase_semi(df, "t", table, table_bytes=table_bytes).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_a_small_phrase_table_is_matched_within_the_row(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "lazy dog")], "k int, t string")
+    table = spark.createDataFrame([("quick brown f",), ("dog",)], "phrase string")
+    out = phrase_semi(docs, "t", table)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan = plan.split("Subquery")[0]
+    assert sorted(r.k for r in out.collect()) == [1, 2]
+    assert "Exchange" not in scan and "Join" not in scan
