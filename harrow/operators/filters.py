@@ -196,9 +196,11 @@ def phrase_semi(df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: st
     hit = F.exists(anchors(text), lambda h: F.exists(
         F.get(F.col(held), F.pmod(h, F.lit(2 * seen.phrases)).cast("int")),
         lambda c: (c["_h"] == h) & (F.instr(text, c["_p"]) > 0)))
-    # A generator, not a filter: a filter would move below a repartition of df, into the tasks of its scan.
+    # Two projections that collapse into one, so that no row carries the buckets; then a generator,
+    # not a filter, because a filter would move below a repartition of df, into the tasks of its scan.
     return (df.withColumn(held, _bucket_array(index, 2 * seen.phrases))
-            .select(*df.columns, F.explode(F.when(hit, F.array(F.lit(True)))).alias(held)).drop(held))
+            .select(*df.columns, hit.alias(held))
+            .select(*df.columns, F.explode(F.when(F.col(held), F.array(F.lit(True)))).alias(held)).drop(held))
 
 
 def _bucket_array(index: DataFrame, buckets: int) -> Column:

@@ -86,6 +86,8 @@ def test_a_small_phrase_table_is_matched_within_the_row(spark):
     table = spark.createDataFrame([("quick brown f",), ("dog",)], "phrase string")
     out = phrase_semi(docs, "t", table)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    scan = plan.split("Subquery")[0]
+    scan = plan.split("Subquery subquery")[0]
     assert sorted(r.k for r in out.collect()) == [1, 2]
     assert "Exchange" not in scan and "Join" not in scan
+    uses = [line for line in scan.splitlines() if "scalar-subquery" in line]
+    assert len(uses) == 1 and "exists(" in uses[0] and " AS _phrases" in uses[0]  # used where it stands, in no column
