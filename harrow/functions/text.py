@@ -7,7 +7,7 @@ stay inside whole-stage code generation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,16 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    The value is the start of a reduction over nothing and ``body`` its finish,
+    which hands it on as it is; a transform would copy what ``body`` gives, with
+    every array in it, at each step.
+    """
+    return F.reduce(F.array().cast("array<int>"), value, lambda given, _: given, body)
+
+
 def blank_to_null(c) -> Column:
     """JavaScript truthiness for strings: '' counts as missing."""
     c = col_(c)

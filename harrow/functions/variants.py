@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.functions.text import col_
+from harrow.functions.text import col_, let
 
 #: Whether a repeated key of a JSON object keeps its last value, as in JavaScript, or makes the text invalid.
 LAST_KEY = "spark.sql.variant.allowDuplicateKeys"
@@ -54,21 +54,25 @@ def number_at(value, *steps: str | int) -> Column:
 
 def items_at(value, *steps: str | int) -> Column:
     """The elements of the array there; null for a missing path and for anything but an array."""
-    at = chain(value, *steps)
-    return F.when(kind(at).startswith("ARRAY"), F.try_variant_get(at, "$", "array<variant>"))
+    return F.try_variant_get(col_(value), path_of(*steps), "array<variant>")
 
 
 def map_by_name(items, name=lambda item: item["name"]) -> Column:
     """``new Map(items.map(item => [item.name, item]))``: of a repeated name the last item counts.
 
     Items without a name are left out, for a map has no null key; a null array
-    gives null.
+    gives null.  Items and names are computed once: they are sorted by (name,
+    place), the last place of each name stays, in the order of the places.
     """
-    named = F.filter(col_(items), lambda item: name(item).isNotNull())
-    names = F.transform(named, name)
-    later = lambda at: F.slice(names, at + 2, F.size(names))
-    last = F.filter(named, lambda item, at: ~F.array_contains(later(at), name(item)))
-    return F.map_from_arrays(F.transform(last, name), last)
+    def last(named: Column) -> Column:
+        order = F.array_sort(F.transform(named, lambda e, at: F.struct(e["name"].alias("name"), at.alias("at"))))
+        places = let(order, lambda o: F.array_sort(F.transform(F.filter(
+            o, lambda e, at: ~F.coalesce(F.get(o, at + 1)["name"] == e["name"], F.lit(False))), lambda e: e["at"])))
+        return let(places, lambda p: F.map_from_arrays(F.transform(p, lambda at: F.get(named, at)["name"]),
+                                                       F.transform(p, lambda at: F.get(named, at)["item"])))
+
+    pairs = F.transform(col_(items), lambda item: F.struct(name(item).alias("name"), item.alias("item")))
+    return let(F.filter(pairs, lambda e: e["name"].isNotNull()), last)
 
 
 def variants_by_name(value, *steps: str | int, key: str = "name") -> Column:

@@ -145,3 +145,14 @@ def test_map_by_name_keeps_the_last_of_a_name(spark):
     text = '{"o": [{"name": "x", "c": 1}, {"c": 9}, 7, {"name": 5}, {"name": "x", "c": [2]}]}'
     v = spark.createDataFrame([(text,)], "t string").select(variants_by_name(payload("t"), "o").alias("m"))
     assert v.select(F.map_keys("m"), F.to_json(F.element_at("m", "x"))).first() == (["x"], '{"c":[2],"name":"x"}')
+
+
+def test_map_by_name_reads_its_json_once(spark):
+    df = spark.createDataFrame([('{"o": [{"name": "b", "c": 1}, {"name": "a", "c": 2}, {"name": "b", "c": 3}]}',)], "t string")
+    m = df.select(variants_by_name(payload("t"), "o").alias("m"))
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert m.select(F.map_keys("m")).first()[0] == ["a", "b"]
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(2999)), lambda i: F.struct(
+        (i % 1000).cast("string").alias("name"), i.alias("c"))).alias("o"))
+    got = many.select(map_by_name("o").alias("m")).first()["m"]
+    assert {k: v.c for k, v in got.items()} == {str(i): 2000 + i for i in range(1000)}
