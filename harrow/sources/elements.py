@@ -17,19 +17,19 @@ The walk follows the rules of the HTML standard as far as listings need them:
   an open ``a``; whatever is open at the end of the page ends there.
 
 This is no DOM: there are no nodes, selectors are Column predicates, and nothing
-but start, end and ancestors of an element is known.  The walk appends to short
-arrays (the tags are taken in about sqrt(n) chunks), so a page of n tags costs
-n * sqrt(n) small copies and not n * n.
+but start, end and ancestors of an element is known.  The stack is one string, in
+which the nearest element of a name is a substring search; a search in an array
+would evaluate a lambda for each open element, name by name.  The walk appends to
+short arrays (the tags are taken in about sqrt(n) chunks), so a page of n tags
+costs n * sqrt(n) small copies and not n * n.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.functions.text import jstrim
+from harrow.functions.text import jstrim, let
 
 # Names of the HTML standard.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -46,73 +46,73 @@ SPACES = r"[ \t\n\r\f]+"
 #: Starting a line: blocks (opening or closing) and line breaks.
 BREAKS = (*BLOCK, "br")
 
-ENTRY = "struct<i:int,n:string>"
-RECORD = f"struct<i:int,ends:int,path:array<{ENTRY}>>"
+#: What a tag does: the elements it ends, and the open elements around one that it opens (null otherwise).
+RECORD = "struct<i:int,ended:string,around:string>"
 
 
-def attribute_pattern(name: str) -> str:
-    """Value of an attribute in a tag, quoted either way or not at all (groups 1 to 3); other values are passed whole."""
+def _before_value(name: str) -> str:
     value = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
     other = rf"""(?:\s+[^\s=>"'/]+(?:\s*=\s*{value})?|\s*/)"""
-    return rf"""(?is)^<[a-z][a-z0-9-]*{other}*?\s+{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return rf"""(?is)^<[a-z][a-z0-9-]*{other}*?\s+{name}\s*=\s*"""
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of an opening tag, '' without one."""
-    p = attribute_pattern(name)
-    return F.when(F.lower(tag).contains(name), F.concat(*[F.regexp_extract(tag, p, g) for g in (1, 2, 3)])).otherwise(F.lit(""))
+def attribute_pattern(name: str) -> str:
+    """Value of an attribute in a tag, quoted either way or not at all (groups 1 to 3); other values are passed whole."""
+    return _before_value(name) + r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of an opening tag, '' without one; read once, quotes and all."""
+    whole = F.regexp_extract(tag, _before_value(name) + r"""("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    bare = let(whole, lambda v: F.when(v.startswith('"') | v.startswith("'"), v.substr(F.lit(2), F.length(v) - 2)).otherwise(v))
+    return F.when(F.lower(tag).contains(name), bare).otherwise(F.lit(""))
 
 
-def _near(stack: Column, names: tuple[str, ...] | Column) -> Column:
-    """Place of the nearest open element of these names (1: the innermost), 0 without one."""
-    if isinstance(names, Column):
-        return F.array_position(F.transform(stack, lambda e: e["n"] == names), True).cast("int")
-    return F.array_position(F.transform(stack, lambda e: e["n"].isin(*names)), True).cast("int")
+def _near(stack: Column, *names: str) -> Column:
+    """Place in the stack of the nearest open element of these names, null without one."""
+    places = [F.nullif(F.instr(stack, f"|{n}:"), F.lit(0)) for n in names]
+    return F.least(*places) if len(places) > 1 else places[0]
 
 
 def _step(acc: Column, t: Column) -> Column:
-    """One tag ``t`` (i, n, shut, block, formatting): the new stack, innermost first, and the records of the tag."""
+    """One tag ``t`` (i, n, shut, block, formatting, entry, mark): the new stack and the record of the tag.
+
+    The stack is a string of entries ``|name:i;``, innermost first, those of blocks
+    behind ``#``.  A move is 0, the place of the last entry to end with all before
+    it, or the negative place of the one entry to end.
+    """
     stack = acc["stack"]
 
-    def reach(m: Column, wall: Column) -> Column:
-        return F.when((m > 0) & ((wall == 0) | (m < wall)), m).otherwise(F.lit(0))
+    def reach(inner: Column, walls: Column) -> Column:
+        return let(inner, lambda m: F.when(m.isNotNull() & F.coalesce(m < walls, F.lit(True)), m).otherwise(F.lit(0)))
 
     def on_close(m: Column) -> Column:
-        return F.when(m == 0, F.struct(F.lit(0).alias("pop"), F.lit(0).alias("cut"))).otherwise(
-            let(_near(stack, BLOCK), lambda wall: F.when(
-                t["block"] | (wall == 0) | (m < wall), F.struct(m.alias("pop"), F.lit(0).alias("cut"))).otherwise(
-                F.struct(F.lit(0).alias("pop"), F.when(t["formatting"], m).otherwise(F.lit(0)).alias("cut")))))
+        return F.when(m == 0, F.lit(0)).when(t["block"], m).otherwise(let(F.instr(stack, "#"), lambda wall: F.when(
+            (wall == 0) | (m < wall), m).when(t["formatting"], -m).otherwise(F.lit(0))))
 
-    in_list = F.when(t["n"] == "li", reach(_near(stack, ("li",)), _near(stack, ("ul", "ol")))).otherwise(F.lit(0))
-    in_text = F.when(t["block"], reach(_near(stack, ("p",)), _near(stack, ("td", "th", "table", "button")))).otherwise(F.lit(0))
-    on_open = F.struct(F.greatest(in_list, in_text).alias("pop"),
-                       F.when(t["n"] == "a", _near(stack, ("a",))).otherwise(F.lit(0)).alias("cut"))
-    move = F.when(t["shut"], let(_near(stack, t["n"]), on_close)).otherwise(on_open)
+    in_list = F.when(t["n"] == "li", reach(_near(stack, "li"), _near(stack, "ul", "ol"))).otherwise(F.lit(0))
+    on_open = F.when(t["block"], F.greatest(in_list, reach(_near(stack, "p"), _near(stack, "td", "th", "table", "button")))).when(
+        t["n"] == "a", -F.coalesce(_near(stack, "a"), F.lit(0))).otherwise(F.lit(0))
+    move = F.when(t["shut"], let(F.instr(stack, t["mark"]), on_close)).otherwise(on_open)
 
     def moved(m: Column) -> Column:
-        cut = m["cut"] > 0
-        ended = F.when(cut, F.slice(stack, F.greatest(m["cut"], F.lit(1)), 1)).otherwise(F.slice(stack, 1, m["pop"]))
-        left = F.when(cut, F.filter(stack, lambda _, at: at != m["cut"] - 1)).otherwise(
-            F.slice(stack, m["pop"] + 1, F.size(stack)))
-        ends = F.transform(ended, lambda e: F.struct(e["i"].alias("i"), t["i"].alias("ends"),
-                                                     F.lit(None).cast(f"array<{ENTRY}>").alias("path")))
-        return let(left, lambda rest: F.when(t["shut"], F.struct(
-            rest.alias("stack"), F.concat(acc["out"], ends).alias("out"))).otherwise(F.struct(
-                F.concat(F.array(F.struct(t["i"].alias("i"), t["n"].alias("n"))), rest).alias("stack"),
-                F.concat(acc["out"], ends, F.array(F.struct(t["i"].alias("i"), F.lit(None).cast("int").alias("ends"),
-                                                            rest.alias("path")))).alias("out"))))
+        def to(end: Column) -> Column:
+            rest = stack.substr(end + 1, F.length(stack))
+            ended = F.when(m > 0, stack.substr(F.lit(1), end)).when(m < 0, stack.substr(-m, end + m + 1)).otherwise(F.lit(""))
+            left = F.when(m > 0, rest).when(m < 0, F.concat(stack.substr(F.lit(1), -m - 1), rest)).otherwise(stack)
+            return let(left, lambda l: F.struct(
+                F.when(t["shut"], l).otherwise(F.concat(t["entry"], l)).alias("stack"),
+                F.concat(acc["out"], F.array(F.struct(t["i"].alias("i"), ended.alias("ended"),
+                                                      F.when(~t["shut"], l).alias("around")))).alias("out")))
 
-    return F.when(t["shut"] & (F.size(stack) == 0), acc).otherwise(let(move, moved))
+        return F.when(t["shut"] & (m == 0), acc).otherwise(let(
+            F.when(m == 0, F.lit(0)).otherwise(F.position(F.lit(";"), stack, F.abs(m))), to))
+
+    return let(move, moved)
 
 
 def _walk(tags: Column) -> Column:
-    """Records (i, ends) and (i, path) of all elements, from the tags in their order."""
-    empty = F.array().cast(f"array<{ENTRY}>")
+    """What is open at the end (stack) and the records of all tags that open or end something (outs), in chunks."""
     none = F.array().cast(f"array<{RECORD}>")
     size = F.greatest(F.ceil(F.sqrt(F.size(tags))).cast("int"), F.lit(1))
     chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tags), F.lit(1)), size), lambda at: F.slice(tags, at, size))
@@ -121,10 +121,15 @@ def _walk(tags: Column) -> Column:
         done = F.reduce(part, F.struct(acc["stack"].alias("stack"), none.alias("out")), _step)
         return let(done, lambda d: F.struct(d["stack"].alias("stack"), F.concat(acc["outs"], F.array(d["out"])).alias("outs")))
 
-    start = F.struct(empty.alias("stack"), F.array().cast(f"array<array<{RECORD}>>").alias("outs"))
+    start = F.struct(F.lit("").alias("stack"), F.array().cast(f"array<array<{RECORD}>>").alias("outs"))
     return F.reduce(chunks, start, chunk)
 
 
+def _tokens_of(entries: Column) -> Column:
+    """Tokens at which the elements of stack entries open."""
+    return F.transform(F.filter(F.split(entries, ";"), lambda e: e != ""), lambda e: F.substring_index(e, ":", -1).cast("int"))
+
+
 def with_elements(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds ``_elements``, ``_lined`` and ``_end`` to pages.
 
@@ -142,15 +147,20 @@ def with_elements(pages: DataFrame, html_col: str = "html") -> DataFrame:
         t.rlike(r"(?is)^<(?:script|style)\b").alias("raw"), t.alias("tag")))
     pages = pages.withColumn("_named", named).withColumn("_end", F.size("_tokens") + 1)
     tags = F.transform(F.filter("_named", lambda t: (t["n"] != "") & ~t["raw"] & ~t["n"].isin(*VOID)), lambda t: F.struct(
-        t["i"], t["n"], t["shut"], t["n"].isin(*BLOCK).alias("block"), t["n"].isin(*FORMATTING).alias("formatting")))
-    pages = pages.withColumn("_walked", _walk(tags))
-    records = F.flatten("_walked.outs")
-    still = F.transform("_walked.stack", lambda e: F.struct(e["i"].alias("i"), F.col("_end").alias("ends")))
-    closed = F.transform(F.filter(records, lambda r: r["path"].isNull()), lambda r: F.struct(r["i"].alias("i"), r["ends"].alias("ends")))
-    pages = pages.withColumns({"_opened": F.filter(records, lambda r: r["path"].isNotNull()),
+        t["i"], t["n"], t["shut"], t["n"].isin(*BLOCK).alias("block"), t["n"].isin(*FORMATTING).alias("formatting"),
+        F.concat(F.when(t["n"].isin(*BLOCK), F.lit("#|")).otherwise(F.lit("|")), t["n"], F.lit(":"), t["i"].cast("string"),
+                 F.lit(";")).alias("entry"), F.concat(F.lit("|"), t["n"], F.lit(":")).alias("mark")))
+    pages = pages.withColumn("_tags", tags).withColumn("_walked", _walk(F.col("_tags"))).withColumn(
+        "_records", F.flatten("_walked.outs"))
+    still = F.transform(_tokens_of(F.col("_walked.stack")), lambda i: F.struct(i.alias("i"), F.col("_end").alias("ends")))
+    closed = F.flatten(F.transform(F.filter("_records", lambda r: r["ended"] != ""), lambda r: F.transform(
+        _tokens_of(r["ended"]), lambda i: F.struct(i.alias("i"), r["i"].alias("ends")))))
+    pages = pages.withColumns({"_opened": F.filter("_records", lambda r: r["around"].isNotNull()),
                                "_closed": F.array_sort(F.concat(closed, still))})
+    path = lambda o: F.transform(_tokens_of(o["around"]), lambda i: F.struct(
+        i.alias("i"), F.get("_named", i - 1)["n"].alias("n")))
     both = F.zip_with("_opened", "_closed", lambda o, c: let(F.get("_named", o["i"] - 1), lambda t: F.struct(
-        o["i"].alias("i"), t["n"].alias("n"), t["tag"].alias("tag"), c["ends"].alias("ends"), o["path"].alias("path"),
+        o["i"].alias("i"), t["n"].alias("n"), t["tag"].alias("tag"), c["ends"].alias("ends"), path(o).alias("path"),
         attribute(t["tag"], "class").alias("cls"), attribute(t["tag"], "data-id").alias("mark"),
         attribute(t["tag"], "href").alias("href"))))
     # The text before the first token, then the text after each.
@@ -158,7 +168,7 @@ def with_elements(pages: DataFrame, html_col: str = "html") -> DataFrame:
         F.when((k > 0) & F.get("_named", F.greatest(k - 1, F.lit(0)))["n"].isin(*BREAKS), F.lit("\n")).otherwise(F.lit("")),
         F.regexp_replace(p, SPACES, " ")))
     return (pages.withColumns({"_elements": both, "_lined": lined})
-            .drop("_tokens", "_pieces", "_named", "_walked", "_opened", "_closed"))
+            .drop("_tokens", "_pieces", "_named", "_tags", "_walked", "_records", "_opened", "_closed"))
 
 
 def rendered(joined: Column) -> Column:
