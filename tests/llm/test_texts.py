@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from harrow.llm import toxicity as toxicity_module
 from harrow.llm.personal_data import KINDS, personal_data, span_report
 from harrow.llm.piece_codec import PieceCodec, decode_documents, encode_documents, round_trips
 from harrow.llm.soft_mixing import mix, mixing_rates
@@ -151,6 +152,48 @@ def test_toxicity_of_awkward_tables(spark, awkward, empty, labels, no_labels):
     assert fit(awkward, labels, max_words=1).constant == 0.0  # nothing is short enough to fit on
 
 
+def test_toxicity_fits_on_every_labelled_row(spark, monkeypatch):
+    """Long texts train too, shards of any number count the same rows, cuts are those of all rows."""
+    docs, labels = toxic_corpus(spark, 200)
+    seen = []
+    whole = toxicity_module.start
+    monkeypatch.setattr(toxicity_module, "start", lambda rows, counts, n: seen.append((counts, n)) or whole(rows, counts, n))
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.repeat(F.lit(" word"), 50_001))).otherwise(F.col("text")))
+    monkeypatch.setattr(toxicity_module, "SHARD_CHARS", 4_000_000)
+    model = fit(long, labels)
+    used = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    trained = used.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 4)
+    assert seen[0][1].tolist() == [trained.filter("toxic = 0").count(), trained.filter("toxic = 1").count()]
+    assert seen[0][0].sum(axis=0).max() >= trained.filter("doc_id % 2 = 0").count()
+    assert np.isfinite(model.values).all() and 0 < model.scale
+
+
+def test_toxicity_cuts_are_the_best_of_all_rows(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b"]), int(rng.random() < 0.4), round(rng.random(), 2)) for _ in range(400)] + [("c", 1, 0.5)]
+    got = toxicity_module._cuts(spark.createDataFrame(rows, "lang string, y int, s double"), 3)
+    for lang in "ab":
+        mine = [(y, s) for x, y, s in rows if x == lang]
+        f1 = {c: 2 * sum(y for y, s in mine if s >= c) / (sum(s >= c for _, s in mine) + sum(y for y, _ in mine)) for _, c in mine}
+        best = max(f1, key=lambda c: (f1[c], c))
+        assert got[lang] == pytest.approx((best + max([s for _, s in mine if s < best], default=0.0)) / 2)
+    assert set(got) == {"a", "b"}
+
+
+def test_long_texts_pool_as_whole_ones():
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=(50, toxicity_module.WIDTH)).astype(np.float32)
+    filters = [rng.normal(size=(s, toxicity_module.WIDTH, toxicity_module.FILTERS)).astype(np.float32) for s in toxicity_module.SPANS]
+    bias = [np.zeros(toxicity_module.FILTERS, np.float32) for _ in filters]
+    docs = [np.concatenate([rng.integers(1, 50, (n, toxicity_module.PARTS)), np.zeros((3, toxicity_module.PARTS), int)]).astype(np.int32)
+            for n in (0, 1, 5, 40, 7)]
+    alone = [toxicity_module._pooled(e, filters, bias, [d], where=True) for d in docs]
+    for words in (4, 10, 1000):
+        top, won = toxicity_module._pooled(e, filters, bias, docs, where=True, words=words)
+        assert np.allclose(top, np.concatenate([t for t, _ in alone]), atol=1e-4)
+        assert all((w == np.concatenate([a[s] for _, a in alone])).all() for s, w in enumerate(won))
+
+
 # Personal data --------------------------------------------------------------------
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
