@@ -27,7 +27,7 @@ from harrow.plans import maintain
 from harrow.plans import sqltext as S
 from harrow.plans.curate import curate, enrich, settle_source
 from harrow.plans.element_sql import city_sql, startup_sql
-from harrow.plans.views import doc_listings, key_listings, part_listings, table
+from harrow.plans.views import doc_listings, key_listings, part_listings, spread, table
 from harrow.sources.boards import BOARDS, TEMPLATES, board_listings, judge_payloads
 from harrow.sources.pages import (COMPANY_PATTERNS, CONTAINER_PATTERN, LEAF_PATTERN, LINK_PATTERN, CardRules, SectionRules, card_scan,
                                   link_scan, section_scan)
@@ -540,7 +540,7 @@ _ELEMENT_PAGES, _ELEMENT_HTML = _markup({
 
 @register("element_cards", city_sql(_ELEMENT_HTML, DRIVER_CITY, _absolute_sql))
 def q_element_cards(spark, sf):
-    return city_scan(_ELEMENT_PAGES(table(spark, sf, "pages")), DRIVER_CITY, base_col="url")
+    return city_scan(_ELEMENT_PAGES(spread(table(spark, sf, "pages"))), DRIVER_CITY, base_col="url")
 
 
 _ROW_PAGES, _ROW_HTML = _markup({
@@ -555,7 +555,7 @@ _ROW_PAGES, _ROW_HTML = _markup({
 
 @register("element_rows", startup_sql(_ROW_HTML, StartupRules(), _absolute_sql, _split_company_sql))
 def q_element_rows(spark, sf):
-    return startup_scan(_ROW_PAGES(table(spark, sf, "pages")), StartupRules(), base_col="url")
+    return startup_scan(_ROW_PAGES(spread(table(spark, sf, "pages"))), StartupRules(), base_col="url")
 
 
 @register("page_order", f"""
@@ -1229,7 +1229,7 @@ FROM (SELECT *, CASE WHEN p_size % 5 > 1 THEN list_distinct(list_filter(
         CAST(json_extract_string({_OPTION_SQL}, '$.options[*].name') AS VARCHAR[]), lambda x: x IS NOT NULL)) END AS names FROM part)""")
 def q_map_by_name(spark, sf):
     """Options by name from JSON of several shapes: no options, a number, an array with a name that is repeated."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     last = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.lit("[4]"))
     text = (F.when(F.col("p_size") % 5 == 0, F.lit('{"options":5}')).when(F.col("p_size") % 5 == 1, F.lit("{}"))
             .otherwise(F.concat(F.lit('{"options":[{"name":"'), "p_brand", F.lit('","c":1},{"name":"'), "p_name",

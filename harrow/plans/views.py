@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None =
     return rows.repartition(stated) if stated else rows
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows in four partitions a core or more, for work that takes long a row: a small file has few splits."""
+    wanted = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted)
+
+
 def doc_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(

@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.regex import js_space_run
 from harrow.functions.text import jstrim, let
 
 # Names of the HTML standard.
@@ -144,9 +145,10 @@ def with_elements(pages: DataFrame, html_col: str = "html") -> DataFrame:
     pages = pages.withColumns({"_tokens": F.regexp_extract_all(html, F.lit(TOKEN), 0), "_pieces": F.split(html, TOKEN, -1)})
     named = F.transform("_tokens", lambda t, i: F.struct(
         (i + 1).cast("int").alias("i"), F.lower(F.regexp_extract(t, NAME, 1)).alias("n"), t.startswith("</").alias("shut"),
-        t.rlike(r"(?is)^<(?:script|style)\b").alias("raw"), t.alias("tag")))
+        t.alias("tag")))
+    raw = lambda t: (t["n"].startswith("script") | t["n"].startswith("style")) & t["tag"].rlike(r"(?is)^<(?:script|style)\b")
     pages = pages.withColumn("_named", named).withColumn("_end", F.size("_tokens") + 1)
-    tags = F.transform(F.filter("_named", lambda t: (t["n"] != "") & ~t["raw"] & ~t["n"].isin(*VOID)), lambda t: F.struct(
+    tags = F.transform(F.filter("_named", lambda t: (t["n"] != "") & ~raw(t) & ~t["n"].isin(*VOID)), lambda t: F.struct(
         t["i"], t["n"], t["shut"], t["n"].isin(*BLOCK).alias("block"), t["n"].isin(*FORMATTING).alias("formatting"),
         F.concat(F.when(t["n"].isin(*BLOCK), F.lit("#|")).otherwise(F.lit("|")), t["n"], F.lit(":"), t["i"].cast("string"),
                  F.lit(";")).alias("entry"), F.concat(F.lit("|"), t["n"], F.lit(":")).alias("mark")))
@@ -172,8 +174,13 @@ def with_elements(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def rendered(joined: Column) -> Column:
-    """Lines of joined ``_lined`` pieces: spaces collapsed and trimmed, empty lines gone."""
-    return jstrim(F.regexp_replace(F.regexp_replace(joined, " +", " "), " ?\n[ \n]*", "\n"))
+    """Lines of joined ``_lined`` pieces: spaces collapsed and trimmed, empty lines gone; no pattern runs for nothing."""
+    def at_end(t: Column) -> Column:
+        return F.concat(t.substr(1, 1), t.substr(-1, 1)).rlike(js_space_run())
+
+    single = let(joined, lambda t: F.when(t.contains("  "), F.regexp_replace(t, " +", " ")).otherwise(t))
+    broken = let(single, lambda t: F.when(t.contains("\n"), F.regexp_replace(t, " ?\n[ \n]*", "\n")).otherwise(t))
+    return let(F.trim(broken, F.lit(" \n")), lambda t: F.when(at_end(t), jstrim(t)).otherwise(t))
 
 
 def text_of(box: Column) -> Column:
